@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import audio, mixing, subword, tokenfile
 
 QUERIES = {
     "op4_mixing": mixing.op4_mixing,
+    "op5_tokenfile": tokenfile.op5_tokenfile,
+    "op9_sentencepiece": subword.op9_sentencepiece,
+    "op10_audio": audio.op10_audio,
 }
 
 ORACLE_SQL = {
