@@ -84,6 +84,19 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Rows of a driver-made table up to which it is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table from the driver, to be joined: broadcast if its count allows.
+
+    Beyond that the join is shuffled, and Spark splits its skewed partitions.
+    """
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the frame doesn't use, for operators that add helpers."""
     taken = {c.lower() for c in df.columns}

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, n_words, table, written
+from .common import WORD, local, n_words, table, written
 
 #: Bits of the hash, and bits that a histogram resolves at a time.
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -75,7 +75,7 @@ def thresholds(rows: DataFrame, budgets: dict[str, float], sizes: dict[str, int]
     for shift in range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
         if not open_:
             break
-        bounds = spark.createDataFrame([(k, at, before, budgets[k]) for k, (at, before) in open_.items()], "bkey string, at long, before long, budget double")
+        bounds = local(spark, [(k, at, before, budgets[k]) for k, (at, before) in open_.items()], "bkey string, at long, before long, budget double")
         width = 1 << (shift + LEVEL_BITS)
         inside = inside.join(bounds, F.col("key") == F.col("bkey")).where((F.col("hash") >= F.col("at")) & (F.col("hash") < F.col("at") + F.lit(width))) if width < limit else inside.join(bounds, F.col("key") == F.col("bkey"))
         inside = inside.select("key", "hash", "size", "at", "before", "budget")
@@ -128,7 +128,7 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...]
     sizes = {key[s.source]: s.size for s in shares}
     budgets = {key[s.source]: s.target - base[key[s.source]] * s.size for s in shares}
     cuts = thresholds(rows.select("key", "hash", "size"), budgets, sizes) if shares else {}
-    plan = spark.createDataFrame([(key[s.source], s.size, s.target, base[key[s.source]], cuts[key[s.source]]) for s in shares], "pkey string, source_size long, target double, base int, cut long")
+    plan = local(spark, [(key[s.source], s.size, s.target, base[key[s.source]], cuts[key[s.source]]) for s in shares], "pkey string, source_size long, target double, base int, cut long")
     copies = (F.col("base") + (F.col("hash") < F.col("cut")).cast("int")).alias("copies")
     out = rows.join(plan, F.col("key") == F.col("pkey")).select("doc_id", "source", "size", "source_size", "target", copies)
     return out.withColumn("taken", F.col("size") * F.col("copies"))

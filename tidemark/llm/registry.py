@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import audio, mixing, subword, tokenfile
+from . import audio, mixing, quality, subword, tokenfile
 
 QUERIES = {
+    "op3_quality": quality.op3_quality,
     "op4_mixing": mixing.op4_mixing,
     "op5_tokenfile": tokenfile.op5_tokenfile,
     "op9_sentencepiece": subword.op9_sentencepiece,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_quality": quality.OP3_SQL,
     "op4_mixing": mixing.OP4_SQL,
 }

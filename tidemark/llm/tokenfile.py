@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow import Memo, column, int_lists, slices, texts
-from .common import scratch_path, table
+from .common import local, scratch_path, table
 
 KEPT_WORDS = 200_000
 
@@ -119,7 +119,7 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     for part, n in sums:
         plan.append((part, before))
         before += n
-    rows = rows.join(spark.createDataFrame(plan, "part int, before long"), "part").withColumn("start", F.col("before") + F.col("at"))
+    rows = rows.join(local(spark, plan, "part int, before long"), "part").withColumn("start", F.col("before") + F.col("at"))
     return rows.select("doc_id", "start", "n_tokens", *["ids"] * ids)
 
 
