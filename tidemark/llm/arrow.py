@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,21 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+@contextmanager
+def no_gc() -> Iterator[None]:
+    """Without searches for reference cycles, which would go through large memos again and again.
+
+    Only for work that makes no cycles.
+    """
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def int_lists(rows: list[bytes]) -> pa.Array:
     """A list<int32> column from the little-endian bytes of each row."""
     ends = np.zeros(len(rows) + 1, dtype=np.int64)
@@ -46,14 +63,22 @@ def int_lists(rows: list[bytes]) -> pa.Array:
 
 
 class Memo(dict):
-    """Results of a pure function; emptied when full, so its memory is bounded."""
+    """Results of a pure function, in bounded memory.
+
+    There are two generations of up to ``most`` results each. When the young one is
+    full it becomes the old one, from which results that are asked for again return.
+    """
 
     def __init__(self, make: Callable, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value

@@ -18,14 +18,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import Memo, column, int_lists, slices, texts
+from .arrow import Memo, column, int_lists, no_gc, slices, texts
 from .common import table
 
 #: The mark that stands for a space.
 SPACE = "▁"
 
 #: Words and pairs of pieces whose results a worker keeps.
-KEPT_WORDS, KEPT_PAIRS = 200_000, 400_000
+KEPT_WORDS, KEPT_PAIRS = 120_000, 200_000
 
 
 class PieceCodec:
@@ -53,10 +53,13 @@ class PieceCodec:
                 self.byte_ids[int(p.piece[3:5], 16)] = i
                 self.bytes[i] = int(p.piece[3:5], 16)
         self.found = ahocorasick.Automaton()
-        for p in self.scores:
-            if len(p) > 1 and self.merged(p) == [p]:
-                self.found.add_word(p, p)
+        whole = {p for p in self.scores if len(p) > 1 and self.merged(p) == [p]}
+        #: The longest piece, or single character, that a piece begins with.
+        self.shorter = {p: next(p[:k] for k in range(len(p) - 1, 0, -1) if k == 1 or p[:k] in whole) for p in whole}
+        for p in whole:
+            self.found.add_word(p, (len(p) - 1, p))
         self.found.make_automaton()
+        self.raw: Memo = Memo(self._raw, len(self.pieces))
         self.apart: Memo = Memo(lambda pair: self.merged(pair[0] + pair[1]) == [*pair], KEPT_PAIRS)
         self.word: Memo = Memo(self._word, KEPT_WORDS)
         # A word can't merge with what follows if no piece has the mark behind another
@@ -87,49 +90,36 @@ class PieceCodec:
         n = len(text)
         if n < 2:
             return [text] if n else []
-        longer: list[list[str] | None] = [None] * n
-        for end, piece in self.found.iter(text):
-            start = end + 1 - len(piece)
-            if longer[start] is None:
-                longer[start] = [text[start], piece]
-            else:
-                longer[start].append(piece)  # ends ascend, so lengths do
-        failed, apart = bytearray(n + 1), self.apart
+        longest = list(text)
+        for end, (back, piece) in self.found.iter(text):
+            longest[end - back] = piece  # ends ascend, so the longest comes last
+        failed, apart, shorter = bytearray(n + 1), self.apart, self.shorter
         out: list[str] = []
-        left: list[int] = []  # choices not yet tried, for each piece in out
-        at = 0
-        choices = longer[0] or [text[0]]
-        k = len(choices)
+        at, last, piece = 0, None, longest[0]
         while True:
-            last = out[-1] if out else None
-            while k:
-                k -= 1
-                piece = choices[k]
-                if not failed[at + len(piece)] and (last is None or apart[last, piece]):
-                    break
-            else:
-                failed[at] = 1
-                at -= len(out.pop())
-                k = left.pop()
-                choices = longer[at] or [text[at]]
+            to = at + len(piece)
+            if not failed[to] and (last is None or apart[last, piece]):
+                out.append(piece)
+                if to == n:
+                    return out
+                at, last, piece = to, piece, longest[to]
                 continue
-            out.append(piece)
-            left.append(k)
-            at += len(piece)
-            if at == n:
-                return out
-            choices = longer[at] or [text[at]]
-            k = len(choices)
+            piece = shorter.get(piece)
+            while piece is None:  # nothing leads on from here
+                failed[at] = 1
+                before = out.pop()
+                at -= len(before)
+                last = out[-1] if out else None
+                piece = shorter.get(before)
 
-    def _word(self, unit: str) -> tuple[bytes, str]:
-        ids: list[int] = []
-        for piece in self.cut(unit):
-            if piece in self.ids:
-                ids.append(self.ids[piece])
-            else:
-                ids.extend(self.byte_ids[b] for b in piece.encode())
+    def _raw(self, piece: str) -> tuple[bytes, str]:
+        ids = [self.ids[piece]] if piece in self.ids else [self.byte_ids[b] for b in piece.encode()]
         return b"".join(i.to_bytes(4, "little") for i in ids), self.pieced(ids)
 
+    def _word(self, unit: str) -> tuple[bytes, str]:
+        found = list(map(self.raw.__getitem__, self.cut(unit)))
+        return b"".join([i for i, _ in found]), "".join([t for _, t in found])
+
     def units(self, text: str) -> list[str]:
         """Parts of a text that encode independently of each other."""
         return self.unit.findall(self.prefix + text.replace(" ", SPACE)) if text else []
@@ -187,7 +177,8 @@ def encode_pieces(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(model)
         for batch in slices(batches):
-            found = [use.both(t) for t in texts(batch)]
+            with no_gc():
+                found = [use.both(t) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), int_lists([i for i, _ in found]), pa.array([t for _, t in found], pa.string())], names=["doc_id", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

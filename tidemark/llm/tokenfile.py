@@ -20,10 +20,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import Memo, column, int_lists, slices, texts
+from .arrow import Memo, column, int_lists, no_gc, slices, texts
 from .common import local, scratch_path, table
 
-KEPT_WORDS = 200_000
+KEPT_WORDS = 120_000
 
 #: Row groups in bytes, pages in bytes and rows. Page indexes are written with every file.
 ROW_GROUP, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
@@ -95,7 +95,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use, at = encoder(tok), 0
         for batch in slices(batches):
-            found = [use.encode(t) + end for t in texts(batch)]
+            with no_gc():
+                found = [use.encode(t) + end for t in texts(batch)]
             counts = np.array([len(x) // 4 for x in found], dtype=np.int64)
             ends = at + np.cumsum(counts)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(ends - counts), pa.array(counts), int_lists(found)], names=["doc_id", "at", "n_tokens", "ids"])
