@@ -23,18 +23,36 @@ from pyspark.sql import functions as F
 from .arrow import Memo, column, int_lists, no_gc, slices, texts
 from .common import local, scratch_path, table
 
-KEPT_WORDS = 120_000
+KEPT_WORDS = 200_000
 
 #: Row groups in bytes, pages in bytes and rows. Page indexes are written with every file.
 ROW_GROUP, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
 
 
+#: Letters that need no table of Unicode: ASCII and extended Latin.
+_L = "A-Za-zÀ-ÖØ-öø-ɏ"
+
+#: Texts whose byte-level parts the pattern below finds: those letters and ASCII without "<".
+_PLAIN = regex.compile(rf"[{_L}\t\n\x20-;=-~]+")
+
+#: The pattern of byte-level pre-tokenizers, for such texts.
+_PARTS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself if it can be seen, else one from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordTokens:
     """Encodes with the tokenizers library, each distinct word once.
 
     A byte-level pre-tokenizer never joins what lies before a lone space to what lies
     behind it, so a text's ids are those of its parts. Parts with runs of white space
-    stay whole.
+    stay whole. Where a part has plain letters only, its words go straight to the
+    library's merges; others go through the whole library.
     """
 
     #: Between parts: one space with other than white space on both sides.
@@ -48,24 +66,48 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         before = self.tokenizer.pre_tokenizer
-        plain = isinstance(before, ByteLevel) and not before.add_prefix_space and before.use_regex and self.tokenizer.normalizer is None
-        plain = plain and not any(t.lstrip or t.rstrip or " " in t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.plain = plain
-        self.word: Memo = Memo(self.one, KEPT_WORDS)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.split = isinstance(before, ByteLevel) and not before.add_prefix_space and before.use_regex and self.tokenizer.normalizer is None
+        self.split = self.split and all("<" in t.content and " " not in t.content and not (t.lstrip or t.rstrip) for t in added)
+        self.merges, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.piece: Memo = Memo(self._piece, KEPT_WORDS // 4)
+        self.first: Memo = Memo(self.one, KEPT_WORDS // 10)
+        self.word: Memo = Memo(self._word, KEPT_WORDS)
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.merges(piece.encode().decode("latin-1").translate(self.letters))
+        return b"".join([self.raw[t.id] for t in found])
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word behind a space; a stop or comma behind its letters is a part of its own."""
+        if word.isalpha() and (word.isascii() or max(word) <= "ɏ"):
+            return self._piece(" " + word)
+        head, tail = word[:-1], word[-1:]
+        if tail in (".", ",") and head.isalpha() and (head.isascii() or max(head) <= "ɏ"):
+            return self.word[head] + self.piece[tail]
+        return self.one(" " + word)
 
     def one(self, text: str) -> bytes:
+        """A part's ids."""
+        if _PLAIN.fullmatch(text):
+            found = _PARTS.findall(text)
+            return self._piece(text) if len(found) == 1 else b"".join(map(self.piece.__getitem__, found))
+        return self.whole(text)
+
+    def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
         if not text:
             return b""
-        if not self.plain:
-            return self.one(text)
+        if not self.split:
+            return self.whole(text)
         if self.rough.search(text):
-            return b"".join(map(self.word.__getitem__, self.parts.split(text)))
+            return b"".join(map(self.first.__getitem__, self.parts.split(text)))
         first, *rest = text.split(" ")
-        return self.word[first] + b"".join([self.word[" " + w] for w in rest])
+        return self.first[first] + b"".join(map(self.word.__getitem__, rest))
 
 
 @lru_cache(maxsize=2)
