@@ -1,0 +1,95 @@
+import re
+
+import numpy as np
+import pytest
+
+from tidemark.llm import boost, pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(v if i % 2 == 0 else (2 * v - 9 if v > 4 else 2 * v) for i, v in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def brute(text):
+    out = []
+    for kind, pattern in PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            good = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else 0, "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            if good:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+TEXTS = [
+    None,
+    "",
+    "no data here 12 3.4",
+    "a@b.c_d@e.f, x@y..z x@y.z. <me.too%+-@a-b.co.uk> @x.y a@b",
+    "1.2.3.4.5.6.7.8 1.2.3 256.1.1.1 0000255.1.1.01 9.9.9.9999 v1.2.3.4",
+    "4111 1111 1111 1111 4111-1111-1111-1112 4111111111111111 12 3 4 5 1 4111  1111 378282246310005-",
+    "9" * 3000 + " " + "4111111111111111" * 2,
+    "+1 (743) 555-3824 +12 +1 2 3 4 5 6 7 8 9 +49.30.1234567-- ++44 20 7946 0958 +1234567890123456",
+    "é漢🙂 mail: é.a@b.de 🙂 +33 1 23 45 67 89 ü 10.0.0.1",
+    "a" * 50_000 + "@" + "b" * 50_000 + ".c",
+    "a@b" + ".c" * 20_000,
+    "x@y.z " * 3000,
+    "card 4111 1111 1111 1111, ip 8.8.8.8, +1 212 555 0100\nx@y.org",
+]
+
+
+def test_base_equals_brute_force(spark):
+    df = spark.createDataFrame([(i, t, "k") for i, t in enumerate(TEXTS)] * 2, "doc_id long, text string, base string")
+    got = pii.detected(df, ["doc_id"]).collect()
+    assert len(got) == 2 * len(TEXTS)
+    for r in got:
+        assert [tuple(s) for s in r.base] == brute(TEXTS[r.doc_id] or ""), TEXTS[r.doc_id][:80]
+
+
+@pytest.mark.parametrize("text, want", [("write to jane.doe [at] example [dot] com now", "email"), ("call 212-555-0100 today", "phone"), ("seen at 10[.]0[.]0[.]7 again", "ip"), ("credit card 4111.1111.1111.1111 ok", "card")])
+def test_trees_add_spans(spark, text, want):
+    r = pii.detected(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"]).first()
+    assert [s.kind for s in r.added] == [want] and not r.base
+
+
+def test_clean_texts_stay(spark):
+    texts = ["in 2019-05-06 we met at noon. Version 2.0 of 1234567", "he is at home.it seems", "total 1234567890123456 units", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "pages 100-200, 3.14159265 and 1/2/2003"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert all(not r.added and not r.base for r in pii.detected(df, ["doc_id"]).collect())
+    assert [r.text for r in pii.redacted(df).orderBy("doc_id").collect()] == texts
+
+
+def test_redacted(spark):
+    text = "é x@y.org and +1 (743) 555-3824, card 4111 1111 1111 1111."
+    df = spark.createDataFrame([(1, text, 5, "s"), (1, text, 5, "s"), (2, None, None, None), (3, "clean", 5, None)], "doc_id long, text string, n_chars long, base string")
+    got = pii.redacted(df).orderBy("doc_id").collect()
+    want = "é [EMAIL] and [PHONE], card [CARD]."
+    assert [r.text for r in got] == [want, want, None, "clean"]
+    assert got[0].n_chars == len(want) and got[2].n_chars is None and pii.redacted(df).columns == df.columns
+    assert pii.redacted(df.limit(0)).count() == 0
+
+
+def test_boost_learns_and_calibrates():
+    rng = np.random.default_rng(0)
+    x = rng.random((900, 4))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    model = boost.fit(x, y)
+    assert ((model.probability(x) >= model.threshold) == (y > 0)).mean() > 0.95
+
+
+def test_column_equals_numpy(spark):
+    rng = np.random.default_rng(1)
+    x = rng.random((200, 3))
+    model = boost.fit(x, (x.sum(1) > 1.5).astype(float), rounds=5)
+    rows = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    got = [r.p for r in rows.select(model.column([pii.F.col(c) for c in "abc"]).alias("p")).collect()]
+    assert np.allclose(got, model.probability(x))
+
+
