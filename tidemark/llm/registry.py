@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import audio, mixing, pii, quality, subword, tokenfile
+from . import audio, langid, mixing, pii, quality, subword, tokenfile
 
 QUERIES = {
+    "op6_language": langid.op6_language,
     "op2_pii": pii.op2_pii,
     "op3_quality": quality.op3_quality,
     "op4_mixing": mixing.op4_mixing,
