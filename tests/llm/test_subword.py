@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -32,6 +33,8 @@ def test_equals_library_on_any_text(text):
     use = subword.codec(subword.default_model())
     assert use.encode(text) == library.encode(text)
     assert use.both(text)[1] == library.decode(library.encode(text))
+    pair = use.both_all(pa.array([text, None, text + " x"]))
+    assert pair[0] == use.both(text) and pair[1] == (b"", "") and pair[2] == use.both(text + " x")
 
 
 def test_cut_equals_merging():

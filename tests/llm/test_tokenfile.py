@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -32,6 +33,8 @@ _tok = tokenizers.Tokenizer.from_file(tokenfile.default_tokenizer())
 def test_equals_library_on_any_text(text):
     got = tokenfile.encoder(tokenfile.default_tokenizer()).encode(text)
     assert np.frombuffer(got, "<i4").tolist() == _tok.encode(text, add_special_tokens=False).ids
+    use = tokenfile.encoder(tokenfile.default_tokenizer())
+    assert use.encode_all(pa.array([text, None, text + " x"])) == [got, b"", use.encode(text + " x")]
 
 
 def test_file(spark, tmp_path):

@@ -62,6 +62,32 @@ def int_lists(rows: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
 
 
+def by_words(values: pa.Array, word: Callable[[str], bytes | None], first: Callable[[str], bytes | None]) -> list[bytes | None]:
+    """Each text's ids as little-endian 32-bit integers, put together from its words'.
+
+    Texts are cut at each space. ``first`` encodes a text's first word, ``word`` any
+    other, once for each distinct word of the batch; a text with a word for which they
+    give None gives None.
+    """
+    lists = pc.split_pattern(pc.fill_null(values, ""), " ")
+    ends, flat = lists.offsets.to_numpy().astype(np.int64), lists.values
+    coded = flat.dictionary_encode()
+    heads = flat.take(pa.array(ends[:-1])).to_pylist()
+    found = [word(w) for w in coded.dictionary.to_pylist()] + [first(w) for w in heads]
+    which = coded.indices.to_numpy().astype(np.int64)
+    which[ends[:-1]] = len(found) - len(heads) + np.arange(len(heads))
+    odd = np.array([f is None for f in found], dtype=bool)
+    pool = np.frombuffer(b"".join([f or b"" for f in found]), dtype="<i4")
+    sizes = np.array([len(f or b"") // 4 for f in found], dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    n = sizes[which]
+    till = np.concatenate([[0], np.cumsum(n)])
+    raw = pool[np.repeat(starts[which] - till[:-1], n) + np.arange(till[-1])].tobytes()
+    bad = np.add.reduceat(odd[which].astype(np.int64), ends[:-1]) > 0
+    cuts = 4 * till[ends]
+    return [None if b else raw[i:j] for b, i, j in zip(bad, cuts[:-1], cuts[1:], strict=True)]
+
+
 class Memo(dict):
     """Results of a pure function, in bounded memory.
 
@@ -74,9 +100,7 @@ class Memo(dict):
         self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
+        value = self.old[key] if key in self.old else self.make(key)
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()

@@ -18,14 +18,17 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import Memo, column, int_lists, no_gc, slices, texts
+from .arrow import Memo, by_words, column, int_lists, no_gc, slices
 from .common import table
 
 #: The mark that stands for a space.
 SPACE = "▁"
 
 #: Words and pairs of pieces whose results a worker keeps.
-KEPT_WORDS, KEPT_PAIRS = 120_000, 200_000
+KEPT_WORDS, KEPT_PAIRS = 400_000, 200_000
+
+#: Bytes of text whose distinct words are looked up together.
+WORDS_AT_ONCE = 12_000_000
 
 
 class PieceCodec:
@@ -61,7 +64,8 @@ class PieceCodec:
         self.found.make_automaton()
         self.raw: Memo = Memo(self._raw, len(self.pieces))
         self.apart: Memo = Memo(lambda pair: self.merged(pair[0] + pair[1]) == [*pair], KEPT_PAIRS)
-        self.word: Memo = Memo(self._word, KEPT_WORDS)
+        self.word: Memo = Memo(self._word, KEPT_WORDS // 10)
+        self.spaced: Memo = Memo(self._spaced, KEPT_WORDS)
         # A word can't merge with what follows if no piece has the mark behind another
         # character; a line break can't if it is in no piece.
         if any(SPACE in p.lstrip(SPACE) for p in self.scores):
@@ -152,6 +156,31 @@ class PieceCodec:
         back = "".join([t for _, t in found])
         return b"".join([i for i, _ in found]), back[1:] if self.prefix else back
 
+    def _spaced(self, word: str) -> bytes | None:
+        """Ids of a word and the space before it; None if they decode to anything else,
+        or the word is empty or has the mark, so that it may merge with the next."""
+        if not word or SPACE in word:
+            return None
+        if "\n" in word:
+            parts = [p for u in self.unit.findall(SPACE + word) for p in self.cut(u)]
+        else:
+            parts = self.cut(SPACE + word)
+        found = list(map(self.raw.__getitem__, parts))
+        return b"".join([i for i, _ in found]) if "".join([t for _, t in found]) == " " + word else None
+
+    def both_all(self, values: pa.Array) -> list[tuple[bytes, str]]:
+        """Ids and decoded text of each text, null as empty.
+
+        Where every word decodes to itself behind its space, so does the text: it is
+        not put together anew.
+        """
+        found = by_words(values, self.spaced.__getitem__, self.spaced.__getitem__) if self.prefix and len(values) else [None] * len(values)
+        out = []
+        for v, f in zip(values, found, strict=True):
+            text = v.as_py() or ""
+            out.append(self.both(text) if f is None else (f, text))
+        return out
+
 
 @lru_cache(maxsize=2)
 def codec(model_file: str) -> PieceCodec:
@@ -176,9 +205,9 @@ def encode_pieces(docs: DataFrame, model_file: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = codec(model)
-        for batch in slices(batches):
+        for batch in slices(batches, most=WORDS_AT_ONCE):
             with no_gc():
-                found = [use.both(t) for t in texts(batch)]
+                found = use.both_all(column(batch, "text"))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), int_lists([i for i, _ in found]), pa.array([t for _, t in found], pa.string())], names=["doc_id", "ids", "decoded"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -20,10 +20,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import Memo, column, int_lists, no_gc, slices, texts
+from .arrow import Memo, by_words, column, int_lists, no_gc, slices
 from .common import local, scratch_path, table
 
-KEPT_WORDS = 200_000
+KEPT_WORDS = 320_000
+
+#: Bytes of text whose distinct words are looked up together.
+WORDS_AT_ONCE = 12_000_000
 
 #: Row groups in bytes, pages in bytes and rows. Page indexes are written with every file.
 ROW_GROUP, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
@@ -57,7 +60,6 @@ class WordTokens:
 
     #: Between parts: one space with other than white space on both sides.
     parts = regex.compile(r"(?<=\S)(?= \S)")
-    rough = regex.compile(r"\s\s|^\s|\s\Z")
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -71,7 +73,6 @@ class WordTokens:
         self.split = self.split and all("<" in t.content and " " not in t.content and not (t.lstrip or t.rstrip) for t in added)
         self.merges, self.letters = self.tokenizer.model.tokenize, _byte_letters()
         self.piece: Memo = Memo(self._piece, KEPT_WORDS // 4)
-        self.first: Memo = Memo(self.one, KEPT_WORDS // 10)
         self.word: Memo = Memo(self._word, KEPT_WORDS)
         self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
@@ -79,15 +80,28 @@ class WordTokens:
         found = self.merges(piece.encode().decode("latin-1").translate(self.letters))
         return b"".join([self.raw[t.id] for t in found])
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a word behind a space; a stop or comma behind its letters is a part of its own."""
-        if word.isalpha() and (word.isascii() or max(word) <= "ɏ"):
-            return self._piece(" " + word)
-        head, tail = word[:-1], word[-1:]
-        if tail in (".", ",") and head.isalpha() and (head.isascii() or max(head) <= "ɏ"):
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a word behind a space; a stop or comma behind its letters is a part of its own.
+
+        None if the word is empty or has white space at an end: the space before or
+        behind it is then no boundary.
+        """
+        if word.isalpha():
+            if word.isascii():
+                raw = self.raw
+                return b"".join([raw[t.id] for t in self.merges("Ġ" + word)])
+            if max(word) <= "ɏ":
+                return self._piece(" " + word)
+        if not word or word[0].isspace() or word[-1].isspace():
+            return None
+        head, tail = word[:-1], word[-1]
+        if tail in ".," and head.isalpha() and (head.isascii() or max(head) <= "ɏ"):
             return self.word[head] + self.piece[tail]
         return self.one(" " + word)
 
+    def _first(self, word: str) -> bytes | None:
+        return None if not word or word[-1].isspace() else self.one(word)
+
     def one(self, text: str) -> bytes:
         """A part's ids."""
         if _PLAIN.fullmatch(text):
@@ -100,14 +114,12 @@ class WordTokens:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian 32-bit integers."""
-        if not text:
-            return b""
-        if not self.split:
-            return self.whole(text)
-        if self.rough.search(text):
-            return b"".join(map(self.first.__getitem__, self.parts.split(text)))
-        first, *rest = text.split(" ")
-        return self.first[first] + b"".join(map(self.word.__getitem__, rest))
+        return b"".join(map(self.one, self.parts.split(text) if self.split else [text])) if text else b""
+
+    def encode_all(self, values: pa.Array) -> list[bytes]:
+        """The ids of each text, null as empty, word by word where spaces part words."""
+        found = by_words(values, self.word.__getitem__, self._first) if self.split and len(values) else [None] * len(values)
+        return [self.encode(v.as_py() or "") if f is None else f for v, f in zip(values, found, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -136,9 +148,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use, at = encoder(tok), 0
-        for batch in slices(batches):
+        for batch in slices(batches, most=WORDS_AT_ONCE):
             with no_gc():
-                found = [use.encode(t) + end for t in texts(batch)]
+                found = [x + end for x in use.encode_all(column(batch, "text"))]
             counts = np.array([len(x) // 4 for x in found], dtype=np.int64)
             ends = at + np.cumsum(counts)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(ends - counts), pa.array(counts), int_lists(found)], names=["doc_id", "at", "n_tokens", "ids"])
@@ -146,7 +158,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = ordered.mapInArrow(run, f"doc_id {kind}, at long, n_tokens long, ids array<int>").select(F.spark_partition_id().alias("part"), "*")
-    options = {"compression": "zstd", "parquet.enable.dictionary": "true", "parquet.writer.version": "v2", "parquet.dictionary.page.size": str(1 << 20), "parquet.block.size": str(row_group), "parquet.page.size": str(page_bytes), "parquet.page.row.count.limit": str(page_rows)}
+    options = {"compression": "lz4_raw", "parquet.enable.dictionary": "true", "parquet.writer.version": "v2", "parquet.dictionary.page.size": str(1 << 20), "parquet.block.size": str(row_group), "parquet.page.size": str(page_bytes), "parquet.page.row.count.limit": str(page_rows)}
     rows.write.options(**options).parquet(path)
 
 
