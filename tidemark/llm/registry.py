@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import audio, langid, mixing, pii, quality, subword, tokenfile
+from . import audio, langid, mixing, pii, quality, substring, subword, tokenfile
 
 QUERIES = {
+    "op1_substring": substring.op1_substring,
     "op6_language": langid.op6_language,
     "op2_pii": pii.op2_pii,
     "op3_quality": quality.op3_quality,
