@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import audio, langid, mixing, neardup, pii, quality, substring, subword, tokenfile
+from . import audio, langid, lm, mixing, neardup, pii, quality, substring, subword, tokenfile
 
 QUERIES = {
+    "op7_language_model": lm.op7_language_model,
     "op8_minhash": neardup.op8_minhash,
     "op1_substring": substring.op1_substring,
     "op6_language": langid.op6_language,

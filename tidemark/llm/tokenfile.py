@@ -76,9 +76,16 @@ class WordTokens:
         self.word: Memo = Memo(self._word, KEPT_WORDS)
         self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
+    def lettered(self, piece: str) -> str:
+        """A letter for each byte, as the vocabulary has them."""
+        return piece.encode().decode("latin-1").translate(self.letters)
+
+    def merged(self, letters: str) -> bytes:
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.merges(letters)])
+
     def _piece(self, piece: str) -> bytes:
-        found = self.merges(piece.encode().decode("latin-1").translate(self.letters))
-        return b"".join([self.raw[t.id] for t in found])
+        return self.merged(self.lettered(piece))
 
     def _word(self, word: str) -> bytes | None:
         """Ids of a word behind a space; a stop or comma behind its letters is a part of its own.
@@ -88,8 +95,7 @@ class WordTokens:
         """
         if word.isalpha():
             if word.isascii():
-                raw = self.raw
-                return b"".join([raw[t.id] for t in self.merges("Ġ" + word)])
+                return self.merged("Ġ" + word)
             if max(word) <= "ɏ":
                 return self._piece(" " + word)
         if not word or word[0].isspace() or word[-1].isspace():
