@@ -32,6 +32,14 @@ LEAST = 0.8
 CENTRES = 3
 
 
+#: Documents that are sketched at a time: each has some 800 arrivals in memory.
+DOCS_AT_ONCE = 400
+
+
+def _steps(n: int, size: int) -> list[tuple[int, int]]:
+    return [(i, min(i + size, n)) for i in range(0, n, size)]
+
+
 def _digest(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(np.ascontiguousarray(hashes).tobytes())
 
@@ -53,13 +61,13 @@ def sketched(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
             n = batch.num_rows
             hashes, ends = pm.words(column(batch, "text"))
             doc, shingle, weight = pm.shingles(hashes, ends)
-            sketch = pm.sketches(doc, shingle, weight, n, bands * rows)
+            at = np.searchsorted(doc, np.arange(n + 1))
+            sketch = np.concatenate([pm.sketches(doc[at[i] : at[j]] - i, shingle[at[i] : at[j]], weight[at[i] : at[j]], j - i, bands * rows) for i, j in _steps(n, DOCS_AT_ONCE)])
             band = np.zeros((n, bands), dtype=np.uint64)
             with np.errstate(over="ignore"):
                 for k in range(rows):
                     band = pm.mixed(band + sketch[:, k::rows].astype(np.uint64) + np.uint64(1))
                 band = pm.mixed(band + np.arange(bands, dtype=np.uint64))
-            at = np.searchsorted(doc, np.arange(n + 1))
             some = np.diff(ends) > 0
             nodes = [_digest(hashes[i:j]) if i < j else None for i, j in zip(ends[:-1], ends[1:], strict=True)]
             sets = [_packed(shingle[i:j], "<u4") for i, j in zip(at[:-1], at[1:], strict=True)]
