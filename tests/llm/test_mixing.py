@@ -41,3 +41,14 @@ def test_edges(spark):
     assert mixing.mix(spark.createDataFrame([], schema)).count() == 0
     got = mixing.mix(spark.createDataFrame([(None, None, None), (None, None, None)], schema)).collect()
     assert [(r["size"], r.taken, r.target) for r in got] == [(0, 0, 0.0)] * 2
+
+
+def test_mixed_repeats_rows(spark):
+    docs = spark.createDataFrame([(i, "w " * (1 + i % 9), "a" if i % 4 else None, i) for i in range(200)] + [(7, None, None, 7)], "doc_id long, text string, source string, base long")
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    want = {}
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.copies
+    got = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
+    assert got == {k: n for k, n in want.items() if n}

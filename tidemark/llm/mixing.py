@@ -105,6 +105,24 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source.cast("string")))
 
 
+def _rows(docs: DataFrame, size: Column | None) -> DataFrame:
+    size = n_words(F.col("text")) if size is None else size
+    rows = docs.select("doc_id", "source", source_key(F.col("source")).alias("key"), row_hash(F.col("doc_id")).alias("hash"), size.cast("long").alias("size"))
+    return written(rows, "mix-rows")
+
+
+def _plan(rows: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
+    """For each source: pkey, source_size, target, and the copies base and cut make of a row."""
+    totals = {r["source"]: r["size"] for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()}
+    shares = targets(totals, cycle_weights(list(totals), weights), share, most) if totals else []
+    key = {s.source: "n" if s.source is None else "s" + s.source for s in shares}
+    base = {key[s.source]: int(s.target // s.size) if s.size else 0 for s in shares}
+    sizes = {key[s.source]: s.size for s in shares}
+    budgets = {key[s.source]: s.target - base[key[s.source]] * s.size for s in shares}
+    cuts = thresholds(rows.select("key", "hash", "size"), budgets, sizes) if shares else {}
+    return local(rows.sparkSession, [(key[s.source], s.size, s.target, base[key[s.source]], cuts[key[s.source]]) for s in shares], "pkey string, source_size long, target double, base int, cut long")
+
+
 def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """One row for each document: doc_id, source, size, source_size, target, copies, taken.
 
@@ -117,23 +135,20 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...]
 
     The totals and thresholds of the sources, one row each, pass through the driver.
     """
-    spark = docs.sparkSession
-    size = n_words(F.col("text")) if size is None else size
-    rows = docs.select("doc_id", "source", source_key(F.col("source")).alias("key"), row_hash(F.col("doc_id")).alias("hash"), size.cast("long").alias("size"))
-    rows = written(rows, "mix-rows")
-    totals = {r["source"]: r["size"] for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()}
-    shares = targets(totals, cycle_weights(list(totals), weights), share, most) if totals else []
-    key = {s.source: "n" if s.source is None else "s" + s.source for s in shares}
-    base = {key[s.source]: int(s.target // s.size) if s.size else 0 for s in shares}
-    sizes = {key[s.source]: s.size for s in shares}
-    budgets = {key[s.source]: s.target - base[key[s.source]] * s.size for s in shares}
-    cuts = thresholds(rows.select("key", "hash", "size"), budgets, sizes) if shares else {}
-    plan = local(spark, [(key[s.source], s.size, s.target, base[key[s.source]], cuts[key[s.source]]) for s in shares], "pkey string, source_size long, target double, base int, cut long")
+    rows = _rows(docs, size)
     copies = (F.col("base") + (F.col("hash") < F.col("cut")).cast("int")).alias("copies")
-    out = rows.join(plan, F.col("key") == F.col("pkey")).select("doc_id", "source", "size", "source_size", "target", copies)
+    out = rows.join(_plan(rows, weights, share, most), F.col("key") == F.col("pkey")).select("doc_id", "source", "size", "source_size", "target", copies)
     return out.withColumn("taken", F.col("size") * F.col("copies"))
 
 
+def mixed(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of docs that the mix takes, each as often as it takes it, with all their columns."""
+    plan = _plan(_rows(docs, size), weights, share, most)
+    copies = F.col("base") + (row_hash(docs["doc_id"]) < F.col("cut")).cast("int")
+    taken = docs.join(plan, source_key(docs["source"]) == F.col("pkey")).where(copies > 0)
+    return taken.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), copies)).alias("_copy")).drop("_copy")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
