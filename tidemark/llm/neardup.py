@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import probminhash as pm
 from .arrow import column, slices
-from .common import table, written
+from .common import fresh, table, written
 from .components import components
 
 #: Bands and registers of a band: at a similarity of 0.8, 0.9997 of all pairs share a bucket.
@@ -169,16 +169,17 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
 def kept(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """One row of docs for each class: the one of smallest doc_id, with all its columns."""
     found = written(classes(docs, least), "near-classes")
-    key = F.struct(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    gone = found.where(~F.col("representative")).select(key.alias("_key")).distinct()
-    rows = docs.withColumn("_row", F.struct(F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_hash")))
-    left = rows.join(gone, F.col("_row") == F.col("_key"), "left_anti")
+    own, other = fresh(docs, "row_key"), fresh(docs, "found_key")
+    key = F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).alias(other)
+    gone = found.where(~F.col("representative")).select(key).distinct()
+    rows = docs.withColumn(own, F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("hash")))
+    left = rows.join(gone, F.col(own) == F.col(other), "left_anti")
     # Rows that repeat a representative word for word: one of them stays.
-    twice = found.where(F.col("representative")).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where(F.col("n") > 1).select(key.alias("_key"))
+    twice = found.where(F.col("representative")).groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where(F.col("n") > 1).select(key)
     if twice.head(1):
-        one = left.join(twice, F.col("_row") == F.col("_key"), "left_semi").dropDuplicates(["_row"])
-        left = left.join(twice, F.col("_row") == F.col("_key"), "left_anti").unionAll(one)
-    return left.select(*docs.columns)
+        one = left.join(twice, F.col(own) == F.col(other), "left_semi").dropDuplicates([own])
+        left = left.join(twice, F.col(own) == F.col(other), "left_anti").unionAll(one)
+    return left.drop(own)
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
