@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .arrow import column, slices, texts
-from .common import table, written
+from .common import smallest, table, written
 
 #: Characters of an n-gram, and what stands around a text and for all that is no letter.
 SIZES, GAP = (2, 3, 4), 32
@@ -140,11 +140,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn the languages of rows with text and lang.
 
     Of each language the ``sample`` rows of smallest hash are used, a bounded set that
-    no order or partitioning of the rows changes. They are picked by a two-step limit,
-    so that a language with a third of all rows is not sorted by one task.
+    no order or partitioning of the rows changes.
     """
     spark = docs.sparkSession
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", "doc_id")
     names = [r["lang"] for r in rows.groupBy("lang").count().orderBy("lang").limit(LANGUAGES + 1).collect()]
     if len(names) > LANGUAGES:
         raise ValueError(f"at most {LANGUAGES} languages")
@@ -152,7 +151,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         return model_of({})
     picked = None
     for name in names:
-        one = rows.where(F.col("lang") == name).orderBy("h", "text").limit(sample)
+        one = smallest(rows.where(F.col("lang") == name), "doc_id", sample)
         picked = one if picked is None else picked.unionAll(one)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

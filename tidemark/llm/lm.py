@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import attention
 from .arrow import Memo, column, no_gc, slices
-from .common import table, written
+from .common import smallest, table, written
 from .langid import remainder
 from .tokenfile import default_tokenizer, encoder
 
@@ -91,7 +91,7 @@ def streams(use: Subwords, known: pa.Array, which: np.ndarray, ends: np.ndarray)
 
 def fit(docs: DataFrame, tokenizer: str, sample: int = SAMPLE) -> attention.Model:
     """The attention model, from the ``sample`` documents of smallest hash."""
-    picked = docs.where(F.col("text").isNotNull()).select("text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h", "text").limit(sample).toArrow()
+    picked = smallest(docs.select("doc_id", "text"), "doc_id", sample).toArrow()
     use = subwords(tokenizer)
     ids, ends = streams(use, *words(picked.column("text").combine_chunks()))
     return attention.fit([ids[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)], use.size)
