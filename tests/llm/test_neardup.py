@@ -149,3 +149,13 @@ def test_hot_bucket_of_chained_copies(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.classes(none).count() == 0 and neardup.kept(none).count() == 0
+
+
+def test_differing_bits(spark):
+    r = np.random.default_rng(2)
+    sketch = r.integers(0, 2**32, (2, 100), dtype=np.uint32)
+    sketch[1, :70] = sketch[0, :70]
+    want = int(((pm.mixed(sketch[0].astype(np.uint64)) ^ pm.mixed(sketch[1].astype(np.uint64))) & np.uint64(3) > 0).sum())
+    a, b = neardup._bits(sketch).view(np.int64).tolist()
+    df = spark.createDataFrame([(a, b)], "a array<bigint>, b array<bigint>")
+    assert df.select(neardup.differing(df.a, df.b, 4)).first()[0] == want

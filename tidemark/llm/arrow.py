@@ -106,3 +106,9 @@ class Memo(dict):
             self.clear()
         self[key] = value
         return value
+
+    def forget(self) -> None:
+        """Give the memory back; a worker may wait long for its next task."""
+        self.clear()
+        self.old = {}
+        pa.default_memory_pool().release_unused()

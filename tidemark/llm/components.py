@@ -35,10 +35,20 @@ def components(links: DataFrame) -> DataFrame:
     node that has no other doesn't appear.
     """
     now = links.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    now, before = written(now, "links"), None
+    now = written(now, "links")
+    state = _state(now)
     while True:
-        now = written(_small(written(_large(now), "links")), "links")
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == before:
-            return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionAll(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-        before = state
+        large = written(_large(now), "links")
+        before, state = state, _state(large)
+        # Nothing moved and each node hangs on one other: these are stars.
+        if state == before and state[0] == state[2]:
+            return large.select(F.col("b").alias("node"), F.col("a").alias("root")).unionAll(large.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+        now = written(_small(large), "links")
+        state = _state(now)
+
+
+def _state(links: DataFrame) -> tuple:
+    """Rows, a checksum, and how many different b."""
+    each = links.groupBy("b").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+    none = F.lit(0)
+    return tuple(each.agg(F.coalesce(F.sum("n"), none), F.coalesce(F.sum("h"), none), F.count("*")).first())

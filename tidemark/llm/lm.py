@@ -159,6 +159,7 @@ def scored(docs: DataFrame, training: Column, tokenizer: str | None = None, samp
                 [column(batch, "doc_id"), column(batch, "row"), pa.array(np.diff(ends) + 1), pa.array(sure), pa.array(base), pa.array(model.log_probs(ids, till) / np.log(10)), pa.ListArray.from_arrays(offsets, pa.array(word[w[new]].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times))],
                 names=["doc_id", "row", "n_tokens", "sure", "base", "score", "words", "times"],
             )
+        use.word.forget()
 
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
     rows = written(rows.mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, sure long, base double, score double, words array<bigint>, times array<bigint>"), "lm-rows", compression="lz4_raw")

@@ -119,6 +119,7 @@ def judged(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT
 def kept(docs: DataFrame, **limits: float) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
     bad = judged(docs, **limits).where(~F.col("kept")).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
+    bad = _small(written(bad, "quality-bad"))
     same = docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_bad_hash"))
     return docs.join(bad, same, "left_anti")
 

@@ -25,7 +25,7 @@ from .common import table
 SPACE = "▁"
 
 #: Words and pairs of pieces whose results a worker keeps.
-KEPT_WORDS, KEPT_PAIRS = 400_000, 200_000
+KEPT_WORDS, KEPT_PAIRS = 300_000, 100_000
 
 #: Bytes of text whose distinct words are looked up together.
 WORDS_AT_ONCE = 12_000_000
@@ -209,6 +209,8 @@ def encode_pieces(docs: DataFrame, model_file: str | None = None) -> DataFrame:
             with no_gc():
                 found = use.both_all(column(batch, "text"))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), int_lists([i for i, _ in found]), pa.array([t for _, t in found], pa.string())], names=["doc_id", "ids", "decoded"])
+        for memo in (use.spaced, use.word, use.apart):
+            memo.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")

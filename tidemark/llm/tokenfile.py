@@ -161,6 +161,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             ends = at + np.cumsum(counts)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(ends - counts), pa.array(counts), int_lists(found)], names=["doc_id", "at", "n_tokens", "ids"])
             at = int(ends[-1])
+        for memo in (use.word, use.piece):
+            memo.forget()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = ordered.mapInArrow(run, f"doc_id {kind}, at long, n_tokens long, ids array<int>").select(F.spark_partition_id().alias("part"), "*")
