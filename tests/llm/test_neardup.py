@@ -151,11 +151,42 @@ def test_empty(spark):
     assert neardup.classes(none).count() == 0 and neardup.kept(none).count() == 0
 
 
-def test_differing_bits(spark):
-    r = np.random.default_rng(2)
-    sketch = r.integers(0, 2**32, (2, 100), dtype=np.uint32)
-    sketch[1, :70] = sketch[0, :70]
-    want = int(((pm.mixed(sketch[0].astype(np.uint64)) ^ pm.mixed(sketch[1].astype(np.uint64))) & np.uint64(3) > 0).sum())
-    a, b = neardup._bits(sketch).view(np.int64).tolist()
-    df = spark.createDataFrame([(a, b)], "a array<bigint>, b array<bigint>")
-    assert df.select(neardup.differing(df.a, df.b, 4)).first()[0] == want
+def test_blocks_equal_all_pairs():
+    r = random.Random(11)
+    base = prose(r, 60)
+    texts = []
+    for _ in range(40):
+        copy = list(base)
+        for _ in range(r.randint(0, 6)):
+            copy[r.randrange(60)] = f"n{r.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    h, e = pm.words(pa.array(texts))
+    d, s, w = pm.shingles(h, e)
+    sketch = pm.sketches(d, s, w, len(texts), 100)
+    at = np.searchsorted(d, np.arange(len(texts) + 1))
+    bits = neardup._bits(sketch).view(np.int64)
+    members = [{"node": bytes([i]), "root": bytes([i]), "bands": [7, 8], "bits": bits[i].tolist(), "shingles": s[at[i] : at[i + 1]].tobytes(), "weights": b""} for i in range(len(texts))]
+    for one, other in ((members, members), (members[:15], members[15:])):
+        got = neardup._block_links(0, one, other, 0.8)
+        group = {}
+
+        def root(x, group=group):
+            while x in group:
+                x = group[x]
+            return x
+
+        def join(x, y, group=group, root=root):
+            if root(x) != root(y):
+                group[max(root(x), root(y))] = min(root(x), root(y))
+
+        for x, y in got:
+            join(x, y)
+        mine = [root(bytes([i])) for i in range(len(texts))]
+        group.clear()
+        for x in one:
+            for y in other:
+                i, j = x["node"][0], y["node"][0]
+                if i != j and exact(weights(texts[i]), weights(texts[j])) >= 0.8 - 1e-9:
+                    join(x["node"], y["node"])
+        assert mine == [root(bytes([i])) for i in range(len(texts))]
+        assert neardup._block_links(1, one, other, 0.8) == []

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import probminhash as pm
 from .arrow import column, slices
-from .common import fresh, table, written
+from .common import fresh, setting, table, written
 from .components import components
 
 #: Bands and registers of a band: at a similarity of 0.8, 0.9997 of all pairs share a bucket.
@@ -33,6 +33,9 @@ LEAST = 0.8
 #: At a similarity of 0.8 they number 15 with a standard deviation of 3.6.
 MAY_DIFFER = 30
 
+#: Nodes of a bucket that are compared with others together.
+BLOCK = 32
+
 
 #: Documents that are sketched at a time: each has some 800 arrivals in memory.
 DOCS_AT_ONCE = 400
@@ -64,15 +67,6 @@ def _bits(sketch: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(wide.reshape(len(sketch), -1, 32) << shift, axis=2)
 
 
-def differing(a: Column, b: Column, longs: int) -> Column:
-    """How many registers differ in their last two bits."""
-    total = F.lit(0)
-    for i in range(longs):
-        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
-        total = total + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
-    return total
-
-
 def sketched(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, text_hash, node, bands, bits, shingles and weights of each row.
 
@@ -154,16 +148,71 @@ def linked(rows: DataFrame, least: float = LEAST) -> DataFrame:
     now = each.join(shared.where(F.col("n") > 2).select("bucket"), "bucket").join(roots, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
     now = written(now, "members")
     open_ = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("bucket")
-    left = written(now.join(open_, "bucket").join(nodes.select("node", "bands", "bits"), "node"), "open")
-    x, y = left.alias("x"), left.alias("y")
-    before = lambda side: F.slice(F.col(f"{side}.bands"), F.lit(1), F.col(f"{side}.band"))
-    worth = differing(F.col("x.bits"), F.col("y.bits"), -(-BANDS * ROWS // 32)) <= MAY_DIFFER
-    meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & worth & ~F.arrays_overlap(before("x"), before("y"))
-    more = x.join(y, meet).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).join(pairs, ["a", "b"], "left_anti")
-    more = written(more, "pairs")
+    left = now.join(open_, "bucket").join(shared.select("bucket", "n"), "bucket").join(nodes.select("node", "bands", "bits"), "node").join(sets, "node")
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "200"):  # each row holds two blocks' shingles
+        more = written(_within(left, least), "verified")
     if not more.head(1):
         return roots
-    return _classes(spark, [roots.where(F.col("node") != F.col("root")).select(F.col("root").alias("a"), F.col("node").alias("b")), _verified(more, sets, least)])
+    return _classes(spark, [roots.where(F.col("node") != F.col("root")).select(F.col("root").alias("a"), F.col("node").alias("b")), more])
+
+
+def _within(members: DataFrame, least: float) -> DataFrame:
+    """Links a, b that join classes (root) of a bucket's members.
+
+    A bucket's members are dealt into blocks of about BLOCK, and blocks are compared with
+    blocks: nothing is made for each pair. Two nodes are compared in the first bucket
+    they share, if their classes differ, also after the links found so far, and if
+    their registers' last bits allow it.
+    """
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).alias("block")
+    fields = ["node", "root", "bands", "bits", "shingles", "weights"]
+    blocks = written(members.groupBy("bucket", "band", block).agg(F.collect_list(F.struct(*fields)).alias("m")), "blocks", compression="lz4_raw")
+    x, y = blocks.alias("x"), blocks.alias("y")
+    both = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") <= F.col("y.block")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                band, one, other = (column(batch, c)[i].as_py() for c in ("band", "one", "other"))
+                found = _block_links(band, one, other, least)
+                if found:
+                    a, b = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return both.select(F.col("x.band").alias("band"), F.col("x.m").alias("one"), F.col("y.m").alias("other")).mapInArrow(run, "a binary, b binary")
+
+
+def _block_links(band: int, one: list[dict], other: list[dict], least: float) -> list[tuple[bytes, bytes]]:
+    """Links between two blocks of a bucket that join classes; between a block's own members if both are one."""
+    if not one or not other:
+        return []
+    table = lambda side, c: np.array([m[c] for m in side], dtype=np.int64)
+    shared = table(one, "bands")[:, None, :] == table(other, "bands")[None, :, :]
+    apart = (table(one, "bits")[:, None, :] ^ table(other, "bits")[None, :, :]).view(np.uint64)
+    apart = (apart | (apart >> np.uint64(1))) & np.uint64(0x5555555555555555)
+    own = {m["node"] for m in one} == {m["node"] for m in other}
+    worth = (shared.argmax(axis=2) == band) & (np.bitwise_count(apart).sum(axis=2) <= MAY_DIFFER)
+    if own:  # a block with itself: each pair once
+        nodes = [[m["node"] for m in side] for side in (one, other)]
+        worth &= np.array([[x < y for y in nodes[1]] for x in nodes[0]])
+    above: dict[bytes, bytes] = {}
+
+    def top(root: bytes) -> bytes:
+        while root in above:
+            root = above[root]
+        return root
+
+    sides = [[(np.frombuffer(m["shingles"], "<u4"), np.frombuffer(m["weights"], "<u4") if m["weights"] else None) for m in side] for side in (one, other)]
+    found = []
+    for i, j in np.argwhere(worth).tolist():
+        p, q = top(one[i]["root"]), top(other[j]["root"])
+        if p == q:
+            continue
+        (a, wa), (b, wb) = sides[0][i], sides[1][j]
+        if pm.similarity(a, np.ones(len(a)) if wa is None else wa, b, np.ones(len(b)) if wb is None else wb) >= least - 1e-9:
+            found.append((one[i]["node"], other[j]["node"]))
+            above[max(p, q)] = min(p, q)
+    return found
 
 
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
