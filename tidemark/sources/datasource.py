@@ -1,7 +1,7 @@
 """``format("tidemark")``: a Spark data source over a dataset.
 
-Reading plans one task for each file and prunes files by equality on partition columns
-(with ``spark.sql.python.filterPushdown.enabled``). Writing stages one file for each task
+Reading plans one task for each file and prunes files by equality on partition columns.
+Writing stages one file for each task
 and publishes all of them in one commit on the driver; a failed job publishes nothing.
 ``spark.read.parquet`` remains the faster reader; this one refuses a dataset with an
 operation under way at planning time.
@@ -145,4 +145,6 @@ class _Writer(DataSourceArrowWriter):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known to a session, with the filter pushdown that its reader needs."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TidemarkSource)

@@ -22,13 +22,15 @@ def stage_frame(batch: Batch, df: DataFrame, partition_by: list[str] | None = No
     """Stage a frame's rows as complete files, one for each partition, and return their paths.
 
     Rows are dealt by the partition columns, so each file is written by one task. Where a
-    partition is too large for that, ``files`` deals its rows to as many tasks and files.
+    partition is too large for that, ``files`` deals its rows to up to as many tasks and files.
     Names are ``file.format``, or ``file-00000.format`` and so on. Partition folders keep
     the names that Spark gave them; one that Spark would hide is refused.
     """
     keys = partition_by or []
     place = batch.work / f"spark-{len(batch._staged)}"
-    if files > 1:
+    if files > 1 and not keys:
+        dealt = df.repartition(files)
+    elif files > 1:
         # Salted by the whole row: a hot partition becomes that many tasks.
         salt = F.pmod(F.xxhash64(*df.columns), F.lit(files)).alias("_salt")
         n = max(files, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
