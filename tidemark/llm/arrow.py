@@ -62,18 +62,18 @@ def int_lists(rows: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
 
 
-def by_words(values: pa.Array, word: Callable[[str], bytes | None], first: Callable[[str], bytes | None]) -> list[bytes | None]:
+def by_words(values: pa.Array, words: Callable[[list[str]], list[bytes | None]], first: Callable[[str], bytes | None]) -> list[bytes | None]:
     """Each text's ids as little-endian 32-bit integers, put together from its words'.
 
-    Texts are cut at each space. ``first`` encodes a text's first word, ``word`` any
-    other, once for each distinct word of the batch; a text with a word for which they
-    give None gives None.
+    Texts are cut at each space. ``words`` encodes the distinct words of the batch,
+    ``first`` each text's first word; a text with a word for which they give None
+    gives None.
     """
     lists = pc.split_pattern(pc.fill_null(values, ""), " ")
     ends, flat = lists.offsets.to_numpy().astype(np.int64), lists.values
     coded = flat.dictionary_encode()
     heads = flat.take(pa.array(ends[:-1])).to_pylist()
-    found = [word(w) for w in coded.dictionary.to_pylist()] + [first(w) for w in heads]
+    found = words(coded.dictionary.to_pylist()) + [first(w) for w in heads]
     which = coded.indices.to_numpy().astype(np.int64)
     which[ends[:-1]] = len(found) - len(heads) + np.arange(len(heads))
     odd = np.array([f is None for f in found], dtype=bool)

@@ -174,7 +174,7 @@ class PieceCodec:
         Where every word decodes to itself behind its space, so does the text: it is
         not put together anew.
         """
-        found = by_words(values, self.spaced.__getitem__, self.spaced.__getitem__) if self.prefix and len(values) else [None] * len(values)
+        found = by_words(values, lambda words: list(map(self.spaced.__getitem__, words)), self.spaced.__getitem__) if self.prefix and len(values) else [None] * len(values)
         out = []
         for v, f in zip(values, found, strict=True):
             text = v.as_py() or ""

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .arrow import Memo, by_words, column, int_lists, no_gc, slices
 from .common import local, scratch_path, table
 
-KEPT_WORDS = 320_000
+KEPT_WORDS = 250_000
 
 #: Bytes of text whose distinct words are looked up together.
 WORDS_AT_ONCE = 12_000_000
@@ -73,7 +73,7 @@ class WordTokens:
         self.split = self.split and all("<" in t.content and " " not in t.content and not (t.lstrip or t.rstrip) for t in added)
         self.merges, self.letters = self.tokenizer.model.tokenize, _byte_letters()
         self.piece: Memo = Memo(self._piece, KEPT_WORDS // 4)
-        self.word: Memo = Memo(self._word, KEPT_WORDS)
+        self.word: Memo = Memo(self._word, 4 * KEPT_WORDS)
         self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def lettered(self, piece: str) -> str:
@@ -105,6 +105,18 @@ class WordTokens:
             return self.word[head] + self.piece[tail]
         return self.one(" " + word)
 
+    def all_words(self, words: list[str]) -> list[bytes | None]:
+        """Ids of words behind a space; most words are looked up or go straight to the merges."""
+        known, merges, raw, out = self.word, self.merges, self.raw, []
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        for w in words:
+            ids = known.get(w, 0)
+            if ids == 0:
+                ids = known[w] = b"".join([raw[t.id] for t in merges("Ġ" + w)]) if w.isascii() and w.isalpha() else self._word(w)
+            out.append(ids)
+        return out
+
     def _first(self, word: str) -> bytes | None:
         return None if not word or word[-1].isspace() else self.one(word)
 
@@ -124,7 +136,7 @@ class WordTokens:
 
     def encode_all(self, values: pa.Array) -> list[bytes]:
         """The ids of each text, null as empty, word by word where spaces part words."""
-        found = by_words(values, self.word.__getitem__, self._first) if self.split and len(values) else [None] * len(values)
+        found = by_words(values, self.all_words, self._first) if self.split and len(values) else [None] * len(values)
         return [self.encode(v.as_py() or "") if f is None else f for v, f in zip(values, found, strict=True)]
 
 
@@ -161,8 +173,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             ends = at + np.cumsum(counts)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(ends - counts), pa.array(counts), int_lists(found)], names=["doc_id", "at", "n_tokens", "ids"])
             at = int(ends[-1])
-        for memo in (use.word, use.piece):
-            memo.forget()
+        use.piece.forget()
+        use.word.forget()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = ordered.mapInArrow(run, f"doc_id {kind}, at long, n_tokens long, ids array<int>").select(F.spark_partition_id().alias("part"), "*")
