@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -54,6 +55,23 @@ def no_gc() -> Iterator[None]:
             gc.enable()
 
 
+def tidy(run: Callable) -> Callable:
+    """The same batches; at a task's end the worker, which may wait long, gives memory back."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return inner
+
+
 def int_lists(rows: list[bytes]) -> pa.Array:
     """A list<int32> column from the little-endian bytes of each row."""
     ends = np.zeros(len(rows) + 1, dtype=np.int64)
@@ -111,4 +129,3 @@ class Memo(dict):
         """Give the memory back; a worker may wait long for its next task."""
         self.clear()
         self.old = {}
-        pa.default_memory_pool().release_unused()

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .arrow import column, slices, texts
+from .arrow import column, slices, texts, tidy
 from .common import table, written
 
 #: WAV format tags of the three codecs.
@@ -171,7 +171,7 @@ def to_media(docs: DataFrame) -> DataFrame:
             media = [wav(p, codec_of(p)) for p in map(payload_of, raw)]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, media binary")
 
 
 def resampled(media: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def resampled(media: DataFrame) -> DataFrame:
             codecs, rates, payloads, pcm = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.array(codecs, pa.string()), pa.array(rates, pa.int32()), pa.array(payloads, pa.binary()), pa.array(pcm, pa.binary())], names=[*keep, "codec", "rate", "payload", "pcm"])
 
-    return media.mapInArrow(run, ", ".join([*kinds, "codec string", "rate int", "payload binary", "pcm binary"]))
+    return media.mapInArrow(tidy(run), ", ".join([*kinds, "codec string", "rate int", "payload binary", "pcm binary"]))
 
 
 def _resampled(media: list[bytes | None]) -> list[tuple]:
@@ -227,7 +227,7 @@ def features(media: DataFrame) -> DataFrame:
             n, sha, tail, size, media_sha, said = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "n_bytes"), pa.array(n, pa.int64()), pa.array(sha), pa.array(tail, pa.int64()), pa.array(size, pa.int64()), pa.array(media_sha), pa.array(said)], names=names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Strips the same characters that separate words.
 WHITE = " \t\n\x0b\x0c\r"
 
+#: Bytes of a batch that a Python worker gets at a time.
+BATCH_BYTES = "16m"
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -63,9 +66,17 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def release(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table that no result reads any more."""
-    _drop(spark, path)
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Scratch tables made inside are removed at the end, but for those put into the list."""
+    keep: list[DataFrame] = []
+    before = len(_made)
+    yield keep
+    kept = {df._tidemark_path for df in keep}
+    for item in _made[before:]:
+        if item[1] not in kept:
+            _drop(*item)
+            _made.remove(item)
 
 
 def written(df: DataFrame, label: str, **options: str) -> DataFrame:
@@ -75,7 +86,8 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.options(**options).parquet(path)
+    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES):
+        df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
     return out
@@ -86,7 +98,7 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-#: Rows of a driver-made table up to which it is broadcast.
+#: Rows of a table up to which it is broadcast.
 BROADCAST_ROWS = 100_000
 
 
@@ -110,6 +122,11 @@ def local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(df) if len(rows) <= BROADCAST_ROWS else df
 
 
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a written table if its count allows; else the join is shuffled and skew is split."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def smallest(rows: DataFrame, key: str, most: int) -> DataFrame:
     """The ``most`` rows of smallest hash of a key column, or all; ties by text.
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .arrow import column, slices, texts
+from .arrow import column, slices, texts, tidy
 from .common import smallest, table, written
 
 #: Characters of an n-gram, and what stands around a text and for all that is no letter.
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 h, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.where(np.arange(len(h)) == 0, len(parts), 0).astype(np.int64))], names=["lang", "h", "n", "docs"])
 
-    counted = picked.mapInArrow(run, "lang string, h long, n long, docs long")
+    counted = picked.mapInArrow(tidy(run), "lang string, h long, n long, docs long")
     total = counted.groupBy("lang").agg(F.sum("docs").alias("all"))
     tops = counted.groupBy("lang", "h").agg(F.sum("n").alias("n"))
     tops = tops.join(F.broadcast(total), "lang").withColumn("share", F.col("n") / F.col("all"))
@@ -193,7 +193,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
             found = [use.predict(t) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([p for p, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

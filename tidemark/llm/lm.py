@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import attention
-from .arrow import Memo, column, no_gc, slices
+from .arrow import Memo, column, no_gc, slices, tidy
 from .common import smallest, table, written
 from .langid import remainder
 from .tokenfile import default_tokenizer, encoder
@@ -59,7 +59,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             n = np.bincount(which, minlength=len(known)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(hashes(known.to_pylist()).view(np.int64)), pa.array(n)], names=["word", "n"])
 
-    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Subwords:
@@ -162,7 +162,7 @@ def scored(docs: DataFrame, training: Column, tokenizer: str | None = None, samp
         use.word.forget()
 
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    rows = written(rows.mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, sure long, base double, score double, words array<bigint>, times array<bigint>"), "lm-rows", compression="lz4_raw")
+    rows = written(rows.mapInArrow(tidy(run), f"doc_id {kind}, row long, n_tokens long, sure long, base double, score double, words array<bigint>, times array<bigint>"), "lm-rows", compression="lz4_raw")
     each = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     rare = counts.where(F.col("n") < least)
     tail = each.join(rare, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("tail_base"), F.sum("times").alias("tail_known"))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, local, n_words, table, written
+from .common import WORD, fresh, local, n_words, passing, table, written
 
 #: Bits of the hash, and bits that a histogram resolves at a time.
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -143,7 +143,8 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...]
 
 def mixed(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it takes it, with all their columns."""
-    plan = _plan(_rows(docs, size), weights, share, most)
+    with passing(docs.sparkSession):
+        plan = _plan(_rows(docs, size), weights, share, most)
     copies = plan["base"] + (row_hash(docs["doc_id"]) < plan["cut"]).cast("int")
     taken = docs.join(plan, source_key(docs["source"]) == plan["pkey"]).where(copies > 0)
     extra = fresh(docs, "copy")

@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import probminhash as pm
-from .arrow import column, slices
-from .common import fresh, setting, table, written
+from .arrow import column, slices, tidy
+from .common import fresh, passing, setting, small, table, written
 from .components import components
 
 #: Bands and registers of a band: at a similarity of 0.8, 0.9997 of all pairs share a bucket.
@@ -95,7 +95,7 @@ def sketched(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text_hash"), pa.array(nodes, pa.binary()), _longs(band, some), _longs(_bits(sketch), some), pa.array(sets, pa.binary()), pa.array(loads, pa.binary())], names=["doc_id", "text_hash", "node", "bands", "bits", "shingles", "weights"])
 
     rows_in = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"), "text")
-    return rows_in.mapInArrow(run, f"doc_id {kind}, text_hash long, node binary, bands array<bigint>, bits array<bigint>, shingles binary, weights binary")
+    return rows_in.mapInArrow(tidy(run), f"doc_id {kind}, text_hash long, node binary, bands array<bigint>, bits array<bigint>, shingles binary, weights binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -106,7 +106,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for sa, wa, sb, wb in zip(*(column(batch, c).to_pylist() for c in ("sa", "wa", "sb", "wb")), strict=True):
+            for sa, wa, sb, wb in (tuple(column(batch, c)[i].as_py() for c in ("sa", "wa", "sb", "wb")) for i in range(batch.num_rows)):
                 a, b = np.frombuffer(sa, "<u4"), np.frombuffer(sb, "<u4")
                 fa = np.frombuffer(wa, "<u4") if wa else np.ones(len(a))
                 fb = np.frombuffer(wb, "<u4") if wb else np.ones(len(b))
@@ -114,7 +114,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             out = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
             yield out
 
-    return rows.select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(run, "a binary, b binary")
+    return rows.select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(tidy(run), "a binary, b binary")
 
 
 def _classes(spark: SparkSession, links: list[DataFrame]) -> DataFrame:
@@ -179,7 +179,7 @@ def _within(members: DataFrame, least: float) -> DataFrame:
                     a, b = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return both.select(F.col("x.band").alias("band"), F.col("x.m").alias("one"), F.col("y.m").alias("other")).mapInArrow(run, "a binary, b binary")
+    return both.select(F.col("x.band").alias("band"), F.col("x.m").alias("one"), F.col("y.m").alias("other")).mapInArrow(tidy(run), "a binary, b binary")
 
 
 def _block_links(band: int, one: list[dict], other: list[dict], least: float) -> list[tuple[bytes, bytes]]:
@@ -237,10 +237,12 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
 def kept(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """One row of docs for each class: the one of smallest doc_id, with all its columns."""
-    found = written(classes(docs, least), "near-classes")
+    with passing(docs.sparkSession) as keep:
+        keep.append(written(classes(docs, least), "near-classes"))
+    found = keep[0]
     own, other = fresh(docs, "row_key"), fresh(docs, "found_key")
     key = F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).alias(other)
-    gone = found.where(~F.col("representative")).select(key).distinct()
+    gone = small(written(found.where(~F.col("representative")).select(key).distinct(), "near-gone"))
     rows = docs.withColumn(own, F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("hash")))
     left = rows.join(gone, F.col(own) == F.col(other), "left_anti")
     # Rows that repeat a representative word for word: one of them stays.

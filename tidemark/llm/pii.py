@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import boost
-from .common import table, written
+from .common import BROADCAST_ROWS, passing, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -323,8 +323,14 @@ def redacted(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     helper = "_pii_text_hash"
-    found = detected(docs.select("doc_id", "text", F.xxhash64(text).alias(helper)), ["doc_id", helper])
-    found = found.where((F.size("base") > 0) | (F.size("added") > 0)).select(F.col("doc_id").alias("_pii_id"), F.col(helper).alias("_pii_hash"), F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).alias("_pii_spans")).dropDuplicates(["_pii_id", "_pii_hash"])
+    with passing(docs.sparkSession) as keep:
+        found = detected(docs.select("doc_id", "text", F.xxhash64(text).alias(helper)), ["doc_id", helper])
+        placed = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+        found = found.where((F.size("base") > 0) | (F.size("added") > 0)).select(F.col("doc_id").alias("_pii_id"), F.col(helper).alias("_pii_hash"), placed.alias("_pii_spans"))
+        keep.append(written(found.dropDuplicates(["_pii_id", "_pii_hash"]), "pii-found"))
+    found = keep[0]
+    if (found.agg(F.sum(1 + F.size("_pii_spans"))).first()[0] or 0) <= BROADCAST_ROWS:
+        found = F.broadcast(found)
     same = docs["doc_id"].eqNullSafe(F.col("_pii_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_pii_hash"))
     out = docs.join(found, same, "left")
 

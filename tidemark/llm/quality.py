@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WORD, table, written
+from .common import WORD, passing, small, table, written
 from .mixing import source_key
 
 #: Words of the windows whose repeats are counted.
@@ -91,15 +91,10 @@ def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """
     each = rows.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     many = written(each.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).select("host", "h"), "lines-many")
-    few = each.join(_small(many), ["host", "h"]).groupBy("host", "h", "text_hash").agg(F.count("*").alias("n"))
+    few = each.join(small(many), ["host", "h"]).groupBy("host", "h", "text_hash").agg(F.count("*").alias("n"))
     return few.groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("host", "h")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast a written table if its count allows; else the join is shuffled and skew is split."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def judged(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """One row for each row of docs: doc_id, text_hash, statistics, words_left, kept.
 
@@ -110,7 +105,7 @@ def judged(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT
     rows = written(statistics(docs), "quality-rows", compression="zstd")
     common = written(frequent_lines(rows, max_docs), "lines-common")
     each = rows.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.h", "line.w")
-    lost = each.join(_small(common), ["host", "h"]).groupBy("row").agg(F.sum("w").alias("lost"))
+    lost = each.join(small(common), ["host", "h"]).groupBy("row").agg(F.sum("w").alias("lost"))
     out = rows.drop("lines").join(lost, "row", "left")
     left = F.col("n_words") - F.coalesce(F.col("lost"), F.lit(0))
     return out.withColumn("words_left", left).withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= F.lit(min_left) * F.col("n_words"))).drop("row", "lost", "host")
@@ -118,8 +113,10 @@ def judged(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT
 
 def kept(docs: DataFrame, **limits: float) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns."""
-    bad = judged(docs, **limits).where(~F.col("kept")).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
-    bad = _small(written(bad, "quality-bad"))
+    with passing(docs.sparkSession) as keep:
+        bad = judged(docs, **limits).where(~F.col("kept")).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
+        keep.append(written(bad, "quality-bad"))
+    bad = small(keep[0])
     same = docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_bad_hash"))
     return docs.join(bad, same, "left_anti")
 

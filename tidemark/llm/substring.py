@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import column, no_gc, slices, texts
+from .arrow import column, no_gc, slices, texts, tidy
 from .common import table, written
 
 #: Bytes that the hash sees, and the zero bits that make a cut.
@@ -106,7 +106,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             ints = lambda parts: pa.array(np.concatenate(parts).astype(np.int32))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(which), ints(starts), ints(ends), ints(sizes), pa.array(np.array(digests, dtype=np.uint64).view(np.int64))], names=["doc_id", "start", "end", "size", "digest"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start int, end int, size int, digest long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, start int, end int, size int, digest long")
 
 
 def passages(docs: DataFrame, least: int = PASSAGE) -> DataFrame:

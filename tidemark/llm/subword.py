@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import Memo, by_words, column, int_lists, no_gc, slices
+from .arrow import Memo, by_words, column, int_lists, no_gc, slices, tidy
 from .common import table
 
 #: The mark that stands for a space.
@@ -213,7 +213,7 @@ def encode_pieces(docs: DataFrame, model_file: str | None = None) -> DataFrame:
             memo.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow import Memo, by_words, column, int_lists, no_gc, slices
+from .arrow import Memo, by_words, column, int_lists, no_gc, slices, tidy
 from .common import local, scratch_path, table
 
 KEPT_WORDS = 250_000
@@ -177,7 +177,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         use.word.forget()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows = ordered.mapInArrow(run, f"doc_id {kind}, at long, n_tokens long, ids array<int>").select(F.spark_partition_id().alias("part"), "*")
+    rows = ordered.mapInArrow(tidy(run), f"doc_id {kind}, at long, n_tokens long, ids array<int>").select(F.spark_partition_id().alias("part"), "*")
     options = {"compression": "lz4_raw", "parquet.enable.dictionary": "true", "parquet.writer.version": "v2", "parquet.dictionary.page.size": str(1 << 20), "parquet.block.size": str(row_group), "parquet.page.size": str(page_bytes), "parquet.page.row.count.limit": str(page_rows)}
     rows.write.options(**options).parquet(path)
 
@@ -210,7 +210,7 @@ def id_checksums(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "start"), pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "start", "ids").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return rows.select("doc_id", "start", "ids").mapInArrow(tidy(run), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
