@@ -1,8 +1,8 @@
 """Near-duplicate documents by ProbMinHash, banding and verification.
 
 Texts with the same words are one node. A node's sketch is cut into bands; nodes that
-agree in a band share a bucket. All nodes of a bucket are compared with one of them, its
-centre; then those that still stand in different classes are compared pair by pair, each
+agree in a band share a bucket. All nodes of a bucket are compared with a few of them, its
+centres; then those that still stand in different classes are compared pair by pair, each
 pair in the first bucket it shares and if its sketches don't rule it out. So a large
 class of near copies costs a comparison or a few for each copy, and no link is lost.
 Comparisons are exact.
@@ -30,11 +30,15 @@ BANDS, ROWS = 20, 5
 LEAST = 0.8
 
 #: Registers, of 100, that may differ in their last two bits between nodes worth comparing.
-#: At a similarity of 0.8 they number 15 with a standard deviation of 3.6.
-MAY_DIFFER = 30
+#: At a similarity of 0.8 they number 15 with a standard deviation of 3.6, so about one
+#: pair in 2,000 at the very threshold is left out, and far fewer above it.
+MAY_DIFFER = 27
+
+#: Centres of a bucket, with which all its nodes are compared.
+CENTRES = 3
 
 #: Nodes of a bucket that are compared with others together.
-BLOCK = 32
+BLOCK = 200
 
 
 #: Documents that are sketched at a time: each has some 800 arrivals in memory.
@@ -133,10 +137,11 @@ def linked(rows: DataFrame, least: float = LEAST) -> DataFrame:
     nodes = known.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "bands", "bits")).alias("r")).select("node", "r.*")
     nodes = written(nodes, "nodes")
     each = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    shared = written(each.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where(F.col("n") > 1), "buckets")
-    pairs = each.join(shared, "bucket").where(F.col("node") != F.col("centre")).select(F.col("centre").alias("a"), F.col("node").alias("b"))
-    pairs = written(pairs.distinct(), "pairs")
-    # A pair's nodes are all that are ever compared: whoever shares a bucket has its centre.
+    centres = [F.min_by("node", F.xxhash64(F.lit(i), "node")) for i in range(CENTRES)]
+    shared = written(each.groupBy("bucket").agg(F.array_distinct(F.array(*centres)).alias("centres"), F.count("*").alias("n")).where(F.col("n") > 1), "buckets")
+    pairs = each.join(shared, "bucket").select("node", F.explode("centres").alias("centre")).where(F.col("node") != F.col("centre"))
+    pairs = written(pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "pairs")
+    # A pair's nodes are all that are ever compared: whoever shares a bucket has its centres.
     asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
     asked = nodes.select("node", "doc_id", "text_hash").join(asked, "node")
     same = (F.col("k.node") == F.col("r.node")) & F.col("k.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("k.text_hash") == F.col("r.text_hash"))
@@ -149,7 +154,7 @@ def linked(rows: DataFrame, least: float = LEAST) -> DataFrame:
     now = written(now, "members")
     open_ = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("bucket")
     left = now.join(open_, "bucket").join(shared.select("bucket", "n"), "bucket").join(nodes.select("node", "bands", "bits"), "node").join(sets, "node")
-    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "200"):  # each row holds two blocks' shingles
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "20"):  # each row holds two blocks' shingles
         more = written(_within(left, least), "verified")
     if not more.head(1):
         return roots
@@ -192,6 +197,9 @@ def _block_links(band: int, one: list[dict], other: list[dict], least: float) ->
     apart = (apart | (apart >> np.uint64(1))) & np.uint64(0x5555555555555555)
     own = {m["node"] for m in one} == {m["node"] for m in other}
     worth = (shared.argmax(axis=2) == band) & (np.bitwise_count(apart).sum(axis=2) <= MAY_DIFFER)
+    ids: dict[bytes, int] = {}
+    roots = [np.array([ids.setdefault(m["root"], len(ids)) for m in side]) for side in (one, other)]
+    worth &= roots[0][:, None] != roots[1][None, :]
     if own:  # a block with itself: each pair once
         nodes = [[m["node"] for m in side] for side in (one, other)]
         worth &= np.array([[x < y for y in nodes[1]] for x in nodes[0]])
@@ -202,19 +210,32 @@ def _block_links(band: int, one: list[dict], other: list[dict], least: float) ->
             root = above[root]
         return root
 
-    sides = [[(np.frombuffer(m["shingles"], "<u4"), np.frombuffer(m["weights"], "<u4") if m["weights"] else None) for m in side] for side in (one, other)]
+    sides = [[_Set(m["shingles"], m["weights"]) for m in side] for side in (one, other)]
     found = []
     for i, j in np.argwhere(worth).tolist():
         p, q = top(one[i]["root"]), top(other[j]["root"])
-        if p == q:
-            continue
-        (a, wa), (b, wb) = sides[0][i], sides[1][j]
-        if pm.similarity(a, np.ones(len(a)) if wa is None else wa, b, np.ones(len(b)) if wb is None else wb) >= least - 1e-9:
+        if p != q and sides[0][i].similarity(sides[1][j]) >= least - 1e-9:
             found.append((one[i]["node"], other[j]["node"]))
             above[max(p, q)] = min(p, q)
     return found
 
 
+class _Set:
+    """A node's weighted shingles, compared as plain sets where all weights are 1."""
+
+    def __init__(self, shingles: bytes, weights: bytes):
+        self.values = np.frombuffer(shingles, "<u4")
+        self.weights = np.frombuffer(weights, "<u4") if weights else None
+        self.plain = frozenset(self.values.tolist()) if self.weights is None else None
+
+    def similarity(self, other: _Set) -> float:
+        if self.plain is not None and other.plain is not None:
+            both = len(self.plain & other.plain)
+            return both / (len(self.plain) + len(other.plain) - both)
+        one = lambda x: np.ones(len(x.values)) if x.weights is None else x.weights
+        return pm.similarity(self.values, one(self), other.values, one(other))
+
+
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """One row for each row of docs: doc_id, text_hash, class_id, class_hash, representative.
 
