@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from .arrow import Memo, by_words, column, int_lists, no_gc, slices, tidy
 from .common import local, scratch_path, table
 
-KEPT_WORDS = 250_000
+KEPT_WORDS = 200_000
 
 #: Bytes of text whose distinct words are looked up together.
-WORDS_AT_ONCE = 12_000_000
+WORDS_AT_ONCE = 8_000_000
 
 #: Row groups in bytes, pages in bytes and rows. Page indexes are written with every file.
 ROW_GROUP, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2_000
@@ -109,11 +109,16 @@ class WordTokens:
         """Ids of words behind a space; most words are looked up or go straight to the merges."""
         known, merges, raw, out = self.word, self.merges, self.raw, []
         if len(known) > KEPT_WORDS:
+            known.old = dict(known)
             known.clear()
+        old = known.old
         for w in words:
             ids = known.get(w, 0)
             if ids == 0:
-                ids = known[w] = b"".join([raw[t.id] for t in merges("Ġ" + w)]) if w.isascii() and w.isalpha() else self._word(w)
+                ids = old.get(w, 0)
+                if ids == 0:
+                    ids = b"".join([raw[t.id] for t in merges("Ġ" + w)]) if w.isascii() and w.isalpha() else self._word(w)
+                known[w] = ids
             out.append(ids)
         return out
 
@@ -173,8 +178,6 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             ends = at + np.cumsum(counts)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(ends - counts), pa.array(counts), int_lists(found)], names=["doc_id", "at", "n_tokens", "ids"])
             at = int(ends[-1])
-        use.piece.forget()
-        use.word.forget()
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = ordered.mapInArrow(tidy(run), f"doc_id {kind}, at long, n_tokens long, ids array<int>").select(F.spark_partition_id().alias("part"), "*")
