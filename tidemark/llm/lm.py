@@ -8,6 +8,7 @@ and scores every text's subword ids in overlapping windows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -90,11 +91,21 @@ def streams(use: Subwords, known: pa.Array, which: np.ndarray, ends: np.ndarray)
 
 
 def fit(docs: DataFrame, tokenizer: str, sample: int = SAMPLE) -> attention.Model:
-    """The attention model, from the ``sample`` documents of smallest hash."""
-    picked = smallest(docs.select("doc_id", "text"), "doc_id", sample).toArrow()
-    use = subwords(tokenizer)
-    ids, ends = streams(use, *words(picked.column("text").combine_chunks()))
-    return attention.fit([ids[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)], use.size)
+    """The attention model, from the ``sample`` documents of smallest hash.
+
+    One task trains it, as Spark gives its workers a thread each; the driver's numpy
+    might spread the small products over all cores and lose time to it.
+    """
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = subwords(tokenizer)
+        parts = [streams(use, *words(column(b, "text"))) for b in batches]
+        made = attention.fit([ids[i:j] for ids, ends in parts for i, j in zip(ends[:-1], ends[1:], strict=True)], use.size)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], names=["model"])
+
+    picked = smallest(docs.select("doc_id", "text"), "doc_id", sample).select("text")
+    found = picked.coalesce(1).mapInArrow(tidy(train), "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else attention.fit([], subwords(tokenizer).size)
 
 
 def head(counts: DataFrame, most: int = HEAD) -> tuple[int, np.ndarray, np.ndarray]:
