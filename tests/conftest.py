@@ -1,5 +1,9 @@
-import pytest
-from pyspark.sql import SparkSession
+import os
+
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # small products; before numpy is imported
+
+import pytest  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 
 
 @pytest.fixture(scope="session")
