@@ -24,7 +24,7 @@ class Lab:
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
         shared = spark.conf.get("spark.checkpoint.dir", None) or ""
         parent = shared.removeprefix("file://") if shared.startswith("file:/") else None
-        if parent is None and not spark.sparkContext.master.startswith("local"):
+        if parent is None and not f"{spark.sparkContext.master}[".startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder (file://) that driver and executors share")
         if parent:
             Path(parent).mkdir(parents=True, exist_ok=True)
