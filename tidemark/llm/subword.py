@@ -25,10 +25,10 @@ from .common import table
 SPACE = "▁"
 
 #: Words and pairs of pieces whose results a worker keeps.
-KEPT_WORDS, KEPT_PAIRS = 300_000, 100_000
+KEPT_WORDS, KEPT_PAIRS = 120_000, 100_000
 
 #: Bytes of text whose distinct words are looked up together.
-WORDS_AT_ONCE = 12_000_000
+WORDS_AT_ONCE = 4_000_000
 
 
 class PieceCodec:
