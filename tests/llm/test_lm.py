@@ -140,3 +140,58 @@ def test_model_learns_order():
     counts = np.bincount(np.concatenate([chain(500) for _ in range(20)]), minlength=40) + 0.5
     alone = np.log(counts / counts.sum())[text].sum()
     assert model.log_probs(text, np.array([0, len(text)]))[0] > alone + 100
+
+
+def test_classes_rest_on_all_training_documents(spark):
+    """Subword ids that only documents outside the first sample have are counted, too."""
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = lm.default_tokenizer()
+    use = lm.subwords(path)
+    want = np.zeros(use.size + 1, dtype=np.int64)
+    for _, text in rows:
+        for word in tokens(text)[:-1]:
+            want += np.bincount(np.frombuffer(use.make(word), "<i4"), minlength=len(want))
+    want[-1] = len(rows)
+    got = lm.id_counts(lm.word_counts(docs), len(rows), path)
+    assert (got == want).all()
+    model = lm.fit(docs, path, got, sample=2)
+    assert (model.kind == attention.classes(want)[0]).all() and (model.share == attention.classes(want)[1]).all()
+
+
+def test_scores_follow_documents_outside_the_sample(spark):
+    """Texts like those that only the rest of the training documents holds become likelier."""
+    common = [(i, "the cat sat on the mat and the dog lay by the door") for i in range(40)]
+    rest = [(100 + i, "zebra quartz violin harbor " * 20) for i in range(40)]
+    asked = [(1001, "zebra quartz violin harbor " * 10)]
+    picked = {r.doc_id for r in lm.smallest(spark.createDataFrame(common + rest, "doc_id long, text string"), "doc_id", 3).collect()}
+    rows = common + [r for r in rest if r[0] not in picked]
+
+    def score(learn):
+        df = spark.createDataFrame(learn + asked, "doc_id long, text string")
+        return {r.doc_id: r.score for r in lm.scored(df, F.col("doc_id") < 1000, sample=3).collect()}[1001]
+
+    first = [r for r in rows if r[0] in picked]
+    assert score(rows) > score(first or common) + 20
+
+
+def test_shards_predict_each_id_once_whatever_the_batches():
+    r = np.random.default_rng(4)
+    texts = [r.integers(0, 40, n) for n in (700, 0, 31, 500, 64, 1)]
+    start = attention.fit(texts, 40, steps=3, batch=4)
+    results = []
+    for cut in ([6], [1, 5], [1] * 6):
+        shard, at = attention.Shard(start, batch=4), 0
+        for n in cut:
+            part = texts[at : at + n]
+            shard.add(np.concatenate(part), np.concatenate([[0], np.cumsum([len(t) for t in part])]))
+            at += n
+        results.append(shard.done())
+    for other in results[1:]:
+        assert all((a == b).all() for a, b in zip(results[0], other, strict=True))
+    at, weight, values = results[0]
+    n = sum(len(t) + 1 for t in texts)
+    assert n <= shard.seen.sum() < n + attention.WINDOW
+    made = attention.replaced(start, at, values)
+    assert all((a == b).all() for a, b in zip(made.weights.parts(), shard.trainer.weights.parts(), strict=True))
+    assert all((a != b).any() for a, b in zip(made.weights.parts(), start.weights.parts(), strict=True))

@@ -161,25 +161,93 @@ def fresh(vocabulary: int, seed: int = 0) -> Weights:
     return Weights(normal(0.3, vocabulary, DIM), normal(0.1, WINDOW, DIM), normal(DIM**-0.5, DIM, 3 * DIM), normal(0.1, DIM, DIM), normal(0.1, DIM, CLASSES), np.zeros(CLASSES, np.float32))
 
 
-def fit(streams: list[np.ndarray], vocabulary: int, steps: int = 2000, batch: int = 128, rate: float = 0.02, seed: int = 0) -> Model:
-    """Train on streams of ids below ``vocabulary``; the end is added as a further id."""
+class Trainer:
+    """Adam on weights that it changes in place."""
+
+    def __init__(self, weights: Weights, kind: np.ndarray):
+        self.weights, self.kind, self.steps = weights, kind, 0
+        self.first = [np.zeros_like(p) for p in weights.parts()]
+        self.second = [np.zeros_like(p) for p in weights.parts()]
+
+    def step(self, window: np.ndarray, rate: float) -> None:
+        """One step by windows of WINDOW + 1 ids."""
+        self.steps += 1
+        step, first, second = self.steps, self.first, self.second
+        _, grads, known, d_embed = gradients(self.weights, window[:, :-1], self.kind[window[:, 1:]])
+        for i, (p, g, at) in enumerate(zip(self.weights.parts(), [d_embed, *grads], [known, *[slice(None)] * 5], strict=True)):
+            first[i][at] = 0.9 * first[i][at] + 0.1 * g
+            second[i][at] = 0.99 * second[i][at] + 0.01 * g * g
+            p[at] -= (rate * (first[i][at] / (1 - 0.9**step)) / (np.sqrt(second[i][at] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+
+
+def fit(streams: list[np.ndarray], vocabulary: int, steps: int = 2000, batch: int = 128, rate: float = 0.02, seed: int = 0, counts: np.ndarray | None = None) -> Model:
+    """Train on streams of ids below ``vocabulary``; the end is added as a further id.
+
+    Classes, shares and the first bias are those of ``counts``, or else of the streams.
+    """
     end = vocabulary
     joined = np.concatenate([np.append(s, end) for s in streams]) if streams else np.array([end])
-    counts = np.bincount(joined, minlength=vocabulary + 1)
+    counts = np.bincount(joined, minlength=vocabulary + 1) if counts is None else counts
     kind, share = classes(counts)
     w = fresh(vocabulary + 1, seed)
     w.bias[:] = np.log(np.bincount(kind, weights=counts + 0.5, minlength=CLASSES) / (counts + 0.5).sum() + 1e-12)
     joined = np.concatenate([[end], joined, np.full(max(0, WINDOW + 1 - len(joined)), end)])
     r = np.random.default_rng(seed + 1)
-    first = [np.zeros_like(p) for p in w.parts()]
-    second = [np.zeros_like(p) for p in w.parts()]
+    trainer = Trainer(w, kind)
     for step in range(1, steps + 1 if streams else 1):
         start = r.integers(0, len(joined) - WINDOW, batch)
-        window = joined[start[:, None] + np.arange(WINDOW + 1)]
-        _, grads, known, d_embed = gradients(w, window[:, :-1], kind[window[:, 1:]])
-        now = rate * min(1.0, step / 50) * (1 - 0.9 * step / steps)
-        for i, (p, g, at) in enumerate(zip(w.parts(), [d_embed, *grads], [known, *[slice(None)] * 5], strict=True)):
-            first[i][at] = 0.9 * first[i][at] + 0.1 * g
-            second[i][at] = 0.99 * second[i][at] + 0.01 * g * g
-            p[at] -= (now * (first[i][at] / (1 - 0.9**step)) / (np.sqrt(second[i][at] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        trainer.step(joined[start[:, None] + np.arange(WINDOW + 1)], rate * min(1.0, step / 50) * (1 - 0.9 * step / steps))
     return Model(w, kind, share)
+
+
+class Shard:
+    """A model trained further on a shard of the texts: each id is predicted once.
+
+    Windows follow the ids alone, not the batches in which they come.
+    """
+
+    def __init__(self, model: Model, batch: int = 128, rate: float = 0.004):
+        w = Weights(*[p.copy() for p in model.weights.parts()])
+        self.trainer, self.end, self.batch, self.rate = Trainer(w, model.kind), model.end, batch, rate
+        self.rest, self.seen = np.array([model.end]), np.zeros(model.end + 1)
+
+    def add(self, ids: np.ndarray, ends: np.ndarray) -> None:
+        """The texts ids[ends[i]:ends[i + 1]], each with its end."""
+        joined = np.concatenate([self.rest, np.insert(ids, ends[1:], self.end)])
+        size = self.batch * WINDOW
+        at = 0
+        while len(joined) - at > size:
+            self._step(joined, at + WINDOW * np.arange(self.batch))
+            at += size
+        self.rest = joined[at:].copy()
+
+    def _step(self, joined: np.ndarray, start: np.ndarray) -> None:
+        window = joined[start[:, None] + np.arange(WINDOW + 1)]
+        self.seen += np.bincount(window[:, :-1].reshape(-1), minlength=len(self.seen))
+        self.trainer.step(window, self.rate / (1 + self.trainer.steps / 300))
+
+    def done(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of ``flat`` that were trained, the weight of each in a mean of shards, and their values."""
+        if len(self.rest) > 1:
+            joined = np.concatenate([self.rest, np.full(max(0, WINDOW + 1 - len(self.rest)), self.end)])
+            # The last window ends with the last id, so a few before it may be predicted again.
+            self._step(joined, np.minimum(np.arange(0, len(self.rest) - 1, WINDOW), len(joined) - WINDOW - 1))
+            self.rest = self.rest[-1:]
+        values = flat(self.trainer.weights)
+        weight = np.concatenate([self.seen, np.full(len(values) - len(self.seen), self.seen.sum())])
+        rows = np.flatnonzero(weight)
+        return rows, weight[rows], values[rows]
+
+
+def flat(w: Weights) -> np.ndarray:
+    """All weights as rows of DIM, those of the ids first."""
+    return np.concatenate([p.reshape(-1, DIM) for p in w.parts()])
+
+
+def replaced(model: Model, rows: np.ndarray, values: np.ndarray) -> Model:
+    """The model with other values in some rows of ``flat``."""
+    every = flat(model.weights)
+    every[rows] = values
+    sizes = np.cumsum([p.size // DIM for p in model.weights.parts()])[:-1]
+    parts = [x.reshape(p.shape) for x, p in zip(np.split(every, sizes), model.weights.parts(), strict=True)]
+    return Model(Weights(*parts), model.kind, model.share)

@@ -2,8 +2,10 @@
 
 Words are counted over all training documents. Scoring needs each word's count: those
 of frequent words, a bounded number, go to all tasks; the rest of a document's words
-meet their counts in a shuffled join. The attention model is fitted on a bounded sample
-and scores every text's subword ids in overlapping windows.
+meet their counts in a shuffled join. The attention model has its classes from the counts
+of subword ids over all training documents. It starts from a bounded sample; shards of
+all training documents train it further, each by itself, and their weighted mean scores
+every text's subword ids in overlapping windows.
 """
 
 from __future__ import annotations
@@ -28,9 +30,12 @@ from .tokenfile import default_tokenizer, encoder
 #: Words whose counts are broadcast at most: 16 bytes each.
 HEAD = 1 << 20
 
-#: Training documents that the attention model is fitted on: those of the smallest hash.
+#: Training documents that the attention model starts from: those of the smallest hash.
 SAMPLE = 1500
 
+#: Words of a shard, about; the number of shards follows the training documents.
+SHARD_WORDS = 2_000_000
+
 #: Bytes of text that a worker handles at a time.
 AT_ONCE = 8_000_000
 
@@ -52,15 +57,15 @@ def hashes(known: list[str]) -> np.ndarray:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word (64-bit hash) and n over all texts. A batch's counts are combined before the shuffle."""
+    """word (64-bit hash), its text and n over all texts. A batch's counts are combined before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=AT_ONCE):
             known, which, _ = words(column(batch, "text"))
             n = np.bincount(which, minlength=len(known)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes(known.to_pylist()).view(np.int64)), pa.array(n)], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes(known.to_pylist()).view(np.int64)), known, pa.array(n)], names=["word", "text", "n"])
 
-    return docs.select("text").mapInArrow(tidy(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(run), "word long, text string, n long").groupBy("word", "text").agg(F.sum("n").alias("n"))
 
 
 class Subwords:
@@ -69,9 +74,9 @@ class Subwords:
     def __init__(self, path: str):
         self.use = encoder(path)
         self.size = len(self.use.raw)
-        self.word: Memo = Memo(self._word, KEPT_WORDS)
+        self.word: Memo = Memo(self.make, KEPT_WORDS)
 
-    def _word(self, word: str) -> bytes:
+    def make(self, word: str) -> bytes:
         return self.use.merged("Ġ" + word) if word.isascii() and word.isprintable() else self.use.merged(self.use.lettered(" " + word))
 
 
@@ -90,8 +95,32 @@ def streams(use: Subwords, known: pa.Array, which: np.ndarray, ends: np.ndarray)
     return pool[np.repeat((np.cumsum(sizes) - sizes)[which] - till[:-1], n) + np.arange(till[-1])], till[ends]
 
 
-def fit(docs: DataFrame, tokenizer: str, sample: int = SAMPLE) -> attention.Model:
-    """The attention model, from the ``sample`` documents of smallest hash.
+def id_counts(counts: DataFrame, n_docs: int, tokenizer: str) -> np.ndarray:
+    """How often each subword id, and the end as the last, stands in the texts whose words are counted.
+
+    Each distinct word is encoded once. A task sends a count for each id at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = subwords(tokenizer)
+        n = np.zeros(use.size)
+        for batch in batches:
+            with no_gc():
+                raw = [use.make(w) for w in column(batch, "text").to_pylist()]
+            sizes = np.array([len(x) // 4 for x in raw], dtype=np.int64)
+            n += np.bincount(np.frombuffer(b"".join(raw), dtype="<i4"), weights=np.repeat(column(batch, "n").to_numpy(), sizes), minlength=use.size)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some].astype(np.int64))], names=["id", "n"])
+
+    got = counts.select("text", "n").mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(subwords(tokenizer).size + 1, dtype=np.int64)
+    out[got.column("id").to_numpy()] = got.column("n").to_numpy()
+    out[-1] = n_docs
+    return out
+
+
+def fit(docs: DataFrame, tokenizer: str, ids: np.ndarray, sample: int = SAMPLE) -> attention.Model:
+    """The model with the classes of ``ids``, counts of ids, trained on the ``sample`` documents of smallest hash.
 
     One task trains it, as Spark gives its workers a thread each; the driver's numpy
     might spread the small products over all cores and lose time to it.
@@ -100,12 +129,52 @@ def fit(docs: DataFrame, tokenizer: str, sample: int = SAMPLE) -> attention.Mode
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = subwords(tokenizer)
         parts = [streams(use, *words(column(b, "text"))) for b in batches]
-        made = attention.fit([ids[i:j] for ids, ends in parts for i, j in zip(ends[:-1], ends[1:], strict=True)], use.size)
+        made = attention.fit([x[i:j] for x, ends in parts for i, j in zip(ends[:-1], ends[1:], strict=True)], use.size, counts=ids)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], names=["model"])
 
     picked = smallest(docs.select("doc_id", "text"), "doc_id", sample).select("text")
     found = picked.coalesce(1).mapInArrow(tidy(train), "model binary").collect()
-    return pickle.loads(found[0]["model"]) if found else attention.fit([], subwords(tokenizer).size)
+    return pickle.loads(found[0]["model"]) if found else attention.fit([], subwords(tokenizer).size, counts=ids)
+
+
+def trained(model: attention.Model, docs: DataFrame, tokenizer: str, shards: int) -> attention.Model:
+    """The model trained further on all docs, in shards by hash, and the mean of what they made of it.
+
+    A shard's texts are ordered, so its result doesn't depend on files or tasks. An
+    id's row is the mean over the shards that have the id, by how often they have it.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    names = [f"v{i}" for i in range(attention.DIM)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use, now, last = subwords(tokenizer), None, None
+
+        def result() -> pa.RecordBatch:
+            at, weight, values = now.done()
+            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(weight), *[pa.array(weight * v) for v in values.T]], names=["at", "weight", *names])
+
+        for batch in slices(batches, most=AT_ONCE):
+            shard = column(batch, "shard").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if now is not None and shard[i] != last:
+                    yield result()
+                    now = None
+                if now is None:
+                    now, last = attention.Shard(shared.value), shard[i]
+                with no_gc():
+                    ids, till = streams(use, *words(column(batch, "text").slice(i, j - i)))
+                now.add(ids, till)
+        if now is not None:
+            yield result()
+        use.word.forget()
+
+    h = F.xxhash64("doc_id", "text")
+    rows = docs.select(F.pmod(h, F.lit(shards)).cast("int").alias("shard"), h.alias("h"), "text").repartitionById(shards, F.col("shard"))
+    rows = rows.sortWithinPartitions("shard", "h", "text").select("shard", "text")
+    parts = rows.mapInArrow(tidy(run), f"at long, weight double, {', '.join(f'{v} double' for v in names)}")
+    got = parts.groupBy("at").agg(*[(F.sum(v) / F.sum("weight")).cast("float").alias(v) for v in names]).toArrow()
+    return attention.replaced(model, got.column("at").to_numpy(), np.stack([got.column(v).to_numpy() for v in names], axis=1))
 
 
 def head(counts: DataFrame, most: int = HEAD) -> tuple[int, np.ndarray, np.ndarray]:
@@ -128,7 +197,8 @@ def scored(docs: DataFrame, training: Column, tokenizer: str | None = None, samp
     ``training`` tells the rows to learn from. Tokens are words in lower case (A-Z
     alone) and one end for each text; null texts have the end alone. base_score adds up
     log10((c + 1) / (N + V + 1)) for counts c, N tokens and V distinct ones of the
-    training rows; score is the attention model's log10 probability. Without a training
+    training rows; score is the log10 probability of the attention model, which all of them
+    train. Without a training
     row N and V are 0 and the model is as it was at first. Only doc_id and text are
     read, beside what ``training`` reads.
     """
@@ -140,7 +210,10 @@ def scored(docs: DataFrame, training: Column, tokenizer: str | None = None, samp
     sums = counts.agg(F.sum("n"), F.count("*")).first()
     total, distinct = (sums[0] or 0) + n_docs, sums[1] + (n_docs > 0)
     least, head_word, head_n = head(counts, most)
-    shared = spark.sparkContext.broadcast((fit(learn, path, sample), head_word, np.log10(head_n + 1.0)))
+    model = fit(learn, path, id_counts(counts, n_docs, path), sample)
+    if n_docs:
+        model = trained(model, learn, path, 1 + total // SHARD_WORDS)
+    shared = spark.sparkContext.broadcast((model, head_word, np.log10(head_n + 1.0)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     end_log = float(np.log10(n_docs + 1.0))
 
