@@ -13,7 +13,7 @@ from tidemark.llm.common import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules, or are depleted of their own lines, go."""
+    """Lines that many documents of a host share go, and documents that fail the rules or have little else."""
     return quality.kept(docs)
 
 

@@ -48,6 +48,25 @@ def test_lines_across_documents(spark, copies):
     assert left.columns == df.columns and left.count() == copies * (len(rows) - 1)
 
 
+def even(line):
+    return re.sub(r"[\x20\x09\x0B-\x0D]+", " ", line).lower().strip(" ")
+
+
+def test_kept_texts_lose_frequent_lines(spark):
+    body = [" ".join(f"w{d}x{i}" for i in range(30)) for d in range(9)]
+    rows = [(d, f"Shared  LINE\there\r\n\n {body[d]} \nshared line here\n", "h", 7) for d in range(7)]
+    rows += [(7, body[7] + "\nshared line here", "other", 7), (8, body[8] + "\n\nend", None, 7)]
+    rows += [(0, rows[0][1], "other", 7), rows[1]]  # the same id and text at another host, and a repeated row
+    rows += [(20, "shared line here\n" * 20 + "and no more than this", "h", 7)]
+    left = quality.kept(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int"), max_docs=5, min_left=0.35)
+    want = []
+    for k, text, source, n in rows[:-1]:
+        new = "\n".join(x for x in text.split("\n") if source != "h" or even(x) != "shared line here")
+        want.append((k, new, source, n if new == text else len(new)))
+    assert sorted(map(tuple, left.collect()), key=str) == sorted(want, key=str)
+    assert left.dtypes == [("doc_id", "bigint"), ("text", "string"), ("source", "string"), ("n_chars", "int")]
+
+
 def test_empty(spark):
     assert quality.judged(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     nulls = spark.createDataFrame([(None, None, None)], "doc_id long, text string, source string")

@@ -3,7 +3,7 @@
 Everything is built-in column functions. A first pass over the texts writes, for each
 row, its statistics and the hashes of its normalised lines. Lines that many distinct
 documents of a host share are found by counting hashes; a document most of whose words
-stand in such lines is rejected as depleted.
+stand in such lines is rejected as depleted. Those that are kept lose such lines.
 """
 
 from __future__ import annotations
@@ -55,10 +55,15 @@ def repeated_words(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(covered)
 
 
-def line_hashes(text: Column) -> Column:
-    """Hash and words of each line with a word, in lower case with white space made even."""
+def even_lines(text: Column) -> Column:
+    """The lines in lower case with white space made even."""
     even = F.lower(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " "))
-    lines = F.filter(F.transform(F.split(even, "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
+    return F.transform(F.split(even, "\n", -1), lambda x: F.trim(x))
+
+
+def line_hashes(text: Column) -> Column:
+    """Hash and words of each line with a word, as even_lines has them."""
+    lines = F.filter(even_lines(text), lambda x: x != "")
     return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w")))
 
 
@@ -96,7 +101,8 @@ def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
 
 
 def judged(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
-    """One row for each row of docs: doc_id, text_hash, statistics, words_left, kept.
+    """One row for each row of docs: doc_id, host, text_hash, statistics, words_left, kept,
+    and frequent: hashes of its lines above the limit, null without any.
 
     Null and empty texts have no words and fail. Null sources are a host of their own.
     Repeated rows give repeated rows with equal verdicts. Whatever other columns there
@@ -105,20 +111,38 @@ def judged(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT
     rows = written(statistics(docs), "quality-rows", compression="zstd")
     common = written(frequent_lines(rows, max_docs), "lines-common")
     each = rows.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.h", "line.w")
-    lost = each.join(small(common), ["host", "h"]).groupBy("row").agg(F.sum("w").alias("lost"))
+    lost = each.join(small(common), ["host", "h"]).groupBy("row").agg(F.sum("w").alias("lost"), F.collect_set("h").alias("frequent"))
     out = rows.drop("lines").join(lost, "row", "left")
     left = F.col("n_words") - F.coalesce(F.col("lost"), F.lit(0))
-    return out.withColumn("words_left", left).withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= F.lit(min_left) * F.col("n_words"))).drop("row", "lost", "host")
+    return out.withColumn("words_left", left).withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= F.lit(min_left) * F.col("n_words"))).drop("row", "lost")
+
+
+def without(text: Column, frequent: Column) -> Column:
+    """The text without the lines whose hash is in ``frequent``; the others stay as they are."""
+    pairs = F.zip_with(F.split(text, "\n", -1), even_lines(text), lambda raw, even: F.struct(raw.alias("raw"), F.xxhash64(even).alias("h")))
+    return F.array_join(F.transform(F.filter(pairs, lambda x: ~F.array_contains(frequent, x["h"])), lambda x: x["raw"]), "\n")
 
 
 def kept(docs: DataFrame, **limits: float) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns."""
+    """The rows of docs that the rules keep, with all their columns, without their host's frequent lines.
+
+    A text without such a line stays as it is; n_chars follows the text where the column
+    exists.
+    """
     with passing(docs.sparkSession) as keep:
-        bad = judged(docs, **limits).where(~F.col("kept")).select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
-        keep.append(written(bad, "quality-bad"))
-    bad = small(keep[0])
-    same = docs["doc_id"].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_bad_hash"))
-    return docs.join(bad, same, "left_anti")
+        verdicts = judged(docs, **limits).where(~F.col("kept") | F.col("frequent").isNotNull())
+        verdicts = verdicts.select(F.col("doc_id").alias("_line_id"), F.col("text_hash").alias("_line_hash"), F.col("host").alias("_line_host"), F.col("kept").alias("_line_kept"), F.col("frequent").alias("_line_gone"))
+        keep.append(written(verdicts.dropDuplicates(["_line_id", "_line_hash", "_line_host"]), "quality-verdicts"))
+    found = small(keep[0])
+    text = F.coalesce(docs["text"], F.lit(""))
+    same = docs["doc_id"].eqNullSafe(F.col("_line_id")) & (F.xxhash64(text) == F.col("_line_hash")) & (source_key(docs["source"]) == F.col("_line_host"))
+    out = docs.join(found, same, "left").where(F.coalesce("_line_kept", F.lit(True)))
+    whole = F.col("_line_gone").isNull()
+    out = out.withColumn("_line_new", F.when(whole, docs["text"]).otherwise(without(docs["text"], F.col("_line_gone"))))
+    new = {"text": F.col("_line_new")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(whole, docs["n_chars"]).otherwise(F.length("_line_new")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, docs[c]).alias(c) for c in docs.columns))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
