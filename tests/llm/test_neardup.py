@@ -190,3 +190,32 @@ def test_blocks_equal_all_pairs():
                     join(x["node"], y["node"])
         assert mine == [root(bytes([i])) for i in range(len(texts))]
         assert neardup._block_links(1, one, other, 0.8) == []
+
+
+def members(sets):
+    """Nodes of one bucket, of sets by shingle and weight, whose registers all differ in their last bits."""
+    out = []
+    for i, s in enumerate(sets):
+        keys = np.array(sorted(s), "<u4")
+        weight = np.array([s[k] for k in keys.tolist()], "<u4")
+        bits = (np.full(4, i % 4, np.uint64) * np.uint64(0x5555555555555555)).view(np.int64).tolist()
+        out.append({"node": bytes([i]), "root": bytes([i]), "bands": [7], "bits": bits, "shingles": keys.tobytes(), "weights": weight.tobytes() if (weight > 1).any() else b""})
+    return out
+
+
+def test_registers_rule_no_pair_out():
+    near = [{k: 1 for k in range(20)}, {k: 1 for k in range(1, 20)}]
+    assert neardup._block_links(0, members(near), members(near), 0.8) == [(b"\0", b"\1")]
+
+
+def test_common_weight_bounds_similarity(monkeypatch):
+    monkeypatch.setattr(neardup, "SHINGLES_AT_ONCE", 7)
+    r = random.Random(12)
+    sets = [{k: r.choice([1, 1, 1, 4]) if i % 2 else 1 for k in r.sample(range(30), r.randint(1, 30))} for i in range(40)]
+    sets.append({1000: 1})
+    sides = [[neardup._Set(m["shingles"], m["weights"]) for m in members(part)] for part in (sets[:20], sets[20:])]
+    most = neardup._most(*sides)
+    for i, x in enumerate(sets[:20]):
+        for j, y in enumerate(sets[20:]):
+            assert exact(x, y) <= most[i, j] + 1e-6
+    assert (most[:, -1] == 0).all()

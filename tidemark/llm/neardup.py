@@ -3,9 +3,10 @@
 Texts with the same words are one node. A node's sketch is cut into bands; nodes that
 agree in a band share a bucket. All nodes of a bucket are compared with a few of them, its
 centres; then those that still stand in different classes are compared pair by pair, each
-pair in the first bucket it shares and if its sketches don't rule it out. So a large
-class of near copies costs a comparison or a few for each copy, and no link is lost.
-Comparisons are exact.
+pair in the first bucket it shares. What their sets have in common bounds similarities
+from above, for all pairs of two blocks at a time; no other pair is left out. So a large
+class of near copies costs a comparison or a few for each copy, and no link between nodes
+that share a bucket is lost. Comparisons are exact.
 """
 
 from __future__ import annotations
@@ -29,17 +30,15 @@ BANDS, ROWS = 20, 5
 #: The least probability Jaccard similarity of a link.
 LEAST = 0.8
 
-#: Registers, of 100, that may differ in their last two bits between nodes worth comparing.
-#: At a similarity of 0.8 they number 15 with a standard deviation of 3.6, so about one
-#: pair in 2,000 at the very threshold is left out, and far fewer above it.
-MAY_DIFFER = 27
-
 #: Centres of a bucket, with which all its nodes are compared.
 CENTRES = 3
 
 #: Nodes of a bucket that are compared with others together.
 BLOCK = 200
 
+#: Shingles that blocks have in common, counted at a time.
+SHINGLES_AT_ONCE = 4096
+
 
 #: Documents that are sketched at a time: each has some 800 arrivals in memory.
 DOCS_AT_ONCE = 400
@@ -166,8 +165,8 @@ def _within(members: DataFrame, least: float) -> DataFrame:
 
     A bucket's members are dealt into blocks of about BLOCK, and blocks are compared with
     blocks: nothing is made for each pair. Two nodes are compared in the first bucket
-    they share, if their classes differ, also after the links found so far, and if
-    their registers' last bits allow it.
+    they share, if their classes differ, also after the links found so far, and if what
+    their sets have in common allows it.
     """
     block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).alias("block")
     fields = ["node", "root", "bands", "bits", "shingles", "weights"]
@@ -194,15 +193,17 @@ def _block_links(band: int, one: list[dict], other: list[dict], least: float) ->
     table = lambda side, c: np.array([m[c] for m in side], dtype=np.int64)
     shared = table(one, "bands")[:, None, :] == table(other, "bands")[None, :, :]
     apart = (table(one, "bits")[:, None, :] ^ table(other, "bits")[None, :, :]).view(np.uint64)
-    apart = (apart | (apart >> np.uint64(1))) & np.uint64(0x5555555555555555)
+    apart = np.bitwise_count((apart | (apart >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=2)
     own = {m["node"] for m in one} == {m["node"] for m in other}
-    worth = (shared.argmax(axis=2) == band) & (np.bitwise_count(apart).sum(axis=2) <= MAY_DIFFER)
+    worth = shared.argmax(axis=2) == band
     ids: dict[bytes, int] = {}
     roots = [np.array([ids.setdefault(m["root"], len(ids)) for m in side]) for side in (one, other)]
     worth &= roots[0][:, None] != roots[1][None, :]
     if own:  # a block with itself: each pair once
         nodes = [[m["node"] for m in side] for side in (one, other)]
         worth &= np.array([[x < y for y in nodes[1]] for x in nodes[0]])
+    if not worth.any():
+        return []
     above: dict[bytes, bytes] = {}
 
     def top(root: bytes) -> bytes:
@@ -211,8 +212,11 @@ def _block_links(band: int, one: list[dict], other: list[dict], least: float) ->
         return root
 
     sides = [[_Set(m["shingles"], m["weights"]) for m in side] for side in (one, other)]
+    worth &= _most(*sides) >= least - 1e-6
     found = []
-    for i, j in np.argwhere(worth).tolist():
+    # Those whose registers agree in most last bits first: their links spare the rest a comparison.
+    order = np.argsort(apart[worth], kind="stable")
+    for i, j in np.argwhere(worth)[order].tolist():
         p, q = top(one[i]["root"]), top(other[j]["root"])
         if p != q and sides[0][i].similarity(sides[1][j]) >= least - 1e-9:
             found.append((one[i]["node"], other[j]["node"]))
@@ -220,6 +224,36 @@ def _block_links(band: int, one: list[dict], other: list[dict], least: float) ->
     return found
 
 
+def _most(one: list[_Set], other: list[_Set]) -> np.ndarray:
+    """What no similarity of a set of one block with a set of the other exceeds.
+
+    It is the share of either set's weight that lies in shingles of both: each term of the
+    similarity is at most the shingle's share of either set's weight.
+    """
+    flat = [np.concatenate([s.values for s in side]) for side in (one, other)]
+    both = np.intersect1d(*flat)
+    common = np.zeros((2, len(one), len(other)))
+    every = []
+    for side, values in zip((one, other), flat, strict=True):
+        row = np.repeat(np.arange(len(side)), [len(s.values) for s in side])
+        share = np.concatenate([np.full(len(s.values), 1 / len(s.values)) if s.weights is None else s.weights / s.weights.sum() for s in side])
+        at = np.minimum(np.searchsorted(both, values), max(len(both) - 1, 0))
+        known = both[at] == values if len(both) else np.zeros(len(values), bool)
+        order = np.argsort(at[known], kind="stable")
+        every.append([x[known][order] for x in (at, row, share)])
+    for start in range(0, len(both), SHINGLES_AT_ONCE):
+        width = min(SHINGLES_AT_ONCE, len(both) - start)
+        has, shares = [], []
+        for side, (at, row, share) in zip((one, other), every, strict=True):
+            i, j = np.searchsorted(at, [start, start + width])
+            has.append(np.zeros((len(side), width), np.float32))
+            shares.append(np.zeros((len(side), width), np.float32))
+            has[-1][row[i:j], at[i:j] - start] = 1
+            shares[-1][row[i:j], at[i:j] - start] = share[i:j]
+        common += shares[0] @ has[1].T, has[0] @ shares[1].T
+    return common.min(axis=0)
+
+
 class _Set:
     """A node's weighted shingles, compared as plain sets where all weights are 1."""
 
