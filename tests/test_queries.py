@@ -37,5 +37,10 @@ def test_query_equals_sql(spark, tables, name):
     assert sorted((tuple(normal(r[c]) for c in names) for r in df.collect()), key=str) == want
 
 
+def test_whole_table_is_published(spark, tables):
+    """Not the first days of January alone."""
+    assert plans.QUERIES["whole_row_count"](spark, TABLES).first().n == tables.execute("SELECT count(*) FROM events").fetchone()[0]
+
+
 def test_entry(spark):
     assert plans.entry(spark, TABLES).count() == 7

@@ -29,6 +29,10 @@ _BASE = _ROWS + _DAYS.format(10)
 _REVISED = f"SELECT event_id, ts, user_id, event_type, CASE WHEN day(ts) BETWEEN 8 AND 12 THEN value + 1000 ELSE value END AS value, props, CAST(ts AS DATE) AS date FROM events WHERE {_DAYS.format(12)}"
 
 
+_WHOLE = _ROWS + "true"
+_WHOLE_REVISED = "SELECT event_id, ts, user_id, event_type, CASE WHEN CAST(ts AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-12' THEN value + 1000 ELSE value END AS value, props, CAST(ts AS DATE) AS date FROM events"
+
+
 def query(sql: str) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
@@ -333,6 +337,33 @@ def sorted_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Lab(spark, sf_dir).revised().rows().select("date", "value").orderBy("date", "value")
 
 
+@query(_WHOLE_REVISED)
+def whole_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All days of the table, five of them revised."""
+    return Lab(spark, sf_dir).whole().rows()
+
+
+@query(_WHOLE)
+def whole_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _undone(Lab(spark, sf_dir).whole())
+
+
+@query(_WHOLE)
+def whole_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lab = Lab(spark, sf_dir).whole()
+    return _stopped(lab, lambda: lab.market.rollback(quiescent=True), only="replace", at=2)
+
+
+@query(f"SELECT date, value FROM ({_WHOLE_REVISED}) ORDER BY date, value")
+def whole_sorted_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Lab(spark, sf_dir).whole().rows(pattern="date=*/data.parquet").select("date", "value").orderBy("date", "value")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n FROM events")
+def whole_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Lab(spark, sf_dir).whole().rows().agg(F.count("*").alias("n"))
+
+
 @query("SELECT 'date=2024-01-' || lpad(CAST(d AS VARCHAR), 2, '0') || '/data.parquet' AS path, CASE WHEN d = 3 THEN 'deleted' WHEN d > 10 THEN 'added' ELSE 'replaced' END AS change FROM (VALUES (3), (8), (9), (10), (11), (12)) AS t(d)")
 def inventory_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that a publication touched, by the digest of their bytes."""

@@ -46,6 +46,12 @@ class Lab:
         events = events.where(F.col("date").between(F.lit(f"2024-01-{first:02}").cast("date"), F.lit(f"2024-01-{last:02}").cast("date")))
         return events.withColumn("value", F.col("value") + F.lit(float(plus))) if plus else events
 
+    def whole(self) -> Lab:
+        """All events of the table, by date, and then days 8 to 12 of January 2024 revised."""
+        self.put(self.table("events").select(*EVENT_COLUMNS).withColumn("date", F.to_date("ts")), 1)
+        self.put(self.days(8, 12, 1000), 2)
+        return self
+
     def put(self, frame: DataFrame | None, batch: int, delete: list[str] | None = None, dataset: Dataset | None = None, keys: list[str] | None = None):
         return publish(self.spark, dataset or self.market, frame, metadata={"batch": batch}, quiescent=True, partition_by=keys or ["date"], delete=delete)
 
