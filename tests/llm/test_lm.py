@@ -153,7 +153,7 @@ def test_classes_rest_on_all_training_documents(spark):
         for word in tokens(text)[:-1]:
             want += np.bincount(np.frombuffer(use.make(word), "<i4"), minlength=len(want))
     want[-1] = len(rows)
-    got = lm.id_counts(lm.word_counts(docs), len(rows), path)
+    got = lm.id_counts(lm.encoded(lm.word_counts(docs), path), len(rows), use.size)
     assert (got == want).all()
     model = lm.fit(docs, path, got, sample=2)
     assert (model.kind == attention.classes(want)[0]).all() and (model.share == attention.classes(want)[1]).all()

@@ -103,19 +103,6 @@ class Model:
         return total
 
 
-def _hidden(w: Weights, ids: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Hidden states of windows of ids, and what the gradients need."""
-    x = w.embed[ids] + w.place
-    qkv = (x.reshape(-1, DIM) @ w.qkv).reshape(*ids.shape, 3 * DIM)
-    q, k, v = qkv[..., :DIM], qkv[..., DIM : 2 * DIM], qkv[..., 2 * DIM :]
-    scores = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(DIM**-0.5) + _MASK
-    scores -= scores.max(axis=2, keepdims=True)
-    np.exp(scores, out=scores)
-    scores /= scores.sum(axis=2, keepdims=True)
-    y = np.matmul(scores, v)
-    return x + (y.reshape(-1, DIM) @ w.out).reshape(x.shape), x, q, k, v, scores, y
-
-
 def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each id's class, of equal sums of square roots, and the log share within it, from counts + 0.5."""
     n = counts + 0.5
@@ -126,33 +113,66 @@ def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kind, (np.log(n) - np.log(np.bincount(kind, weights=n, minlength=CLASSES)[kind])).astype(np.float32)
 
 
+def _weighed(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of the last axis and their sums: shares but for the division.
+
+    Maxima are taken off only where the sums show that the exponentials left their range.
+    """
+    with np.errstate(over="ignore"):
+        raw = np.exp(scores)
+        total = raw.sum(axis=-1, keepdims=True)
+    if not 1e-15 < total.min() <= total.max() < 1e15:
+        raw = np.exp(scores - scores.max(axis=-1, keepdims=True))
+        total = raw.sum(axis=-1, keepdims=True)
+    return raw, total
+
+
 def gradients(w: Weights, ids: np.ndarray, kind: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray, np.ndarray]:
-    """Mean loss of windows, gradients of all weights but embed, and embed's by id of the windows."""
-    h, x, q, k, v, a, y = _hidden(w, ids)
-    flat = h.reshape(-1, DIM)
-    logits = flat @ w.top + w.bias
-    logits -= logits.max(axis=1, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(axis=1, keepdims=True)
-    n = len(flat)
-    right = kind.reshape(-1)
-    loss = float(-np.log(p[np.arange(n), right] + 1e-30).mean())
-    p[np.arange(n), right] -= 1
-    p /= n
-    d_top, d_bias = flat.T @ p, p.sum(axis=0)
-    dh = (p @ w.top.T).reshape(h.shape)
-    dy = (dh.reshape(-1, DIM) @ w.out.T).reshape(y.shape)
-    d_out = y.reshape(-1, DIM).T @ dh.reshape(-1, DIM)
-    da = np.matmul(dy, v.transpose(0, 2, 1))
+    """Mean loss of windows, gradients of all weights but embed, and embed's by id of the windows.
+
+    Attention shares are never divided out: what stands behind them is scaled instead,
+    which is as wide as the model and not as the window.
+    """
+    x = w.embed[ids]
+    x += w.place
+    flat_x = x.reshape(-1, DIM)
+    scale = w.qkv.dtype.type(DIM**-0.5)
+    q, k, v = (np.ascontiguousarray(flat_x @ m).reshape(x.shape) for m in (w.qkv[:, :DIM] * scale, w.qkv[:, DIM : 2 * DIM], w.qkv[:, 2 * DIM :]))
+    a = np.matmul(q, k.transpose(0, 2, 1))
+    a += _MASK
+    a, total = _weighed(a)
+    y = np.matmul(a, v)
+    y /= total
+    h = flat_x + y.reshape(-1, DIM) @ w.out
+    logits = h @ w.top
+    logits += w.bias
+    p, mass = _weighed(logits)
+    n, right = len(h), kind.reshape(-1)
+    each = np.arange(n)
+    loss = float(-np.log(p[each, right] / mass[:, 0] + 1e-30).mean())
+    p /= mass * w.qkv.dtype.type(n)
+    p[each, right] -= w.qkv.dtype.type(1 / n)
+    d_top, d_bias = h.T @ p, p.sum(axis=0)
+    dh = p @ w.top.T
+    dy = (dh @ w.out.T).reshape(x.shape)
+    d_out = y.reshape(-1, DIM).T @ dh
+    own = np.einsum("bwd,bwd->bw", dy, y)[..., None] / total
+    dy /= total
     dv = np.matmul(a.transpose(0, 2, 1), dy)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(DIM**-0.5)
-    dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), dv], axis=2).reshape(-1, 3 * DIM)
-    d_qkv = x.reshape(-1, DIM).T @ dqkv
-    dx = dh + (dqkv @ w.qkv.T).reshape(x.shape)
-    known, inverse = np.unique(ids.reshape(-1), return_inverse=True)
-    d_embed = np.zeros((len(known), DIM), dtype=np.float32)
-    np.add.at(d_embed, inverse, dx.reshape(-1, DIM))
-    return loss, [dx.sum(axis=0), d_qkv, d_out, d_top, d_bias], known, d_embed
+    ds = np.matmul(dy, v.transpose(0, 2, 1))
+    ds -= own
+    ds *= a
+    parts = [np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), dv]
+    parts[0] *= scale
+    dqkv = np.concatenate(parts, axis=2).reshape(-1, 3 * DIM)
+    d_qkv = flat_x.T @ dqkv
+    dx = dqkv @ w.qkv.T
+    dx += dh
+    order = np.argsort(ids.reshape(-1), kind="stable")
+    sorted_ids = ids.reshape(-1)[order]
+    first = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
+    d_embed = np.add.reduceat(dx[order], first, axis=0)
+    return loss, [dx.reshape(x.shape).sum(axis=0), d_qkv, d_out, d_top, d_bias], sorted_ids[first], d_embed
 
 
 def fresh(vocabulary: int, seed: int = 0) -> Weights:

@@ -1,11 +1,12 @@
 """Language-model scores of whole texts: a count base, and causal self-attention.
 
-Words are counted over all training documents. Scoring needs each word's count: those
-of frequent words, a bounded number, go to all tasks; the rest of a document's words
-meet their counts in a shuffled join. The attention model has its classes from the counts
-of subword ids over all training documents. It starts from a bounded sample; shards of
-all training documents train it further, each by itself, and their weighted mean scores
-every text's subword ids in overlapping windows.
+Words are counted over all training documents, and each distinct one is cut into subword
+ids once. Scoring needs each word's count and ids: those of frequent words, a bounded
+number, go to all tasks; the rest of a document's words are cut where they stand and meet
+their counts in a shuffled join. The attention model has its classes from the counts of
+subword ids over all training documents. It starts from a bounded sample; shards of all
+training documents, whose ids are written once, train it further, each by itself, and
+their weighted mean scores every text's ids in overlapping windows.
 """
 
 from __future__ import annotations
@@ -27,15 +28,12 @@ from .common import smallest, table, written
 from .langid import remainder
 from .tokenfile import default_tokenizer, encoder
 
-#: Words whose counts are broadcast at most: 16 bytes each.
+#: Words whose counts and ids are broadcast at most: some 30 bytes each.
 HEAD = 1 << 20
 
 #: Training documents that the attention model starts from: those of the smallest hash.
 SAMPLE = 1500
 
-#: Words of a shard, about; the number of shards follows the training documents.
-SHARD_WORDS = 2_000_000
-
 #: Bytes of text that a worker handles at a time.
 AT_ONCE = 8_000_000
 
@@ -85,35 +83,58 @@ def subwords(path: str) -> Subwords:
     return Subwords(path)
 
 
-def streams(use: Subwords, known: pa.Array, which: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Subword ids of all texts one after another, and where each text's ids end."""
-    raw = list(map(use.word.__getitem__, known.to_pylist()))
-    pool = np.frombuffer(b"".join(raw), dtype="<i4")
-    sizes = np.array([len(x) // 4 for x in raw], dtype=np.int64)
-    n = sizes[which]
+def pooled(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words one after another, and where each word's begin and end."""
+    return np.frombuffer(b"".join(raw), dtype="<i4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int64)
+
+
+def gathered(pool: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the words that stand in a pool some, one after another, and where they begin and end."""
+    n = bounds[which + 1] - bounds[which]
     till = np.concatenate([[0], np.cumsum(n)])
-    return pool[np.repeat((np.cumsum(sizes) - sizes)[which] - till[:-1], n) + np.arange(till[-1])], till[ends]
+    return pool[np.repeat(bounds[which] - till[:-1], n) + np.arange(till[-1])], till
 
 
-def id_counts(counts: DataFrame, n_docs: int, tokenizer: str) -> np.ndarray:
-    """How often each subword id, and the end as the last, stands in the texts whose words are counted.
+def packed(values: np.ndarray, till: np.ndarray) -> pa.Array:
+    """A binary column of rows of ids as little-endian 32-bit integers."""
+    return pa.Array.from_buffers(pa.binary(), len(till) - 1, [None, pa.py_buffer((4 * till).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values, dtype="<i4"))])
 
-    Each distinct word is encoded once. A task sends a count for each id at most.
-    """
+
+def unpacked(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a binary column's rows one after another, and where each row's begin and end."""
+    raw = values.to_pylist()
+    return np.frombuffer(b"".join(raw), dtype="<i4").astype(np.int64), np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int64)
+
+
+def encoded(counts: DataFrame, tokenizer: str) -> DataFrame:
+    """word, n and ids (binary) of each counted word, which is encoded this once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = subwords(tokenizer)
-        n = np.zeros(use.size)
         for batch in batches:
             with no_gc():
                 raw = [use.make(w) for w in column(batch, "text").to_pylist()]
-            sizes = np.array([len(x) // 4 for x in raw], dtype=np.int64)
-            n += np.bincount(np.frombuffer(b"".join(raw), dtype="<i4"), weights=np.repeat(column(batch, "n").to_numpy(), sizes), minlength=use.size)
+            yield pa.RecordBatch.from_arrays([column(batch, "word"), column(batch, "n"), pa.array(raw, pa.binary())], names=["word", "n", "ids"])
+
+    return counts.select("word", "text", "n").mapInArrow(tidy(run), "word long, n long, ids binary")
+
+
+def id_counts(counts: DataFrame, n_docs: int, size: int) -> np.ndarray:
+    """How often each subword id, and the end as the last, stands in the texts whose words are counted.
+
+    A task sends a count for each id at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size)
+        for batch in batches:
+            ids, till = unpacked(column(batch, "ids"))
+            n += np.bincount(ids, weights=np.repeat(column(batch, "n").to_numpy(), np.diff(till)), minlength=size)
         some = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some].astype(np.int64))], names=["id", "n"])
 
-    got = counts.select("text", "n").mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(subwords(tokenizer).size + 1, dtype=np.int64)
+    got = counts.select("n", "ids").mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size + 1, dtype=np.int64)
     out[got.column("id").to_numpy()] = got.column("n").to_numpy()
     out[-1] = n_docs
     return out
@@ -128,8 +149,12 @@ def fit(docs: DataFrame, tokenizer: str, ids: np.ndarray, sample: int = SAMPLE)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = subwords(tokenizer)
-        parts = [streams(use, *words(column(b, "text"))) for b in batches]
-        made = attention.fit([x[i:j] for x, ends in parts for i, j in zip(ends[:-1], ends[1:], strict=True)], use.size, counts=ids)
+        streams = []
+        for batch in batches:
+            known, which, ends = words(column(batch, "text"))
+            flat, till = gathered(*pooled([use.make(w) for w in known.to_pylist()]), which)
+            streams += [flat[till[i] : till[j]] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+        made = attention.fit(streams, use.size, counts=ids)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], names=["model"])
 
     picked = smallest(docs.select("doc_id", "text"), "doc_id", sample).select("text")
@@ -137,99 +162,81 @@ def fit(docs: DataFrame, tokenizer: str, ids: np.ndarray, sample: int = SAMPLE)
     return pickle.loads(found[0]["model"]) if found else attention.fit([], subwords(tokenizer).size, counts=ids)
 
 
-def trained(model: attention.Model, docs: DataFrame, tokenizer: str, shards: int) -> attention.Model:
-    """The model trained further on all docs, in shards by hash, and the mean of what they made of it.
+def trained(model: attention.Model, rows: DataFrame) -> attention.Model:
+    """The model trained further on all rows' ids, a shard in each task, and the mean of what they made of it.
 
-    A shard's texts are ordered, so its result doesn't depend on files or tasks. An
-    id's row is the mean over the shards that have the id, by how often they have it.
+    An id's row is the mean over the shards that have the id, by how often they have it.
+    A task sends a row for each id at most; how many shards there are follows the input.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = rows.sparkSession.sparkContext.broadcast(model)
     names = [f"v{i}" for i in range(attention.DIM)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        use, now, last = subwords(tokenizer), None, None
-
-        def result() -> pa.RecordBatch:
-            at, weight, values = now.done()
-            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(weight), *[pa.array(weight * v) for v in values.T]], names=["at", "weight", *names])
-
-        for batch in slices(batches, most=AT_ONCE):
-            shard = column(batch, "shard").to_numpy()
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                if now is not None and shard[i] != last:
-                    yield result()
-                    now = None
-                if now is None:
-                    now, last = attention.Shard(shared.value), shard[i]
-                with no_gc():
-                    ids, till = streams(use, *words(column(batch, "text").slice(i, j - i)))
-                now.add(ids, till)
+        now = None
+        for batch in slices(batches, "ids", AT_ONCE):
+            now = now or attention.Shard(shared.value)
+            now.add(*unpacked(column(batch, "ids")))
         if now is not None:
-            yield result()
-        use.word.forget()
+            at, weight, values = now.done()
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weight.astype(np.float32)), *[pa.array((weight * v).astype(np.float32)) for v in values.T]], names=["at", "weight", *names])
 
-    h = F.xxhash64("doc_id", "text")
-    rows = docs.select(F.pmod(h, F.lit(shards)).cast("int").alias("shard"), h.alias("h"), "text").repartitionById(shards, F.col("shard"))
-    rows = rows.sortWithinPartitions("shard", "h", "text").select("shard", "text")
-    parts = rows.mapInArrow(tidy(run), f"at long, weight double, {', '.join(f'{v} double' for v in names)}")
+    parts = rows.select("ids").mapInArrow(tidy(run), f"at long, weight float, {', '.join(f'{v} float' for v in names)}")
     got = parts.groupBy("at").agg(*[(F.sum(v) / F.sum("weight")).cast("float").alias(v) for v in names]).toArrow()
     return attention.replaced(model, got.column("at").to_numpy(), np.stack([got.column(v).to_numpy() for v in names], axis=1))
 
 
-def head(counts: DataFrame, most: int = HEAD) -> tuple[int, np.ndarray, np.ndarray]:
-    """The least count c so that at most ``most`` words have c or more, those words ascending, their counts."""
-    tiers = counts.groupBy("n").agg(F.count("*").alias("words")).groupBy(F.least("n", F.lit(1 << 20)).alias("n")).agg(F.sum("words").alias("words")).collect()
-    total, least = 0, (1 << 20) + 1
-    for r in sorted(tiers, key=lambda r: -r["n"]):
-        if total + r["words"] > most:
-            break
-        total, least = total + r["words"], r["n"]
-    got = counts.where(F.col("n") >= least).select("word", "n").toArrow()
-    word, n = got.column("word").to_numpy().view(np.uint64), got.column("n").to_numpy()
-    order = np.argsort(word)
-    return least, word[order], n[order]
-
-
-def scored(docs: DataFrame, training: Column, tokenizer: str | None = None, sample: int = SAMPLE, most: int = HEAD) -> DataFrame:
-    """One row for each row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score.
-
-    ``training`` tells the rows to learn from. Tokens are words in lower case (A-Z
-    alone) and one end for each text; null texts have the end alone. base_score adds up
-    log10((c + 1) / (N + V + 1)) for counts c, N tokens and V distinct ones of the
-    training rows; score is the log10 probability of the attention model, which all of them
-    train. Without a training
-    row N and V are 0 and the model is as it was at first. Only doc_id and text are
-    read, beside what ``training`` reads.
+class Head:
+    """Counts and ids of the words that stand in the texts most often."""
+
+    def __init__(self, counts: DataFrame, most: int):
+        """All words with ``least`` or more, the least count that at most ``most`` words reach."""
+        tiers = counts.groupBy("n").agg(F.count("*").alias("words")).groupBy(F.least("n", F.lit(1 << 20)).alias("n")).agg(F.sum("words").alias("words")).collect()
+        total, self.least = 0, (1 << 20) + 1
+        for r in sorted(tiers, key=lambda r: -r["n"]):
+            if total + r["words"] > most:
+                break
+            total, self.least = total + r["words"], r["n"]
+        got = counts.where(F.col("n") >= self.least).select("word", "n", "ids").toArrow()
+        word = got.column("word").to_numpy().view(np.uint64)
+        order = np.argsort(word)
+        self.word, self.logs = word[order], np.log10(got.column("n").to_numpy()[order] + 1.0)
+        pool, bounds = unpacked(got.column("ids"))
+        self.pool, till = gathered(pool, bounds, order)
+        self.pool, self.bounds = self.pool.astype(np.int32), till
+
+    def find(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word hash stands, and whether it does."""
+        if not len(self.word):
+            return np.zeros(len(word), np.int64), np.zeros(len(word), bool)
+        at = np.minimum(np.searchsorted(self.word, word), len(self.word) - 1)
+        return at, self.word[at] == word
+
+
+def coded(docs: DataFrame, training: Column, tokenizer: str, head: Head, end_log: float) -> DataFrame:
+    """One row for each row of docs: doc_id, row, learn, n_tokens, ids, and what of its base is known.
+
+    ``sure`` counts the words that ``head`` has, ``base`` adds up their logs and the
+    end's; words and times are the others, by hash.
     """
-    spark = docs.sparkSession
-    path = tokenizer or default_tokenizer()
-    learn = docs.where(training)
-    counts = written(word_counts(learn), "word-counts")
-    n_docs = learn.count()
-    sums = counts.agg(F.sum("n"), F.count("*")).first()
-    total, distinct = (sums[0] or 0) + n_docs, sums[1] + (n_docs > 0)
-    least, head_word, head_n = head(counts, most)
-    model = fit(learn, path, id_counts(counts, n_docs, path), sample)
-    if n_docs:
-        model = trained(model, learn, path, 1 + total // SHARD_WORDS)
-    shared = spark.sparkContext.broadcast((model, head_word, np.log10(head_n + 1.0)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    end_log = float(np.log10(n_docs + 1.0))
+    shared = docs.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, head_word, head_log = shared.value
-        use = subwords(path)
+        top, use = shared.value, subwords(tokenizer)
         for batch in slices(batches, most=AT_ONCE):
             known, which, ends = words(column(batch, "text"))
-            with no_gc():
-                ids, till = streams(use, known, which, ends)
             n = batch.num_rows
-            doc = np.repeat(np.arange(n), np.diff(ends))
             word = hashes(known.to_pylist())
-            at = np.minimum(np.searchsorted(head_word, word), max(len(head_word) - 1, 0))
-            found = head_word[at] == word if len(head_word) else np.zeros(len(word), bool)
-            logs = np.where(found, head_log[at], 0.0) if len(head_word) else np.zeros(len(word))
+            at, found = top.find(word)
+            with no_gc():
+                pool, bounds = pooled(list(map(use.word.__getitem__, known.filter(pa.array(~found)).to_pylist())))
+            # The batch's words: those of the head where they stand there, the others behind it.
+            place = np.where(found, at, len(top.word) + np.cumsum(~found) - 1)
+            every = np.concatenate([top.bounds, top.bounds[-1] + bounds[1:]])
+            local, cut = gathered(np.concatenate([top.pool, pool]), every, place)
+            ids, till = gathered(local, cut, which)
+            logs = np.where(found, top.logs[at], 0.0) if len(top.logs) else np.zeros(len(word))
+            doc = np.repeat(np.arange(n), np.diff(ends))
             base = np.bincount(doc, weights=logs[which], minlength=n) + end_log
             sure = np.bincount(doc, weights=found[which], minlength=n).astype(np.int64)
             # The rest: each document's other words with their number in it.
@@ -240,17 +247,55 @@ def scored(docs: DataFrame, training: Column, tokenizer: str | None = None, samp
             times = np.diff(np.append(new, len(d))).astype(np.int64)
             offsets = pa.array(np.searchsorted(d[new], np.arange(n + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), column(batch, "row"), pa.array(np.diff(ends) + 1), pa.array(sure), pa.array(base), pa.array(model.log_probs(ids, till) / np.log(10)), pa.ListArray.from_arrays(offsets, pa.array(word[w[new]].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times))],
-                names=["doc_id", "row", "n_tokens", "sure", "base", "score", "words", "times"],
+                [column(batch, "doc_id"), column(batch, "row"), column(batch, "learn"), pa.array(np.diff(ends) + 1), pa.array(sure), pa.array(base), packed(ids, till[ends]), pa.ListArray.from_arrays(offsets, pa.array(word[w[new]].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times))],
+                names=["doc_id", "row", "learn", "n_tokens", "sure", "base", "ids", "words", "times"],
             )
-        use.word.forget()
 
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
-    rows = written(rows.mapInArrow(tidy(run), f"doc_id {kind}, row long, n_tokens long, sure long, base double, score double, words array<bigint>, times array<bigint>"), "lm-rows", compression="lz4_raw")
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce(training, F.lit(False)).alias("learn"), "text")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, row long, learn boolean, n_tokens long, sure long, base double, ids binary, words array<bigint>, times array<bigint>")
+
+
+def scores(rows: DataFrame, model: attention.Model) -> DataFrame:
+    """row, score: the model's log10 probability of each row's ids."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "ids", AT_ONCE):
+            found = shared.value.log_probs(*unpacked(column(batch, "ids"))) / np.log(10)
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in kept), pa.array(found)], names=[*kept, "score"])
+
+    kept = [c for c in rows.columns if c != "ids"]
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept]
+    return rows.select(*kept, "ids").mapInArrow(tidy(run), ", ".join([*kinds, "score double"]))
+
+
+def scored(docs: DataFrame, training: Column, tokenizer: str | None = None, sample: int = SAMPLE, most: int = HEAD) -> DataFrame:
+    """One row for each row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score.
+
+    ``training`` tells the rows to learn from. Tokens are words in lower case (A-Z
+    alone) and one end for each text; null and empty texts have the end alone. base_score
+    adds up log10((c + 1) / (N + V + 1)) for counts c, N tokens and V distinct ones of
+    the training rows; score is the log10 probability of the attention model, which all of
+    them train. Without a training row N and V are 0 and the model is as it was at first.
+    Repeated rows are counted and scored each; an empty table gives none. Only doc_id and
+    text are read, beside what ``training`` reads.
+    """
+    path = tokenizer or default_tokenizer()
+    size = subwords(path).size
+    learn = docs.where(training)
+    counts = written(encoded(written(word_counts(learn), "word-counts"), path), "word-ids")
+    n_docs = learn.count()
+    sums = counts.agg(F.sum("n"), F.count("*")).first()
+    total, distinct = (sums[0] or 0) + n_docs, sums[1] + (n_docs > 0)
+    head = Head(counts, most)
+    rows = written(coded(docs, training, path, head, float(np.log10(n_docs + 1.0))), "lm-rows", compression="lz4_raw")
+    model = fit(learn, path, id_counts(counts, n_docs, size), sample)
+    if n_docs:
+        model = trained(model, rows.where("learn"))
     each = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    rare = counts.where(F.col("n") < least)
+    rare = counts.where(F.col("n") < head.least).select("word", "n")
     tail = each.join(rare, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("tail_base"), F.sum("times").alias("tail_known"))
-    out = rows.drop("words", "times").join(tail, "row", "left")
+    out = written(scores(rows.drop("words", "times", "learn"), model), "lm-scores").join(tail, "row", "left")
     floor = F.lit(float(np.log10(total + distinct + 1.0)))
     none = F.lit(0)
     return out.select("doc_id", "n_tokens", (F.col("sure") + F.coalesce("tail_known", none) + F.lit(int(n_docs > 0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("tail_base", F.lit(0.0)) - F.col("n_tokens") * floor).alias("base_score"), "score")
