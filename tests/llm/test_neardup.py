@@ -151,6 +151,16 @@ def test_empty(spark):
     assert neardup.classes(none).count() == 0 and neardup.kept(none).count() == 0
 
 
+def block(rows):
+    """A block of dicts as Spark hands it over."""
+    kind = pa.struct([("node", pa.binary()), ("root", pa.binary()), ("bands", pa.list_(pa.int64())), ("shingles", pa.binary()), ("weights", pa.binary())])
+    return neardup.Block.of(pa.array(rows, kind))
+
+
+def links(band, one, other, own):
+    return neardup._block_links(band, block(one), block(other), own, 0.8)
+
+
 def test_blocks_equal_all_pairs():
     r = random.Random(11)
     base = prose(r, 60)
@@ -159,15 +169,14 @@ def test_blocks_equal_all_pairs():
         copy = list(base)
         for _ in range(r.randint(0, 6)):
             copy[r.randrange(60)] = f"n{r.randrange(10**6)}"
-        texts.append(" ".join(copy))
+        texts.append(" ".join(copy) + r.choice(["", " la" * 8]))
     h, e = pm.words(pa.array(texts))
     d, s, w = pm.shingles(h, e)
-    sketch = pm.sketches(d, s, w, len(texts), 100)
     at = np.searchsorted(d, np.arange(len(texts) + 1))
-    bits = neardup._bits(sketch).view(np.int64)
-    members = [{"node": bytes([i]), "root": bytes([i]), "bands": [7, 8], "bits": bits[i].tolist(), "shingles": s[at[i] : at[i + 1]].tobytes(), "weights": b""} for i in range(len(texts))]
-    for one, other in ((members, members), (members[:15], members[15:])):
-        got = neardup._block_links(0, one, other, 0.8)
+    load = lambda x: x.astype("<u4").tobytes() if (x > 1).any() else b""
+    members = [{"node": bytes([i]), "root": bytes([i]), "bands": [7, 8], "shingles": s[at[i] : at[i + 1]].tobytes(), "weights": load(w[at[i] : at[i + 1]])} for i in range(len(texts))]
+    for one, other, own in ((members, members, True), (members[:15], members[15:], False)):
+        got = links(0, one, other, own)
         group = {}
 
         def root(x, group=group):
@@ -189,23 +198,22 @@ def test_blocks_equal_all_pairs():
                 if i != j and exact(weights(texts[i]), weights(texts[j])) >= 0.8 - 1e-9:
                     join(x["node"], y["node"])
         assert mine == [root(bytes([i])) for i in range(len(texts))]
-        assert neardup._block_links(1, one, other, 0.8) == []
+        assert links(1, one, other, own) == []
 
 
 def members(sets):
-    """Nodes of one bucket, of sets by shingle and weight, whose registers all differ in their last bits."""
+    """Nodes of one bucket, of sets by shingle and weight."""
     out = []
     for i, s in enumerate(sets):
         keys = np.array(sorted(s), "<u4")
         weight = np.array([s[k] for k in keys.tolist()], "<u4")
-        bits = (np.full(4, i % 4, np.uint64) * np.uint64(0x5555555555555555)).view(np.int64).tolist()
-        out.append({"node": bytes([i]), "root": bytes([i]), "bands": [7], "bits": bits, "shingles": keys.tobytes(), "weights": weight.tobytes() if (weight > 1).any() else b""})
+        out.append({"node": bytes([i]), "root": bytes([i]), "bands": [7], "shingles": keys.tobytes(), "weights": weight.tobytes() if (weight > 1).any() else b""})
     return out
 
 
-def test_registers_rule_no_pair_out():
-    near = [{k: 1 for k in range(20)}, {k: 1 for k in range(1, 20)}]
-    assert neardup._block_links(0, members(near), members(near), 0.8) == [(b"\0", b"\1")]
+def test_only_what_sets_share_decides():
+    near = [{k: 1 for k in range(20)}, {k: 1 for k in range(1, 20)}, {k: 1 for k in range(4, 20)}]
+    assert set(links(0, members(near), members(near), True)) == {(b"\0", b"\1"), (b"\1", b"\2")}
 
 
 def test_common_weight_bounds_similarity(monkeypatch):
@@ -213,9 +221,10 @@ def test_common_weight_bounds_similarity(monkeypatch):
     r = random.Random(12)
     sets = [{k: r.choice([1, 1, 1, 4]) if i % 2 else 1 for k in r.sample(range(30), r.randint(1, 30))} for i in range(40)]
     sets.append({1000: 1})
-    sides = [[neardup._Set(m["shingles"], m["weights"]) for m in members(part)] for part in (sets[:20], sets[20:])]
-    most = neardup._most(*sides)
+    most = neardup._most(*(block(members(part)).sets for part in (sets[:20], sets[20:])))
+    plain = lambda s: max(s.values()) == 1
     for i, x in enumerate(sets[:20]):
         for j, y in enumerate(sets[20:]):
             assert exact(x, y) <= most[i, j] + 1e-6
+            assert not (plain(x) and plain(y)) or exact(x, y) == pytest.approx(most[i, j])
     assert (most[:, -1] == 0).all()

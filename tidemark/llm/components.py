@@ -1,7 +1,9 @@
 """Connected components of links, by alternating large and small stars.
 
 Links are rewritten until every node is linked to its component's smallest node alone.
-Each round is a minimum per node and a join, so no node's links meet in one place.
+Each round is a minimum per node, combined on the map side and written, and a join with
+it: broadcast if its count allows, else shuffled on plain rows, so that Spark can split
+the links of a node that has many.
 """
 
 from __future__ import annotations
@@ -9,21 +11,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 
 def _large(links: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to the smallest of it and its neighbours."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    out = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("m").alias("a"), F.col("v").alias("b"))
+    out = both.join(small(written(low, "lowest")), "u").where(F.col("v") > F.col("u")).select(F.col("m").alias("a"), F.col("v").alias("b"))
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
 def _small(links: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of them. Links have a < b."""
-    low = links.groupBy("b").agg(F.min("a").alias("m"))
-    joined = links.join(low, "b")
+    low = written(links.groupBy("b").agg(F.min("a").alias("m")), "lowest")
+    joined = links.join(small(low), "b")
     out = joined.select(F.col("m").alias("a"), F.col("a").alias("b")).unionAll(low.select(F.col("m").alias("a"), F.col("b").alias("b")))
     return out.where(F.col("a") != F.col("b")).distinct()
 

@@ -2,16 +2,18 @@
 
 Texts with the same words are one node. A node's sketch is cut into bands; nodes that
 agree in a band share a bucket. All nodes of a bucket are compared with a few of them, its
-centres; then those that still stand in different classes are compared pair by pair, each
-pair in the first bucket it shares. What their sets have in common bounds similarities
-from above, for all pairs of two blocks at a time; no other pair is left out. So a large
-class of near copies costs a comparison or a few for each copy, and no link between nodes
-that share a bucket is lost. Comparisons are exact.
+centres. In buckets whose nodes then still stand in different classes, those outside the
+bucket's largest class are compared with all that are in another class than they, block by
+block, each pair in the first bucket it shares. Shingles that two blocks have in common
+are counted for all pairs at once, by a matrix product; that gives plain sets' similarity
+and bounds that of weighted ones. So a large class of near copies costs a comparison or a
+few for each copy, and no link between nodes that share a bucket is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -62,20 +64,11 @@ def _longs(values: np.ndarray, some: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(values[some]).reshape(-1).view(np.int64)))
 
 
-def _bits(sketch: np.ndarray) -> np.ndarray:
-    """The last two bits of each register, 32 registers to a long."""
-    wide = np.zeros((len(sketch), -(-sketch.shape[1] // 32) * 32), dtype=np.uint64)
-    wide[:, : sketch.shape[1]] = pm.mixed(sketch.astype(np.uint64)) & np.uint64(3)
-    shift = np.arange(32, dtype=np.uint64) * np.uint64(2)
-    return np.bitwise_or.reduce(wide.reshape(len(sketch), -1, 32) << shift, axis=2)
-
-
 def sketched(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, text_hash, node, bands, bits, shingles and weights of each row.
+    """doc_id, text_hash, node, bands, shingles and weights of each row.
 
-    The node is a 128-bit digest of the text's words, null without words. Bands and bits
-    are arrays of long: a hash of each band, and the last two bits of each register.
-    Shingles and weights are binary; weights are empty where all are 1.
+    The node is a 128-bit digest of the text's words, null without words; bands has a
+    hash of each band. Shingles and weights are binary; weights are empty where all are 1.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -95,10 +88,10 @@ def sketched(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
             nodes = [_digest(hashes[i:j]) if i < j else None for i, j in zip(ends[:-1], ends[1:], strict=True)]
             sets = [_packed(shingle[i:j], "<u4") for i, j in zip(at[:-1], at[1:], strict=True)]
             loads = [_packed(weight[i:j], "<u4") if (weight[i:j] > 1).any() else b"" for i, j in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text_hash"), pa.array(nodes, pa.binary()), _longs(band, some), _longs(_bits(sketch), some), pa.array(sets, pa.binary()), pa.array(loads, pa.binary())], names=["doc_id", "text_hash", "node", "bands", "bits", "shingles", "weights"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text_hash"), pa.array(nodes, pa.binary()), _longs(band, some), pa.array(sets, pa.binary()), pa.array(loads, pa.binary())], names=["doc_id", "text_hash", "node", "bands", "shingles", "weights"])
 
     rows_in = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"), "text")
-    return rows_in.mapInArrow(tidy(run), f"doc_id {kind}, text_hash long, node binary, bands array<bigint>, bits array<bigint>, shingles binary, weights binary")
+    return rows_in.mapInArrow(tidy(run), f"doc_id {kind}, text_hash long, node binary, bands array<bigint>, shingles binary, weights binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -120,20 +113,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return rows.select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(tidy(run), "a binary, b binary")
 
 
-def _classes(spark: SparkSession, links: list[DataFrame]) -> DataFrame:
-    """node, root of all links so far; nodes without links don't appear."""
-    every = links[0]
-    for x in links[1:]:
-        every = every.unionAll(x)
-    return written(components(every), "classes")
-
-
 def linked(rows: DataFrame, least: float = LEAST) -> DataFrame:
-    """node, root of all nodes with a link, from sketched rows."""
+    """node, root of all nodes, from sketched rows; a node without links is its own root."""
     spark = rows.sparkSession
     known = rows.where(F.col("node").isNotNull())
     # One row for each node; a node's rows combine on the map side.
-    nodes = known.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "bands", "bits")).alias("r")).select("node", "r.*")
+    nodes = known.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash", "bands")).alias("r")).select("node", "r.*")
     nodes = written(nodes, "nodes")
     each = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     centres = [F.min_by("node", F.xxhash64(F.lit(i), "node")) for i in range(CENTRES)]
@@ -146,64 +131,87 @@ def linked(rows: DataFrame, least: float = LEAST) -> DataFrame:
     same = (F.col("k.node") == F.col("r.node")) & F.col("k.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("k.text_hash") == F.col("r.text_hash"))
     sets = asked.alias("k").join(known.alias("r"), same).select("r.node", "r.shingles", "r.weights").groupBy("node").agg(F.min(F.struct("shingles", "weights")).alias("s")).select("node", "s.*")
     sets = written(sets, "sets", compression="lz4_raw")
-    links = written(_verified(pairs, sets, least), "verified")
-    roots = _classes(spark, [links])
-    # Buckets of two are done. In others, pairs that no centre's test has joined.
-    now = each.join(shared.where(F.col("n") > 2).select("bucket"), "bucket").join(roots, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
+    roots = written(components(written(_verified(pairs, sets, least), "verified")), "classes")
+    roots = written(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
+    # Buckets up to one more than their centres are done. In others, pairs that no centre's test has joined.
+    now = each.join(shared.where(F.col("n") > CENTRES + 1).select("bucket"), "bucket").join(roots, "node").select("bucket", "band", "node", "root")
     now = written(now, "members")
-    open_ = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high")).select("bucket")
-    left = now.join(open_, "bucket").join(shared.select("bucket", "n"), "bucket").join(nodes.select("node", "bands", "bits"), "node").join(sets, "node")
+    sizes = now.groupBy("bucket", "root").agg(F.count("*").alias("k"))
+    open_ = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.max("k").alias("n_main"), F.sum("k").alias("n"))
+    open_ = small(written(open_.where(F.col("n") > F.col("n_main")), "open"))
+    left = now.join(open_, "bucket").join(nodes.select("node", "bands"), "node").join(sets, "node")
     with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "20"):  # each row holds two blocks' shingles
         more = written(_within(left, least), "verified")
     if not more.head(1):
         return roots
-    return _classes(spark, [roots.where(F.col("node") != F.col("root")).select(F.col("root").alias("a"), F.col("node").alias("b")), more])
+    joined = written(components(more), "classes").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return written(roots.join(small(joined), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
 
 
 def _within(members: DataFrame, least: float) -> DataFrame:
-    """Links a, b that join classes (root) of a bucket's members.
+    """Links a, b between classes of a bucket's members, whose largest one is ``main``.
 
-    A bucket's members are dealt into blocks of about BLOCK, and blocks are compared with
-    blocks: nothing is made for each pair. Two nodes are compared in the first bucket
-    they share, if their classes differ, also after the links found so far, and if what
-    their sets have in common allows it.
+    A bucket's members are dealt into blocks of about BLOCK, those of the main class and
+    the others apart, and blocks of others are compared with all blocks: nothing is made
+    for each pair, and no two blocks of the main class meet. Two nodes are compared in
+    the first bucket they share, if their classes differ, also after the links found so far.
     """
-    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)).alias("block")
-    fields = ["node", "root", "bands", "bits", "shingles", "weights"]
-    blocks = written(members.groupBy("bucket", "band", block).agg(F.collect_list(F.struct(*fields)).alias("m")), "blocks", compression="lz4_raw")
-    x, y = blocks.alias("x"), blocks.alias("y")
-    both = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") <= F.col("y.block")))
+    main = (F.col("root") == F.col("main")).alias("is_main")
+    n = F.when(F.col("root") == F.col("main"), F.col("n_main")).otherwise(F.col("n") - F.col("n_main"))
+    block = F.pmod(F.xxhash64("node"), F.ceil(n / BLOCK)).alias("block")
+    blocks = members.groupBy("bucket", "band", main, block).agg(F.collect_list(F.struct("node", "root", "bands", "shingles", "weights")).alias("m"))
+    blocks = written(blocks, "blocks", compression="lz4_raw")
+    x, y = blocks.where(~F.col("is_main")).alias("x"), blocks.alias("y")
+    both = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("y.is_main") | (F.col("x.block") <= F.col("y.block"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                band, one, other = (column(batch, c)[i].as_py() for c in ("band", "one", "other"))
-                found = _block_links(band, one, other, least)
+                found = _block_links(column(batch, "band")[i].as_py(), *(Block.of(column(batch, c)[i].values) for c in ("one", "other")), column(batch, "own")[i].as_py(), least)
                 if found:
                     a, b = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-    return both.select(F.col("x.band").alias("band"), F.col("x.m").alias("one"), F.col("y.m").alias("other")).mapInArrow(tidy(run), "a binary, b binary")
+    own = (~F.col("y.is_main") & (F.col("x.block") == F.col("y.block"))).alias("own")
+    return both.select(F.col("x.band").alias("band"), F.col("x.m").alias("one"), F.col("y.m").alias("other"), own).mapInArrow(tidy(run), "a binary, b binary")
 
 
-def _block_links(band: int, one: list[dict], other: list[dict], least: float) -> list[tuple[bytes, bytes]]:
-    """Links between two blocks of a bucket that join classes; between a block's own members if both are one."""
-    if not one or not other:
-        return []
-    table = lambda side, c: np.array([m[c] for m in side], dtype=np.int64)
-    shared = table(one, "bands")[:, None, :] == table(other, "bands")[None, :, :]
-    apart = (table(one, "bits")[:, None, :] ^ table(other, "bits")[None, :, :]).view(np.uint64)
-    apart = np.bitwise_count((apart | (apart >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=2)
-    own = {m["node"] for m in one} == {m["node"] for m in other}
-    worth = shared.argmax(axis=2) == band
+@dataclass(frozen=True)
+class Block:
+    """Nodes with their classes (root), band hashes and weighted shingles."""
+
+    nodes: list[bytes]
+    roots: list[bytes]
+    bands: np.ndarray
+    sets: list[tuple[np.ndarray, np.ndarray | None]]
+
+    @staticmethod
+    def of(members: pa.StructArray) -> Block:
+        node, root, bands, shingles, weights = members.flatten()
+        sets = [(np.frombuffer(s, "<u4"), np.frombuffer(w, "<u4") if w else None) for s, w in zip(shingles.to_pylist(), weights.to_pylist(), strict=True)]
+        return Block(node.to_pylist(), root.to_pylist(), bands.flatten().to_numpy().reshape(len(node), -1), sets)
+
+    def of_rows(self, rows: np.ndarray) -> Block:
+        at = np.flatnonzero(rows).tolist()
+        return Block([self.nodes[i] for i in at], [self.roots[i] for i in at], self.bands[rows], [self.sets[i] for i in at])
+
+
+def _block_links(band: int, one: Block, other: Block, own: bool, least: float) -> list[tuple[bytes, bytes]]:
+    """Links a, b of classes (root) that a pair of nodes of two blocks of a bucket joins; ``own`` if both are one block."""
     ids: dict[bytes, int] = {}
-    roots = [np.array([ids.setdefault(m["root"], len(ids)) for m in side]) for side in (one, other)]
-    worth &= roots[0][:, None] != roots[1][None, :]
+    roots = [np.array([ids.setdefault(r, len(ids)) for r in side.roots]) for side in (one, other)]
+    worth = (roots[0][:, None] != roots[1][None, :]) & (one.bands[:, band, None] == other.bands[None, :, band])
+    for k in range(band):
+        worth &= one.bands[:, k, None] != other.bands[None, :, k]
     if own:  # a block with itself: each pair once
-        nodes = [[m["node"] for m in side] for side in (one, other)]
-        worth &= np.array([[x < y for y in nodes[1]] for x in nodes[0]])
+        worth = np.triu(worth, 1)
     if not worth.any():
         return []
+    rows, columns = worth.any(axis=1), worth.any(axis=0)
+    one, other, worth = one.of_rows(rows), other.of_rows(columns), worth[rows][:, columns]
+    most = _most(one.sets, other.sets)
+    worth &= most >= least - 1e-6
+    at = np.argwhere(worth)
     above: dict[bytes, bytes] = {}
 
     def top(root: bytes) -> bytes:
@@ -211,32 +219,36 @@ def _block_links(band: int, one: list[dict], other: list[dict], least: float) ->
             root = above[root]
         return root
 
-    sides = [[_Set(m["shingles"], m["weights"]) for m in side] for side in (one, other)]
-    worth &= _most(*sides) >= least - 1e-6
     found = []
-    # Those whose registers agree in most last bits first: their links spare the rest a comparison.
-    order = np.argsort(apart[worth], kind="stable")
-    for i, j in np.argwhere(worth)[order].tolist():
-        p, q = top(one[i]["root"]), top(other[j]["root"])
-        if p != q and sides[0][i].similarity(sides[1][j]) >= least - 1e-9:
-            found.append((one[i]["node"], other[j]["node"]))
+    # The likeliest first: their links spare the rest a comparison.
+    for i, j in at[np.argsort(-most[worth], kind="stable")].tolist():
+        p, q = top(one.roots[i]), top(other.roots[j])
+        if p != q and _similarity(one.sets[i], other.sets[j]) >= least - 1e-9:
+            found.append((one.roots[i], other.roots[j]))
             above[max(p, q)] = min(p, q)
     return found
 
 
-def _most(one: list[_Set], other: list[_Set]) -> np.ndarray:
-    """What no similarity of a set of one block with a set of the other exceeds.
+def _similarity(a: tuple[np.ndarray, np.ndarray | None], b: tuple[np.ndarray, np.ndarray | None]) -> float:
+    wa, wb = (np.ones(len(v)) if w is None else w for v, w in (a, b))
+    return pm.similarity(a[0], wa, b[0], wb)
+
+
+def _most(one: list[tuple], other: list[tuple]) -> np.ndarray:
+    """What no similarity of a set of one block with a set of the other exceeds; it is the similarity of plain sets.
 
-    It is the share of either set's weight that lies in shingles of both: each term of the
-    similarity is at most the shingle's share of either set's weight.
+    Of weighted sets it is the share of either set's weight that lies in shingles of both:
+    each term of the similarity is at most the shingle's share of either set's weight.
     """
-    flat = [np.concatenate([s.values for s in side]) for side in (one, other)]
+    flat = [np.concatenate([v for v, _ in side]) for side in (one, other)]
     both = np.intersect1d(*flat)
-    common = np.zeros((2, len(one), len(other)))
+    plain = [np.array([w is None for _, w in side]) for side in (one, other)]
+    mixed = not (plain[0].all() and plain[1].all())
+    count, common = np.zeros((len(one), len(other))), np.zeros((2, len(one), len(other)))
     every = []
     for side, values in zip((one, other), flat, strict=True):
-        row = np.repeat(np.arange(len(side)), [len(s.values) for s in side])
-        share = np.concatenate([np.full(len(s.values), 1 / len(s.values)) if s.weights is None else s.weights / s.weights.sum() for s in side])
+        row = np.repeat(np.arange(len(side)), [len(v) for v, _ in side])
+        share = np.concatenate([np.full(len(v), 1 / len(v)) if w is None else w / w.sum() for v, w in side])
         at = np.minimum(np.searchsorted(both, values), max(len(both) - 1, 0))
         known = both[at] == values if len(both) else np.zeros(len(values), bool)
         order = np.argsort(at[known], kind="stable")
@@ -247,27 +259,16 @@ def _most(one: list[_Set], other: list[_Set]) -> np.ndarray:
         for side, (at, row, share) in zip((one, other), every, strict=True):
             i, j = np.searchsorted(at, [start, start + width])
             has.append(np.zeros((len(side), width), np.float32))
-            shares.append(np.zeros((len(side), width), np.float32))
             has[-1][row[i:j], at[i:j] - start] = 1
-            shares[-1][row[i:j], at[i:j] - start] = share[i:j]
-        common += shares[0] @ has[1].T, has[0] @ shares[1].T
-    return common.min(axis=0)
-
-
-class _Set:
-    """A node's weighted shingles, compared as plain sets where all weights are 1."""
-
-    def __init__(self, shingles: bytes, weights: bytes):
-        self.values = np.frombuffer(shingles, "<u4")
-        self.weights = np.frombuffer(weights, "<u4") if weights else None
-        self.plain = frozenset(self.values.tolist()) if self.weights is None else None
-
-    def similarity(self, other: _Set) -> float:
-        if self.plain is not None and other.plain is not None:
-            both = len(self.plain & other.plain)
-            return both / (len(self.plain) + len(other.plain) - both)
-        one = lambda x: np.ones(len(x.values)) if x.weights is None else x.weights
-        return pm.similarity(self.values, one(self), other.values, one(other))
+            if mixed:
+                shares.append(np.zeros((len(side), width), np.float32))
+                shares[-1][row[i:j], at[i:j] - start] = share[i:j]
+        count += has[0] @ has[1].T
+        if mixed:
+            common += shares[0] @ has[1].T, has[0] @ shares[1].T
+    size = [np.array([len(v) for v, _ in side]) for side in (one, other)]
+    exact = count / (size[0][:, None] + size[1][None, :] - count)
+    return np.where(plain[0][:, None] & plain[1][None, :], exact, common.min(axis=0)) if mixed else exact
 
 
 def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -283,8 +284,8 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     roots = linked(rows, least)
     slim = rows.select("doc_id", "text_hash", "node")
     own = slim.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
-    own = own.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
-    low = own.groupBy("root").agg(F.min("first").alias("class"))
+    own = own.join(roots, "node").select("node", "root", "first")
+    low = small(written(own.groupBy("root").agg(F.min("first").alias("class")), "lowest"))
     known = written(own.join(low, "root").select("node", "class"), "node-classes")
     out = slim.join(known, "node", "left").select("doc_id", "text_hash", F.coalesce("class", F.struct("doc_id", "text_hash")).alias("class"))
     return out.select("doc_id", "text_hash", F.col("class.doc_id").alias("class_id"), F.col("class.text_hash").alias("class_hash"), F.struct("doc_id", "text_hash").eqNullSafe(F.col("class")).alias("representative"))
