@@ -71,6 +71,71 @@ def test_frame(spark):
     assert audio.features(audio.to_media(docs.limit(0))).count() == 0
 
 
+def slow_table(codec):
+    """Each code's sample by its definition: sign, exponent, mantissa."""
+    out = []
+    for code in range(256):
+        if codec == "mulaw":
+            code ^= 0xFF
+            size = (((code & 15) * 2 + 33) << (code >> 4 & 7)) - 33
+            out.append((-1 if code & 128 else 1) * size * 4)
+        else:
+            code ^= 0x55
+            part = code >> 4 & 7
+            size = (code & 15) * 2 + 1 + (32 if part else 0)
+            out.append((1 if code & 128 else -1) * (size << max(part - 1, 0)) * 8)
+    return out
+
+
+@pytest.mark.parametrize("codec", ["mulaw", "alaw"])
+def test_tables_equal_definition(codec):
+    assert audio.TABLES[codec].tolist() == slow_table(codec)
+
+
+def slow_doubled(pcm):
+    """Each sample, then the weighted mean of the 16 around the gap behind it."""
+    out = []
+    for i, x in enumerate(pcm):
+        near = [pcm[max(0, min(len(pcm) - 1, i + k))] for k in range(-7, 9)]
+        mid = sum(float(w) * float(v) for w, v in zip(audio.HALF, near, strict=True))
+        out += [int(x), max(-32768, min(32767, round(mid)))]
+    return out
+
+
+def test_features_equal_brute_force(spark):
+    rows = [(i, chr(33 + i) * (5 * i + 1) + "wave" * i) for i in range(40)]
+    got = {r.doc_id: r for r in audio.features(audio.to_media(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    seen = set()
+    for k, text in rows:
+        payload = audio.payload_of(text)
+        codec = audio.codec_of(payload)
+        seen.add(codec)
+        if codec == "adpcm":
+            wave = [v for i in range(0, len(payload), audio.BLOCK) for v in slow_adpcm(payload[i : i + audio.BLOCK])]
+        else:
+            wave = [slow_table(codec)[b] for b in payload]
+        wide = slow_doubled(wave)
+        mine = np.frombuffer(got[k].pcm, "<i2")
+        assert np.abs(mine - np.array(wide)).max() <= 1  # a sum may round the other way
+        wide = [int(v) for v in mine]
+        turns = sum((a < 0) != (b < 0) for a, b in zip(wide[1:], wide, strict=False))
+        want = f"{codec}:16000:{len(wide)}:{sum(v * v for v in wide)}:{max(map(abs, wide))}:{turns}:{zlib.crc32(got[k].pcm):08x}"
+        assert got[k].feature == want
+    assert seen == set(audio.TAGS)
+
+
+def test_energy_is_exact():
+    loud = np.full(3 * audio.SQUARES_AT_ONCE + 5, -32767, dtype="<i2")
+    assert audio.energy(loud) == 32767**2 * len(loud) and audio.energy(loud[:0]) == 0
+
+
+def test_features_of_bad_media(spark):
+    df = spark.createDataFrame([(1, 2, b"no"), (2, None, None), (3, 1, b"")], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in audio.features(df).collect()}
+    assert (got[1].media_bytes, got[1].payload_bytes, got[1].feature, got[1].pcm) == (2, None, None, None)
+    assert (got[2].media_bytes, got[2].media_sha256, got[2].feature) == (None, None, None) and got[3].media_bytes == 0
+
+
 def test_resampled_keeps_other_columns_and_bad_media(spark):
     good = audio.wav(b"\x00\x80" * 32, "mulaw")
     df = spark.createDataFrame([(1, good, "a"), (2, b"no", "b"), (3, None, "c")], "k int, media binary, pcm string")

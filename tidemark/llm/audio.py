@@ -2,7 +2,8 @@
 
 Companded samples are expanded by tables of 256 entries. ADPCM blocks depend on
 nothing outside themselves, so numpy steps through the samples of a block once for
-all blocks of a batch. PCM is resampled to twice the rate by a half-band filter.
+all blocks of a batch. PCM is resampled to twice the rate by a half-band filter and
+stands in a column of its own, which whoever writes the table stores.
 """
 
 from __future__ import annotations
@@ -206,32 +207,56 @@ def _resampled(media: list[bytes | None]) -> list[tuple]:
     return out
 
 
+#: Samples whose squares are added up at a time: their sum is exact in a double.
+SQUARES_AT_ONCE = 1 << 20
+
+
+def energy(wave: np.ndarray) -> int:
+    """The exact sum of the samples' squares."""
+    parts = (wave[i : i + SQUARES_AT_ONCE].astype(np.float64) for i in range(0, len(wave), SQUARES_AT_ONCE))
+    return sum(int(x @ x) for x in parts)
+
+
+def described(codec: str, rate: int, pcm: bytes) -> str:
+    """Codec, rate, samples, energy, peak, sign changes and checksum of PCM."""
+    wave = np.frombuffer(pcm, "<i2")
+    peak = max(int(wave.max()), -int(wave.min())) if len(wave) else 0
+    turns = np.count_nonzero((wave[1:] < 0) != (wave[:-1] < 0))
+    return f"{codec}:{rate}:{len(wave)}:{energy(wave)}:{peak}:{turns}:{zlib.crc32(pcm):08x}"
+
+
 def features(media: DataFrame) -> DataFrame:
-    """Features of stored media, one row each: what the contract asks for.
+    """Features of stored media, one row each: what the contract asks for, and the resampled PCM.
 
-    Reads doc_id, n_bytes and media; the feature string has the codec, the resampled
-    rate, its samples, energy, peak, sign changes and a checksum of its PCM.
+    Reads doc_id, n_bytes and media. Media that is null or no WAV file of the three
+    codecs has null features and PCM, but its own size and digest if there are bytes.
+    Repeated rows give repeated rows; an empty table gives none.
     """
     kind = media.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm"]
+
+    def row(m: bytes | None, codec: str | None, rate: int | None, payload: bytes | None, pcm: bytes | None) -> tuple:
+        own = (None, None) if m is None else (len(m), hashlib.sha256(m).hexdigest())
+        if codec is None:
+            return (None, None, None, *own, None, None)
+        return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), *own, described(codec, rate, pcm), pcm)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
         for batch in slices(batches, "media"):
             stored = column(batch, "media").to_pylist()
-            rows = []
-            for m, (codec, rate, payload, pcm) in zip(stored, _resampled(stored), strict=True):
-                wave = np.frombuffer(pcm, "<i2")
-                loud = wave.astype(np.float64)
-                said = f"{codec}:{rate}:{len(wave)}:{int(loud @ loud)}:{int(np.abs(loud).max())}:{int(np.count_nonzero((wave[1:] < 0) != (wave[:-1] < 0)))}:{zlib.crc32(pcm):08x}"
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), said))
-            n, sha, tail, size, media_sha, said = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "n_bytes"), pa.array(n, pa.int64()), pa.array(sha), pa.array(tail, pa.int64()), pa.array(size, pa.int64()), pa.array(media_sha), pa.array(said)], names=names)
+            rows = [row(m, *found) for m, found in zip(stored, _resampled(stored), strict=True)]
+            made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "n_bytes"), *made], names=names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary")
 
 
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents (null as empty) stored as telephony audio, read back, with its PCM.
+
+    The media are written to the shared folder. The PCM, some five times the text, is
+    the result's last column: whoever keeps the result stores it.
+    """
     media = written(to_media(table(spark, sf_dir, "documents")), "media", compression="zstd")
     return features(media)
-
-
