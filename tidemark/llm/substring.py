@@ -2,9 +2,9 @@
 
 A gear rolling hash over the last 16 bytes cuts each text where its leading bits are
 zero, so cuts depend on the text near them alone and an insertion moves no cut behind
-it. Chunks are deduplicated by digest: a chunk is a repeat if another document had it
-first. Repeats that follow each other form passages; long passages are reported and
-can be removed.
+it. Chunks are deduplicated by a digest of 128 bits: the first chunk of a digest stays,
+each later one is a repeat, in another document or in the same. Repeats that follow each
+other form passages; long passages are reported and can be removed.
 """
 
 from __future__ import annotations
@@ -12,22 +12,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .arrow import column, no_gc, slices, texts, tidy
-from .common import table, written
+from .common import fresh, small, table, written
 
 #: Bytes that the hash sees, and the zero bits that make a cut.
-WINDOW, CUT_BITS = 16, 4
+WINDOW, CUT_BITS = 16, 5
 
-#: Bytes of a chunk at least, and at most where no cut is found. 16 + 2^4 bytes on average.
+#: Bytes of a chunk at least, and at most where no cut is found. 16 + 2^5 bytes on average.
 LEAST, MOST = 16, 256
 
-#: Bytes of following repeats that make a passage. The first chunk inside a repeated
-#: passage starts up to some 50 bytes behind the passage's start, and the last ends as
+#: Characters of following repeats that make a passage. The first chunk inside a repeated
+#: passage starts some 50 bytes behind the passage's start, and the last ends as
 #: much before its end, so passages of 50 words are found and single short lines aren't.
 PASSAGE = 96
 
@@ -81,14 +83,19 @@ def _forced(starts: np.ndarray, last: int) -> int:
     return at
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash and text: what tells one document from others, whether or not ids repeat."""
+    return docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"), "text")
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end (code points, end exclusive), size in bytes and digest of each chunk of each text."""
+    """doc_id, text_hash, start, end (code points, end exclusive), and digest in two longs of each chunk of each text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
+        digest = xxhash.xxh3_128_digest
         for batch in slices(batches):
-            counts, starts, ends, sizes, digests = [], [], [], [], []
+            counts, starts, ends, digests = [], [], [], []
             with no_gc():
                 for text in texts(batch):
                     data = text.encode()
@@ -97,73 +104,71 @@ def chunks(docs: DataFrame) -> DataFrame:
                     counts.append(len(at))
                     digests.extend([digest(data[i:j]) for i, j in zip([0, *at[:-1]], at, strict=True)] if at else [])
                     bounds = np.array([0, *at], dtype=np.int64)
-                    sizes.append(np.diff(bounds))
                     if len(text) != len(data):
                         bounds = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[bounds]
                     starts.append(bounds[:-1])
                     ends.append(bounds[1:])
             which = pa.array(np.repeat(np.arange(batch.num_rows), counts))
             ints = lambda parts: pa.array(np.concatenate(parts).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(which), ints(starts), ints(ends), ints(sizes), pa.array(np.array(digests, dtype=np.uint64).view(np.int64))], names=["doc_id", "start", "end", "size", "digest"])
+            both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(which), column(batch, "text_hash").take(which), ints(starts), ints(ends), *(pa.array(np.ascontiguousarray(x)) for x in both.T)], names=["doc_id", "text_hash", "start", "end", "digest", "digest2"])
+
+    return _identified(docs).mapInArrow(tidy(run), f"doc_id {kind}, text_hash long, start int, end int, digest long, digest2 long")
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, start int, end int, size int, digest long")
+
+def _passages(docs: DataFrame, least: int) -> DataFrame:
+    cut = written(chunks(docs), "chunks", compression="lz4_raw")
+    # Half a digest finds what may repeat, a small part; the rest compares whole digests.
+    maybe = cut.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("digest")
+    again = written(cut.join(maybe, "digest"), "repeats", compression="lz4_raw")
+    place = F.struct("doc_id", "text_hash", "start")
+    first = small(written(again.groupBy("digest", "digest2").agg(F.min(place).alias("first")), "firsts"))
+    later = again.join(first, ["digest", "digest2"]).where(place != F.col("first"))
+    # Rows that repeat a document word for word have the same chunks.
+    later = later.select("doc_id", "text_hash", "start", "end", F.struct(F.col("first.doc_id")).alias("first")).distinct()
+    own = Window.partitionBy("doc_id", "text_hash").orderBy("start")
+    run = F.sum(F.when(F.lag("end").over(own) == F.col("start"), 0).otherwise(1)).over(own)
+    runs = later.withColumn("run", run).groupBy("doc_id", "text_hash", "run")
+    found = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.min("first").alias("first"))
+    found = found.where(F.col("end") - F.col("start") >= least)
+    return found.select("doc_id", "text_hash", "start", "end", (F.col("end") - F.col("start")).alias("size"), F.col("n_chunks").cast("int").alias("n_chunks"), F.col("first.doc_id").alias("first_doc_id"))
 
 
 def passages(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
-    """Repeated passages: doc_id, start, end, size, n_chunks, first_doc_id.
+    """Repeated passages: doc_id, start, end, size (code points), n_chunks, first_doc_id.
 
-    A chunk is a repeat if a document of smaller id has a chunk of the same digest;
-    first_doc_id is the smallest such id of the passage. The first document that has a
-    passage keeps it and gives no row. Null and empty texts have no chunks. Rows of one
-    doc_id are one document: what repeats only among them is no repeat. Null doc_ids
-    count as a document before all others.
+    Of chunks of one digest that of smallest doc_id, then text hash, then start is the
+    first; the others are repeats, also in the same text. first_doc_id is the smallest
+    id of a passage's firsts. Who has a passage first keeps it and gives no row for it.
+    Null and empty texts have no chunks, null doc_ids stand before all others, texts of
+    one doc_id are documents of their own, and repeated rows count as one document. An
+    empty table gives none.
 
-    Counting digests combines on the map side; in the join a digest that is everywhere
-    is split by Spark's skew handling.
+    Counting digests combines on the map side; in the joins a digest that is everywhere
+    is split by Spark's skew handling. What meets in one task is one text's repeats.
     """
-    cut = written(chunks(docs), "chunks", compression="lz4_raw")
-    known = cut.groupBy("digest").agg(F.min(F.struct(F.col("doc_id"))).alias("first"), F.max(F.struct(F.col("doc_id"))).alias("last"))
-    known = known.where(F.col("first") != F.col("last")).select("digest", F.col("first.doc_id").alias("first_doc_id"))
-    again = cut.join(known, "digest").where(~F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
-    # A document's repeats, in order: as many as it has chunks.
-    own = again.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "size", "first_doc_id"))).alias("found"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    run = f"struct<start:int,end:int,size:int,n:int,first:{kind}>"
-    none = F.lit(None).cast(run)
-
-    def step(a: Column, c: Column) -> Column:
-        joins = F.coalesce(c["start"] <= a["now"]["end"], F.lit(False))
-        new = F.struct(c["start"].alias("start"), c["end"].alias("end"), c["size"].alias("size"), F.lit(1).alias("n"), c["first_doc_id"].alias("first")).cast(run)
-        more = F.struct(
-            a["now"]["start"].alias("start"),
-            F.greatest(a["now"]["end"], c["end"]).alias("end"),
-            (a["now"]["size"] + F.when(c["start"] == a["now"]["end"], c["size"]).otherwise(0)).alias("size"),
-            (a["now"]["n"] + F.when(c["start"] == a["now"]["end"], 1).otherwise(0)).alias("n"),
-            F.least(a["now"]["first"], c["first_doc_id"]).alias("first"),
-        ).cast(run)
-        ended = ~joins & F.coalesce(a["now"]["size"] >= least, F.lit(False))
-        return F.struct(F.when(joins, more).otherwise(new).alias("now"), F.when(ended, F.concat(a["out"], F.array(a["now"]))).otherwise(a["out"]).alias("out"))
-
-    start = F.struct(none.alias("now"), F.array().cast(f"array<{run}>").alias("out"))
-    runs = F.aggregate("found", start, step, lambda a: F.when(a["now"]["size"] >= least, F.concat(a["out"], F.array(a["now"]))).otherwise(a["out"]))
-    each = own.select("doc_id", F.explode(runs).alias("p"))
-    return each.select("doc_id", "p.start", "p.end", "p.size", F.col("p.n").alias("n_chunks"), F.col("p.first").alias("first_doc_id"))
+    return _passages(docs, least).drop("text_hash")
 
 
 def deduplicated(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
-    """docs without their repeated passages; all columns stay, a whole repeat leaves an empty text."""
-    gone = passages(docs, least).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_cut"))
-    out = docs.join(gone.withColumnRenamed("doc_id", "_cut_id"), docs["doc_id"].eqNullSafe(F.col("_cut_id")), "left")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    text = docs["text"]
+    """docs without their repeated passages; all columns stay, a whole repeat leaves an empty text.
+
+    Null texts stay null and repeated rows stay repeated. Columns of any name may stand beside.
+    """
+    own, key, cut = (fresh(docs, c) for c in ("row_key", "cut_key", "cut"))
+    gone = _passages(docs, least).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(cut))
+    gone = gone.select(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).alias(key), cut)
+    rows = docs.withColumn(own, F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("hash")))
+    out = rows.join(gone, F.col(own) == F.col(key), "left")
 
-    def step(a: Column, s: Column) -> Column:
-        return F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]))).alias("out"))
+    @F.pandas_udf("string")
+    def left(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        return pd.Series([t if s is None else "".join(t[i:j] for i, j in zip([0, *e], [*s, len(t)], strict=True)) for t, s, e in zip(text, starts, ends, strict=True)], dtype=object)
 
-    left = F.aggregate("_cut", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    new = F.when(F.col("_cut").isNull() | text.isNull(), text).otherwise(left)
-    return out.select(*(new.alias("text") if c == "text" else docs[c] for c in docs.columns))
+    new = F.when(F.col(cut).isNull() | F.col("text").isNull(), F.col("text")).otherwise(left("text", F.col(cut)["start"], F.col(cut)["end"]))
+    return out.select(*(new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of all documents."""
     return passages(table(spark, sf_dir, "documents"))
