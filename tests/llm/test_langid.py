@@ -1,4 +1,5 @@
 import os
+import random
 import zlib
 
 import numpy as np
@@ -45,6 +46,58 @@ def test_sliced_counts_equal_one_filter_each():
         assert both.counts(probe)[i] == langid.model_of({k: sets[k]}).counts(probe)[0]
 
 
+def prose(r, letters, n):
+    return " ".join("".join(r.choice(letters) for _ in range(r.randint(1, 7))) for _ in range(n))
+
+
+def brute(rows, asked):
+    """Language and exact shares by sets of n-grams, without hashes or filters."""
+    seen = {}
+    for text, lang in rows:
+        for g in set(slow_grams(text)):
+            seen.setdefault(g, {}).setdefault(lang, 0)
+            seen[g][lang] += 1
+    docs = {k: sum(x == k for _, x in rows) for _, k in rows}
+    sets = {k: set() for k in docs}
+    for g, by in seen.items():
+        most = max(n / docs[k] for k, n in by.items())
+        for k, n in by.items():
+            if n >= langid.LEAST_DOCS and n / docs[k] >= langid.LEAST_SHARE and n / docs[k] >= langid.LEAST_OF_MOST * most:
+                sets[k].add(g)
+    out = []
+    for text in asked:
+        hits = {k: sum(g in own for g in slow_grams(text)) for k, own in sorted(sets.items())}
+        top = max(hits.values())
+        out.append(({k for k in hits if hits[k] == top}, top / sum(hits.values()) if top else 1 / len(hits)))
+    return sets, out
+
+
+@pytest.mark.parametrize("languages", [3, 70])
+def test_fit_and_predict_equal_brute_force(spark, languages):
+    """Also with more languages than a word of the filter has bits."""
+    r = random.Random(languages)
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 400)]
+    own = {f"l{i:02}": r.sample(alphabet, 9) for i in range(languages)}
+    rows = [(prose(r, own[k], r.randint(3, 40)), k) for k in own for _ in range(8)]
+    asked = [prose(r, own[r.choice(sorted(own))], r.randint(1, 60)) for _ in range(60)] + [prose(r, alphabet, 20) for _ in range(5)]
+    model = langid.fit(spark.createDataFrame([(i, t, k, "s") for i, (t, k) in enumerate(rows)], "doc_id long, text string, lang string, source string"))
+    sets, want = brute(rows, asked)
+    assert model.languages == tuple(sorted(own))
+    assert (model.false < 1e-6).all()
+    got = langid.predicted(spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    for x, (best, score) in zip(got, want, strict=True):
+        assert x.lang_pred in best and x.score == pytest.approx(score, abs=2e-3)
+
+
+def test_sample_is_of_smallest_hash(spark):
+    rows = spark.createDataFrame([(i, f"t{i}", "ab"[i % 3 == 0]) for i in range(900)], "doc_id long, text string, lang string")
+    picked, totals = langid.sampled(rows, 20)
+    got = {(x.lang, x.text) for x in picked.collect()}
+    order = rows.withColumn("h", F.xxhash64("doc_id")).orderBy("h").collect()
+    want = {(k, x.text) for k in "ab" for x in [y for y in order if y.lang == k][:20]}
+    assert got == want and totals == {"a": 20, "b": 20}
+
+
 def test_edges(spark):
     schema = "doc_id long, text string, lang string, source string"
     rows = [(i, t, k, "s") for i, (t, k) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 5)]

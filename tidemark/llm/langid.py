@@ -1,8 +1,8 @@
 """Language identification by n-gram filters that hold a bitmask of languages.
 
 A bit-sliced Bloom filter is an array of slots, each a bitmask with a bit for each
-language. An n-gram's slots, taken together by AND, are all languages that contain it,
-in one look-up for all languages. A text's hits are counted per language, freed of the
+language, in as many 64-bit words as the languages need. An n-gram's slots, taken together
+by AND, are all languages that contain it, in one look-up for all languages. A text's hits are counted per language, freed of the
 share that chance sets, and the largest share decides.
 """
 
@@ -18,22 +18,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .arrow import column, slices, texts, tidy
-from .common import smallest, table, written
+from .common import local, table, written
 
 #: Characters of an n-gram, and what stands around a text and for all that is no letter.
 SIZES, GAP = (2, 3, 4), 32
 
-#: Slots of the filter (a power of two) and look-ups of an n-gram.
-SLOTS, LOOKUPS = 1 << 20, 3
+#: Slots of the filter at least, slots for each n-gram of the language that has most, and look-ups of an n-gram.
+SLOTS, SPACE, LOOKUPS = 1 << 20, 16, 3
 
 #: Labelled documents of a language that it is fitted on at most: those of the smallest
-#: hash. A language's filter stops changing long before.
+#: hash. A language's filter stops changing long before. All its n-grams above the
+#: limits below are kept, however many they are; languages may be any number.
 SAMPLE = 3000
 
-#: N-grams that a language keeps at most, its most frequent, and languages at most.
-KEPT, LANGUAGES = 30_000, 64
-
-#: An n-gram must be in this many sample documents of the language, or in this share.
+#: An n-gram must be in this many sample documents of the language, and in this share.
 LEAST_DOCS, LEAST_SHARE = 2, 0.002
 
 #: And at least this share as often as in the language that has it most: mixed and
@@ -77,16 +75,19 @@ def grams(points: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def slots(hashes: np.ndarray) -> list[np.ndarray]:
-    """The slots of each hash, one array for each look-up."""
+def slots(hashes: np.ndarray, size: int) -> list[np.ndarray]:
+    """The slots of each hash in a filter of some size (a power of two), one array for each look-up."""
     step = (hashes >> np.uint64(32)) | np.uint64(1)
     with np.errstate(over="ignore"):
-        return [((hashes + np.uint64(k) * step) & np.uint64(SLOTS - 1)).astype(np.int64) for k in range(LOOKUPS)]
+        return [((hashes + np.uint64(k) * step) & np.uint64(size - 1)).astype(np.int64) for k in range(LOOKUPS)]
 
 
 @dataclass(frozen=True)
 class Model:
-    """Languages in order of their bit, the filter, and each language's chance of a false hit."""
+    """Languages in order of their bit, the filter, and each language's chance of a false hit.
+
+    The filter has a row of slots for each 64 languages.
+    """
 
     languages: tuple[str, ...]
     filter: np.ndarray
@@ -94,12 +95,14 @@ class Model:
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
         """Hits of each language among the hashes."""
-        a, *more = slots(hashes)
-        mask = self.filter[a]
-        for s in more:
-            mask = mask & self.filter[s]
-        mask = mask[mask != 0]
-        return np.array([np.count_nonzero(mask & np.uint64(1 << i)) for i in range(len(self.languages))], dtype=np.float64)
+        at, out = slots(hashes, self.filter.shape[1]), []
+        for word in self.filter:
+            mask = word[at[0]]
+            for s in at[1:]:
+                mask = mask & word[s]
+            mask = mask[mask != 0]
+            out += [np.count_nonzero(mask & np.uint64(1 << i)) for i in range(min(64, len(self.languages) - len(out)))]
+        return np.array(out, dtype=np.float64)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and score; ``und`` and 0 without a letter or without a language.
@@ -121,13 +124,15 @@ class Model:
 def model_of(found: dict[str, np.ndarray]) -> Model:
     """The filter of each language's n-gram hashes; its false rate from its own fill."""
     names = tuple(sorted(found))
-    if len(names) > LANGUAGES:
-        raise ValueError(f"at most {LANGUAGES} languages")
-    bits = np.zeros(SLOTS, dtype=np.uint64)
+    most = max((len(h) for h in found.values()), default=0)
+    size = max(SLOTS, 1 << (SPACE * most - 1).bit_length())
+    bits = np.zeros((-(-len(names) // 64), size), dtype=np.uint64)
+    fill = np.zeros(len(names))
     for i, name in enumerate(names):
-        for s in slots(found[name]):
-            bits[s] |= np.uint64(1 << i)
-    fill = np.array([np.count_nonzero(bits & np.uint64(1 << i)) / SLOTS for i in range(len(names))])
+        word, bit = bits[i // 64], np.uint64(1 << i % 64)
+        for s in slots(found[name], size):
+            word[s] |= bit
+        fill[i] = np.count_nonzero(word & bit) / size
     return Model(names, bits, np.minimum(fill**LOOKUPS, 0.99))
 
 
@@ -136,23 +141,37 @@ def remainder(key: Column, by: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % by
 
 
+def sampled(rows: DataFrame, sample: int) -> tuple[DataFrame, dict[str, int]]:
+    """lang, text: of each language the rows of smallest hash of doc_id, ties by text; and how many they are.
+
+    One pass counts the languages, one takes the rows below a cut of each language,
+    twice as many as are asked for or all, and only those are ordered.
+    """
+    totals = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    h, wide = F.xxhash64("doc_id"), 2
+    while True:
+        cut = {k: (2**63 - 1 if wide * sample >= n else int(wide * sample / n * 2.0**64) - 2**63) for k, n in totals.items()}
+        cuts = local(rows.sparkSession, sorted(cut.items()), "lang string, cut long")
+        low = written(rows.select("lang", "text", h.alias("h")).join(cuts, "lang").where(F.col("h") <= F.col("cut")).drop("cut"), "langid-low")
+        got = {r["lang"]: r["count"] for r in low.groupBy("lang").count().collect()}
+        if all(got.get(k, 0) >= min(n, sample) for k, n in totals.items()):
+            break
+        wide *= 4
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    picked = low.withColumn("order", order).where(F.col("order") <= sample)
+    return picked.repartition("lang", F.col("order") % 64).select("lang", "text"), {k: min(n, sample) for k, n in totals.items()}
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn the languages of rows with text and lang.
 
     Of each language the ``sample`` rows of smallest hash are used, a bounded set that
-    no order or partitioning of the rows changes.
+    no order or partitioning of the rows changes. Their n-grams are counted in many tasks.
     """
-    spark = docs.sparkSession
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", "doc_id")
-    names = [r["lang"] for r in rows.groupBy("lang").count().orderBy("lang").limit(LANGUAGES + 1).collect()]
-    if len(names) > LANGUAGES:
-        raise ValueError(f"at most {LANGUAGES} languages")
-    if not names:
+    picked, totals = sampled(rows, sample)
+    if not totals:
         return model_of({})
-    picked = None
-    for name in names:
-        one = smallest(rows.where(F.col("lang") == name), "doc_id", sample)
-        picked = one if picked is None else picked.unionAll(one)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -161,27 +180,26 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 found.setdefault(lang, []).append(np.unique(grams(letters(text))))
             for lang, parts in found.items():
                 h, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.where(np.arange(len(h)) == 0, len(parts), 0).astype(np.int64))], names=["lang", "h", "n", "docs"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "h", "n"])
 
-    counted = picked.mapInArrow(tidy(run), "lang string, h long, n long, docs long")
-    total = counted.groupBy("lang").agg(F.sum("docs").alias("all"))
-    tops = counted.groupBy("lang", "h").agg(F.sum("n").alias("n"))
-    tops = tops.join(F.broadcast(total), "lang").withColumn("share", F.col("n") / F.col("all"))
+    tops = picked.mapInArrow(tidy(run), "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
+    sizes = local(rows.sparkSession, sorted(totals.items()), "lang string, docs long")
+    tops = tops.join(sizes, "lang").withColumn("share", F.col("n") / F.col("docs"))
     most = F.max("share").over(Window.partitionBy("h"))  # a row for each language at most
     tops = tops.withColumn("most", most).where((F.col("n") >= LEAST_DOCS) & (F.col("share") >= LEAST_SHARE) & (F.col("share") >= LEAST_OF_MOST * F.col("most")))
-    tops = written(tops.select("lang", "h", "n"), "langid-grams")
-    found = {}
-    for name in names:  # at most KEPT hashes of each language reach the driver
-        got = tops.where(F.col("lang") == name).orderBy(F.desc("n"), "h").limit(KEPT).select("h").toArrow()
-        found[name] = got.column("h").to_numpy().view(np.uint64)
-    return model_of(found)
+    got = tops.select("lang", "h").toArrow().sort_by("lang")  # bounded by the sample
+    lang, h = got.column("lang").combine_chunks().dictionary_encode(), got.column("h").to_numpy().view(np.uint64)
+    which = lang.indices.to_numpy()
+    found = {name: h[which == i] for i, name in enumerate(lang.dictionary.to_pylist())}
+    return model_of({name: found.get(name, h[:0]) for name in totals})
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each row of docs: doc_id, lang_pred, score. Only doc_id and text are read.
 
     Whole texts are used. Null texts and those without a letter are ``und`` with score
-    0. The filter, 8 MB whatever the input, is broadcast.
+    0; a tie goes to the first language by name. Repeated rows give repeated rows, an
+    empty table none. The filter, whose size the fit's sample bounds, is broadcast.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -197,6 +215,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document; every fifth, by crc32 of its id, is held out of the fit."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(remainder(F.col("doc_id"), 5) != 0))
     out = predicted(docs, model)
