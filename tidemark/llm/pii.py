@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import boost
-from .common import BROADCAST_ROWS, passing, table, written
+from .common import BROADCAST_ROWS, fresh, passing, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -39,12 +39,12 @@ BASE = {
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _AT, _DOT = r"(?:\x20?[\[(]at[\])]\x20?|\x20at\x20|\x20?@\x20?)", r"(?:\x20?[\[(]dot[\])]\x20?|\x20dot\x20|\.)"
 
-#: What else may be personal data, per kind.
+#: What else may be personal data, per kind: patterns whose spans may overlap, also those of one kind.
 GENERATORS = {
-    "email": rf"(?<!{_LOCAL}){_LOCAL}++{_AT}{_LABEL}++(?:{_DOT}{_LABEL}++)++",
-    "ip": rf"(?<![0-9.]){_OCTET}(?:(?:[\[(]\.[\])]|\x20\.\x20|\x20dot\x20|\.){_OCTET}){{3}}(?![0-9])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[\x20./_-]{0,2}+[0-9]){12,18}+(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+|\()?[0-9](?:[\x20()./-]{0,2}+[0-9]){6,14}+(?![0-9A-Za-z])",
+    "email": [rf"(?<!{_LOCAL}){_LOCAL}++{_AT}{_LABEL}++(?:{_DOT}{_LABEL}++)++", rf"(?<!{_LOCAL}){_LOCAL}++{_AT}{_LABEL}++{_DOT}[A-Za-z]{{2,6}}+(?![A-Za-z0-9])"],
+    "ip": [rf"(?<![0-9.]){_OCTET}(?:(?:[\[(]\.[\])]|\x20\.\x20|\x20dot\x20|\.){_OCTET}){{3}}(?![0-9])"],
+    "card": [r"(?<![0-9A-Za-z])[0-9](?:[\x20./_-]{0,2}+[0-9]){12,18}+(?![0-9A-Za-z])", r"(?<![0-9A-Za-z])[0-9]{4}([\x20._/-]{1,2}+)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9A-Za-z])"],
+    "phone": [r"(?<![0-9A-Za-z])(?:\+|\()?[0-9](?:[\x20()./-]{0,2}+[0-9]){6,14}+(?![0-9A-Za-z])", r"(?<![0-9A-Za-z(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])"],
 }
 
 #: Characters of context on either side of a candidate.
@@ -241,14 +241,16 @@ def models(spark: SparkSession) -> dict[str, boost.Model]:
 @lru_cache(maxsize=1)
 def _wide() -> dict[str, str]:
     """What a text needs for a kind's generator to be tried."""
-    return {"email": r"@|\bat\b|[\[(]at[\])]", "ip": r"[0-9]", "card": r"[0-9]", "phone": r"[0-9]"}
+    near = r"[0-9][^A-Za-z]{0,24}[0-9]"
+    return {"email": r"@|\bat\b|[\[(]at[\])]", "ip": rf"{near}|[0-9]\x20dot\x20[0-9]", "card": near, "phone": near}
 
 
 def detected(docs: DataFrame, key: list[str]) -> DataFrame:
     """One row for each row of docs: key columns, base and added array<struct<kind, start, end>>.
 
-    Whole texts are searched, null ones as empty. Added spans touch no base span, nor
-    each other: of two that overlap the likelier stays, then the earlier.
+    Whole texts are searched, null and empty ones have no spans. Added spans touch no
+    base span, nor each other: of two that overlap the likelier stays, then the earlier,
+    then the first kind by name. Repeated rows give repeated rows, an empty table none.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -256,16 +258,14 @@ def detected(docs: DataFrame, key: list[str]) -> DataFrame:
     place = lambda kind: lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     wide = lambda kind: lambda s: F.struct(F.lit(kind).alias("kind"), *(s[c].alias(c) for c in ("start", "end", "m", "before", "after")))
     has = {k: F.col("text").rlike(p) for k, p in _wide().items()}
-    digits = F.col("text").rlike("[0-9][^A-Za-z]{0,24}[0-9]")
     rows = rows.select(
         "row",
         *key,
         F.concat(*(F.transform(base_spans(k, F.col("text")), place(k)) for k in KINDS)).alias("base"),
-        F.concat(*(F.transform(spans(F.col("text"), GENERATORS[k], has[k] if k == "email" else digits), wide(k)) for k in KINDS)).alias("wide"),
+        F.concat(*(F.transform(spans(F.col("text"), p, has[k]), wide(k)) for k in KINDS for p in GENERATORS[k])).alias("wide"),
     )
     rows = written(rows, "pii-rows", compression="zstd")
-    free = F.filter("wide", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    each = rows.where(F.size("wide") > 0).select("row", F.explode(free).alias("c")).select("row", "c.*")
+    each = rows.where(F.size("wide") > 0).select("row", F.explode("wide").alias("c")).select("row", "c.*")
     score = F.lit(0.0)
     for kind, model in models(spark).items():
         p = model.column([F.col(f"x{i}") for i in range(FEATURES)])
@@ -278,27 +278,39 @@ def detected(docs: DataFrame, key: list[str]) -> DataFrame:
             x = F.when(F.col("kind") == "email", by_kind["email"][i]).when(F.col("kind") == "ip", by_kind["ip"][i]).when(F.col("kind") == "card", by_kind["card"][i]).otherwise(x)
         numbers.append(x.alias(f"x{i}"))
     # Written once more, so that the optimizer doesn't reason about the trees in what follows.
-    scored = written(each.select("row", "kind", "start", "end", *numbers).select("row", "kind", "start", "end", score.alias("p")), "pii-scored")
-    chosen = _apart(scored.where(F.col("p") > 0))
-    added = chosen.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
+    scored = written(each.select("row", "kind", "start", "end", *numbers).select("row", "kind", "start", "end", score.alias("p")), "pii-scored").where(F.col("p") > 0)
+    base = rows.where(F.size("wide") > 0).select("row", F.explode("base").alias("c")).select("row", "c.*", F.lit(BASE_P).alias("p"))
+    added = _apart(scored.unionByName(base)).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return rows.join(added, "row", "left").select(*key, "base", F.coalesce("added", empty).alias("added"))
 
 
-def _apart(chosen: DataFrame) -> DataFrame:
-    """Of spans that overlap in a row, those that no likelier (then earlier) one overlaps.
+#: Stands for the probability of a base span, above all others.
+BASE_P = 2.0
 
-    Chains are followed for as many rounds as there are kinds: a kind's own candidates
-    never overlap, so a span meets few others. What is still in doubt after them goes.
+
+def _apart(found: DataFrame) -> DataFrame:
+    """Of a row's spans (row, kind, start, end, p) those that stay beside its base spans.
+
+    In order of probability, then start, then kind, a span stays if it overlaps no base
+    span and none that stayed before it. Only spans of a chain of overlaps are put
+    together for that, which are few even in a very long text.
     """
-    at = Window.partitionBy("row").orderBy("start", F.desc("p"), "kind")
-    out = chosen
-    for _ in KINDS:
-        # Neighbours in order of start: the later goes if it is less likely, else the earlier.
-        out = out.select("*", F.lag("end").over(at).alias("pe"), F.lag("p").over(at).alias("pp"), F.lead("start").over(at).alias("ns"), F.lead("p").over(at).alias("np"))
-        worse = (F.coalesce(F.col("pe") > F.col("start"), F.lit(False)) & F.coalesce(F.col("pp") >= F.col("p"), F.lit(False))) | (F.coalesce(F.col("ns") < F.col("end"), F.lit(False)) & F.coalesce(F.col("np") > F.col("p"), F.lit(False)))
-        out = out.where(~worse).drop("pe", "pp", "ns", "np")
-    return out
+    before = Window.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    till = Window.partitionBy("row").orderBy("start", "end", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    new = F.when(F.col("start") < F.max("end").over(before), 0).otherwise(1)
+    chains = found.distinct().withColumn("new", new).withColumn("chain", F.sum("new").over(till))
+    each = F.struct((-F.col("p")).alias("p"), "start", "kind", "end")
+    lists = chains.groupBy("row", "chain").agg(F.array_sort(F.collect_list(each)).alias("all"))
+    alone = F.filter("all", lambda s: s["p"] > -BASE_P)
+    none = F.filter("all", lambda s: s["p"] == -BASE_P)
+
+    def step(kept: Column, s: Column) -> Column:
+        free = ~F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"]))
+        return F.when(free, F.concat(kept, F.array(s))).otherwise(kept)
+
+    kept = F.filter(F.aggregate(alone, none, step), lambda s: s["p"] > -BASE_P)
+    return lists.select("row", F.explode(kept).alias("s")).select("row", "s.kind", "s.start", "s.end")
 
 
 def _of(kind: str) -> Callable[[Column], Column]:
@@ -314,40 +326,72 @@ def _in_order(found: Column) -> Column:
     return F.concat(*(F.array_sort(F.filter(found, _of(k))) for k in KINDS))
 
 
+#: Characters of the pieces that a text is cut into before spans are cut out of it.
+PIECE = 4096
+
+
+def _rebuilt(text: Column, found: Column) -> Column:
+    """The text with each of its spans (ascending, apart) replaced by its kind in brackets.
+
+    What stands between spans is cut from pieces of the text: time follows its length.
+    """
+    size = F.length(text)
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((size - 1) / PIECE), F.lit(0)).cast("int")), lambda i: F.substring(text, i * PIECE + 1, F.lit(PIECE)))
+
+    def build(parts: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            first, last = F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")
+            inside = F.substring(F.get(parts, first), a % PIECE + 1, b - a)
+            middle = F.array_join(F.slice(parts, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+            return F.when(b <= a, F.lit("")).when(first == last, inside).otherwise(F.concat(F.substring(F.get(parts, first), a % PIECE + 1, F.lit(PIECE)), middle, F.substring(F.get(parts, last), F.lit(1), (b - 1) % PIECE + 1)))
+
+        def one(s: Column, i: Column) -> Column:
+            return F.concat(cut(F.coalesce(F.get(found, i - 1)["end"], F.lit(0)), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+
+        return F.concat(F.array_join(F.transform(found, one), ""), cut(F.element_at(found, -1)["end"], size))
+
+    return F.element_at(F.transform(F.array(pieces), build), 1)
+
+
+def merged(found: DataFrame) -> DataFrame:
+    """Of spans (id, hash, start, end, kind) one row for each id and hash: ``spans`` in order, those that touch or overlap as one, of the first's kind."""
+    order = Window.partitionBy("id", "hash").orderBy("start", "end", "kind")
+    before, till = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    new = F.when(F.col("start") <= F.max("end").over(before), 0).otherwise(1)
+    each = found.distinct().withColumn("new", new).withColumn("part", F.sum("new").over(till))
+    each = each.groupBy("id", "hash", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "end", "kind")).alias("kind"))
+    return each.groupBy("id", "hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("spans"))
+
+
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with each span of personal data replaced by its kind in brackets.
 
     Spans that touch or overlap become one, named after the first. A text without
     personal data, and a null one, stays as it is; n_chars follows the text where the
-    column exists. All columns stay, in their order.
+    column exists. All columns stay, in their order, whatever their names; repeated rows
+    stay repeated, and an empty table stays empty.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    helper = "_pii_text_hash"
     with passing(docs.sparkSession) as keep:
-        found = detected(docs.select("doc_id", "text", F.xxhash64(text).alias(helper)), ["doc_id", helper])
-        placed = F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-        found = found.where((F.size("base") > 0) | (F.size("added") > 0)).select(F.col("doc_id").alias("_pii_id"), F.col(helper).alias("_pii_hash"), placed.alias("_pii_spans"))
-        keep.append(written(found.dropDuplicates(["_pii_id", "_pii_hash"]), "pii-found"))
+        found = detected(docs.select("doc_id", "text", F.xxhash64(text).alias("text_hash")), ["doc_id", "text_hash"])
+        each = found.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), F.explode(F.concat("base", "added")).alias("s"))
+        keep.append(written(merged(each.select("id", "hash", "s.start", "s.end", "s.kind")), "pii-found"))
     found = keep[0]
-    if (found.agg(F.sum(1 + F.size("_pii_spans"))).first()[0] or 0) <= BROADCAST_ROWS:
-        found = F.broadcast(found)
-    same = docs["doc_id"].eqNullSafe(F.col("_pii_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_pii_hash"))
-    out = docs.join(found, same, "left")
-
-    def step(a: Column, s: Column) -> Column:
-        inside = s["start"] <= a["at"]
-        piece = F.when(inside & (a["at"] > 0), F.lit("")).otherwise(F.concat(F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], F.array(piece)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("_pii_spans", start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    new = F.when(F.col("_pii_spans").isNull(), F.col("text")).otherwise(clean)
-    out = out.withColumn("_pii_new", new)
-    columns = [F.col("_pii_new").alias("text") if c == "text" else F.when(F.col("_pii_spans").isNull(), docs[c]).otherwise(F.length("_pii_new")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return out.select(*columns)
+    own, key, cut, new = (fresh(docs, c) for c in ("row_key", "found_key", "found_spans", "new_text"))
+    broadcast = (found.agg(F.sum(1 + F.size("spans"))).first()[0] or 0) <= BROADCAST_ROWS
+    found = found.select(F.struct("id", "hash").alias(key), F.col("spans").alias(cut))
+    rows = docs.withColumn(own, F.struct(F.col("doc_id").alias("id"), F.xxhash64(text).alias("hash")))
+    out = rows.join(F.broadcast(found) if broadcast else found, F.col(own) == F.col(key), "left")
+    whole = F.col(cut).isNull()
+    out = out.withColumn(new, F.when(whole, F.col("text")).otherwise(_rebuilt(F.col("text"), F.col(cut))))
+    changed = {"text": F.col(new)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(whole, F.col("n_chars")).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and all spans of each document; a null text has none."""
     out = detected(table(spark, sf_dir, "documents"), ["doc_id"])
     n = [F.size(F.filter("base", _of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *n, F.sha2(_said(F.col("base")).cast("binary"), 256).alias("base_sha256"), _said(_in_order(F.concat("base", "added"))).alias("spans"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, passing, small, table, written
+from .common import WORD, fresh, passing, small, table, written
 from .mixing import source_key
 
 #: Words of the windows whose repeats are counted.
@@ -127,25 +127,26 @@ def kept(docs: DataFrame, **limits: float) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns, without their host's frequent lines.
 
     A text without such a line stays as it is; n_chars follows the text where the column
-    exists.
+    exists. Null and empty texts have no words and go; repeated rows stay repeated, and
+    columns of any name may stand beside.
     """
+    own, key, known = (fresh(docs, c) for c in ("row_key", "verdict_key", "verdict"))
+    host, text = source_key(F.col("source")), F.coalesce(F.col("text"), F.lit(""))
     with passing(docs.sparkSession) as keep:
         verdicts = judged(docs, **limits).where(~F.col("kept") | F.col("frequent").isNotNull())
-        verdicts = verdicts.select(F.col("doc_id").alias("_line_id"), F.col("text_hash").alias("_line_hash"), F.col("host").alias("_line_host"), F.col("kept").alias("_line_kept"), F.col("frequent").alias("_line_gone"))
-        keep.append(written(verdicts.dropDuplicates(["_line_id", "_line_hash", "_line_host"]), "quality-verdicts"))
-    found = small(keep[0])
-    text = F.coalesce(docs["text"], F.lit(""))
-    same = docs["doc_id"].eqNullSafe(F.col("_line_id")) & (F.xxhash64(text) == F.col("_line_hash")) & (source_key(docs["source"]) == F.col("_line_host"))
-    out = docs.join(found, same, "left").where(F.coalesce("_line_kept", F.lit(True)))
-    whole = F.col("_line_gone").isNull()
-    out = out.withColumn("_line_new", F.when(whole, docs["text"]).otherwise(without(docs["text"], F.col("_line_gone"))))
-    new = {"text": F.col("_line_new")}
+        verdicts = verdicts.select(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "host").alias(key), F.struct("kept", "frequent").alias(known))
+        keep.append(written(verdicts.dropDuplicates([key]), "quality-verdicts"))
+    rows = docs.withColumn(own, F.struct(F.col("doc_id").alias("id"), F.xxhash64(text).alias("hash"), host.alias("host")))
+    out = rows.join(small(keep[0]), F.col(own) == F.col(key), "left").where(F.coalesce(F.col(known)["kept"], F.lit(True)))
+    gone = F.col(known)["frequent"]
+    new = {"text": F.when(gone.isNull(), F.col("text")).otherwise(without(F.col("text"), gone))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(whole, docs["n_chars"]).otherwise(F.length("_line_new")).cast(docs.schema["n_chars"].dataType)
-    return out.select(*(new.get(c, docs[c]).alias(c) for c in docs.columns))
+        new["n_chars"] = F.when(gone.isNull(), F.col("n_chars")).otherwise(F.length(new["text"])).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of each document."""
     return judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left")
 
 
