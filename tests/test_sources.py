@@ -7,7 +7,7 @@ from tidemark import ConflictError, RecoveryRequiredError, Repository
 from tidemark.functions import below, hive_folder, partition_value
 from tidemark.operators import changed, deleted, obsolete, pruned, published, restored
 from tidemark.plans.faults import Stopped, stopping
-from tidemark.sources import datasets_frame, inventory, publish, read, refresh, stage_frame, state_frame, steady
+from tidemark.sources import datasets_frame, inventory, numbered, publish, read, refresh, rollback, spread, stage_frame, state_frame, steady
 from tidemark.sources import datasource
 from tidemark.streaming import sink
 
@@ -173,23 +173,71 @@ def test_data_source(spark, market):
 def test_data_source_prunes_partitions(spark, market):
     datasource.register(spark)
     put(spark, market, prices(spark, (1, 1), (2, 2), (3, 3)), 1)
-    got = spark.read.format("tidemark").options(path=str(market.root), name="market").load().where("date = '2026-10-02'")
+    source = spark.read.format("tidemark").options(path=str(market.root), name="market")
+    every = source.load()
+    assert [(r.price, r.date) for r in every.where("date = '2026-10-02'").collect()] == [(2, "2026-10-02")]
+    assert every.count() == 3  # the same frame after a filtered scan
+    got = source.option("only", '{"date": "2026-10-02"}').load()
     assert [(r.price, r.date) for r in got.collect()] == [(2, "2026-10-02")] and got.rdd.getNumPartitions() == 1
+    assert source.option("only", '{"date": null}').load().count() == 0
+
+
+def test_data_source_reads_null_partitions_and_later_columns(spark, market):
+    datasource.register(spark)
+    rows = spark.createDataFrame([(1, "a"), (2, None), (3, "b=c")], "v long, k string")
+    publish(spark, market, rows, metadata={}, quiescent=True, partition_by=["k"])
+    publish(spark, market, spark.createDataFrame([(4, "z", 0.5)], "v long, k string, w double"), metadata={}, quiescent=True, partition_by=["k"])
+    options = {"path": str(market.root), "name": "market"}
+    got = spark.read.format("tidemark").options(**options).load()
+    assert sorted((r.v, r.k, r.w) for r in got.collect()) == [(1, "a", None), (2, None, None), (3, "b=c", None), (4, "z", 0.5)]
+    assert [r.v for r in got.where("k is null").collect()] == [2] and [r.v for r in got.where("k = 'b=c'").collect()] == [3]
+    plain = read(spark, market, mergeSchema="true")
+    assert sorted(map(tuple, plain.select("v", "k", "w").collect())) == sorted(map(tuple, got.select("v", "k", "w").collect()))
+    (market.root / "odd.parquet").write_bytes((market.root / "k=a" / "data.parquet").read_bytes())
+    with pytest.raises(Exception, match="partition columns"):
+        spark.read.format("tidemark").options(**options).load()
+
+
+def test_copies_by_tasks(spark, market):
+    """Publishing and undoing with copies that Spark's tasks make."""
+    spread(spark, market, least=1)
+    put(spark, market, prices(spark, (1, 1), (2, 2), (3, 3)), 1)
+    put(spark, market, prices(spark, (2, 20), (3, 30), (4, 40)), 2)
+    kept = market.control / "work" / market.current().undo / "before"
+    assert len(list(kept.rglob("*.parquet"))) == 2
+    rollback(spark, market, quiescent=True)
+    assert listed(read(spark, market)) == [(1, 1), (2, 2), (3, 3)]
+    assert all(p.stat().st_nlink == 1 for p in market.root.rglob("*.parquet"))
+
+
+def test_numbered(spark):
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("x")).repartition(7).orderBy("x")
+    got = numbered(df).collect()
+    assert sorted((r.x, r.place) for r in got) == [(i, i + 1) for i in range(1000)]
+    assert numbered(df.limit(0)).count() == 0
 
 
 def test_streaming_sink(spark, market, tmp_path):
     source = str(tmp_path / "in")
     prices(spark, (1, 1), (2, 2)).write.parquet(source)
     stream = spark.readStream.schema("date date, price long").parquet(source)
-    add = sink(market, ["date"])
+    with pytest.raises(ValueError):
+        sink(market, ["date"], quiescent=False)
+    add = sink(market, ["date"], quiescent=True)
 
-    def run():
-        q = stream.writeStream.foreachBatch(add).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    def run(checkpoint="c"):
+        q = stream.writeStream.foreachBatch(add).option("checkpointLocation", str(tmp_path / checkpoint)).trigger(availableNow=True).start()
         q.awaitTermination(60)
+        return str(q.id)
 
-    run()
+    own = run()
     prices(spark, (2, 3)).write.mode("append").parquet(source)
-    run()
+    assert run() == own
     assert listed(read(spark, market)) == [(1, 1), (2, 2), (2, 3)] and market.current().revision == 2
-    add(prices(spark, (5, 5)), market.current().metadata["batch_id"])  # delivered again
+    again = sink(market, ["date"], query=own, quiescent=True)
+    again(prices(spark, (5, 5)), market.current().metadata["batches"][own])  # delivered again
     assert market.current().revision == 2
+    # Another checkpoint is another stream: its batches count anew, and nothing of them is lost.
+    other = run("d")
+    assert other != own and market.current().metadata["batches"].keys() == {own, other}
+    assert listed(read(spark, market)) == [(1, 1), (1, 1), (2, 2), (2, 2), (2, 3), (2, 3)]

@@ -6,15 +6,20 @@ and stay out. Queries named ``builtin_`` are Spark as it is, over the same table
 
 from __future__ import annotations
 
+import json
+import os
+import threading
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..errors import ConflictError, NoRollbackError, RecoveryRequiredError
+from ..control.records import CONTROL
+from ..errors import ConflictError, CorruptionError, NoRollbackError, RecoveryRequiredError, UnsupportedFormatError
 from ..operators import changed
-from ..sources import datasets_frame, inventory, publish, read, refresh
+from ..sources import datasets_frame, inventory, numbered, publish, read, refresh, rollback, spread
 from .faults import Stopped, stopping
 from .lab import Lab, day
 
@@ -23,14 +28,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-_DAYS = "CAST(ts AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-{:02}'"
-_ROWS = "SELECT event_id, ts, user_id, event_type, value, props, CAST(ts AS DATE) AS date FROM events WHERE "
-_BASE = _ROWS + _DAYS.format(10)
-_REVISED = f"SELECT event_id, ts, user_id, event_type, CASE WHEN day(ts) BETWEEN 8 AND 12 THEN value + 1000 ELSE value END AS value, props, CAST(ts AS DATE) AS date FROM events WHERE {_DAYS.format(12)}"
+_COLUMNS = "event_id, ts, user_id, event_type, {} AS value, props, CAST(ts AS DATE) AS date"
+_JANUARY = "CAST(ts AS DATE) BETWEEN DATE '2024-01-{:02}' AND DATE '2024-01-{:02}'"
+_RAISED = f"CASE WHEN {_JANUARY.format(8, 12)} THEN value + 1000 ELSE value END"
+_BASE = f"SELECT {_COLUMNS.format('value')} FROM events"
+_REVISED = f"SELECT {_COLUMNS.format(_RAISED)} FROM events"
 
 
-_WHOLE = _ROWS + "true"
-_WHOLE_REVISED = "SELECT event_id, ts, user_id, event_type, CASE WHEN CAST(ts AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-12' THEN value + 1000 ELSE value END AS value, props, CAST(ts AS DATE) AS date FROM events"
+def _without(sql: str, *days: int) -> str:
+    return sql + " WHERE CAST(ts AS DATE) NOT IN (" + ", ".join(f"DATE '2024-01-{d:02}'" for d in days) + ")"
 
 
 def query(sql: str) -> Callable[[Query], Query]:
@@ -62,7 +68,7 @@ def rollback_five_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _undone(Lab(spark, sf_dir).revised())
 
 
-@query(_ROWS + "false")
+@query(_BASE + " WHERE false")
 def rollback_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = Lab(spark, sf_dir).base()
     schema = lab.rows().schema
@@ -70,7 +76,7 @@ def rollback_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lab.rows(schema=schema)
 
 
-@query(_BASE + " AND day(ts) <> 3")
+@query(_without(_BASE, 3))
 def publish_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = Lab(spark, sf_dir).base()
     lab.put(None, 2, delete=[day(3)])
@@ -84,7 +90,7 @@ def rollback_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _undone(lab)
 
 
-@query(_REVISED + " AND day(ts) <> 2")
+@query(_without(_REVISED, 2))
 def mixed_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = Lab(spark, sf_dir).base()
     lab.put(lab.days(8, 12, 1000), 2, delete=[day(2)])
@@ -167,12 +173,12 @@ def _prune(lab: Lab, *paths: str, batch: int = 3) -> Lab:
     return lab
 
 
-@query(_BASE + " AND day(ts) <> 4")
+@query(_without(_BASE, 4))
 def prune_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prune(Lab(spark, sf_dir).base(), day(4)).rows()
 
 
-@query(_REVISED + " AND day(ts) NOT IN (5, 11)")
+@query(_without(_REVISED, 5, 11))
 def prune_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prune(Lab(spark, sf_dir).revised(), "date=2024-01-05", "date=2024-01-11").rows()
 
@@ -182,20 +188,37 @@ def prune_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prune(Lab(spark, sf_dir).base(), "date=2023-01-01", "no/such/file").rows()
 
 
-@query(_BASE + " AND day(ts) <> 4")
+@query(_without(_BASE, 4))
 def publish_after_prune_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = _prune(Lab(spark, sf_dir).base(), "date=2024-01-04")
     lab.put(lab.days(8, 12, 1000), 4)
     return _undone(lab)
 
 
+@query(_without(_BASE, 4, 5))
+def recover_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stopped between two removals; recovery goes forward."""
+    lab = Lab(spark, sf_dir).base()
+    return _stopped(lab, lambda: _prune(lab, day(4), day(5)), only="discard_tree", at=0, after=True)
+
+
+@query(_BASE)
+def recover_prune_unbegun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stopped before the intent stood: nothing is removed."""
+    lab = Lab(spark, sf_dir).base()
+    return _stopped(lab, lambda: _prune(lab, day(4)), only="replace", at=0)
+
+
 def _thrice(spark: SparkSession, sf_dir: str) -> Lab:
     lab = Lab(spark, sf_dir).revised()
     lab.put(lab.days(1, 2, 5), 3)
     return lab
 
 
-@query(f"SELECT event_id, ts, user_id, event_type, CASE WHEN day(ts) <= 2 THEN value + 5 WHEN day(ts) >= 8 THEN value + 1000 ELSE value END AS value, props, CAST(ts AS DATE) AS date FROM events WHERE {_DAYS.format(12)}")
+_THRICE = f"CASE WHEN {_JANUARY.format(1, 2)} THEN value + 5 WHEN {_JANUARY.format(8, 12)} THEN value + 1000 ELSE value END"
+
+
+@query(f"SELECT {_COLUMNS.format(_THRICE)} FROM events")
 def clean_preserves_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = _thrice(spark, sf_dir)
     lab.market.clean()
@@ -212,7 +235,7 @@ def clean_preview_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _factor(spark: SparkSession, sf_dir: str) -> Lab:
     """Two definitions side by side; metadata says which is in force."""
     lab = Lab(spark, sf_dir)
-    factor = lab.days(1, 3).groupBy("date", "user_id").agg(F.sum("value").alias("factor"))
+    factor = lab.events().groupBy("date", "user_id").agg(F.sum("value").alias("factor"))
     publish(spark, lab.market, factor.withColumn("version", F.lit("v1")), metadata={"definition": "v1"}, quiescent=True, partition_by=["version", "date"])
     publish(spark, lab.market, factor.withColumn("factor", F.col("factor") * 2).withColumn("version", F.lit("v2")), metadata={"definition": "v2"}, quiescent=True, partition_by=["version", "date"])
     return lab
@@ -224,7 +247,7 @@ def _in_force(lab: Lab) -> DataFrame:
     return rows
 
 
-_FACTOR = f"SELECT 'v{{0}}' AS version, CAST(ts AS DATE) AS date, CAST(count(DISTINCT user_id) AS BIGINT) AS n, round(sum(value) * {{0}}, 4) AS total FROM events WHERE {_DAYS.format(3)} GROUP BY 2"
+_FACTOR = "SELECT 'v{0}' AS version, CAST(ts AS DATE) AS date, CAST(count(DISTINCT user_id) AS BIGINT) AS n, round(sum(value) * {0}, 4) AS total FROM events GROUP BY 2"
 
 
 @query(_FACTOR.format(2))
@@ -261,15 +284,16 @@ def drop_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets_frame(spark, lab.repository)
 
 
+def _outcome(act: Callable[[], object]) -> str:
+    try:
+        act()
+    except (ValueError, OSError, ConflictError, CorruptionError, NoRollbackError, RecoveryRequiredError, UnsupportedFormatError, KeyError) as e:
+        return type(e).__name__
+    return "ok"
+
+
 def _outcomes(spark: SparkSession, cases: dict[str, Callable[[], object]]) -> DataFrame:
-    rows = []
-    for name, act in cases.items():
-        try:
-            act()
-            rows.append((name, "ok"))
-        except (ValueError, OSError, ConflictError, NoRollbackError, RecoveryRequiredError, KeyError) as e:
-            rows.append((name, type(e).__name__))
-    return spark.createDataFrame(rows, "case string, outcome string")
+    return spark.createDataFrame([(name, _outcome(act)) for name, act in cases.items()], "case string, outcome string")
 
 
 def _values(**cases: str) -> str:
@@ -298,6 +322,120 @@ def cas_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _outcomes(spark, {**cases, "current": lambda: write(2)})
 
 
+@query(_values(open_stopped="RecoveryRequiredError", listed_stopped="other", drop_again="ok", open_dropped="KeyError", listed="other", folder="gone"))
+def recover_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset whose removal was stopped is refused and not listed; a repeated call ends it."""
+    lab = Lab(spark, sf_dir).base()
+    lab.create("other")
+    try:
+        with stopping(only="discard_tree", at=0):
+            lab.repository.drop_dataset("market", quiescent=True)
+    except Stopped:
+        pass
+    names = lambda: ",".join(lab.repository.list_datasets())
+    rows = [("open_stopped", _outcome(lambda: lab.repository.dataset("market"))), ("listed_stopped", names())]
+    rows += [("drop_again", _outcome(lambda: lab.repository.drop_dataset("market", quiescent=True))), ("open_dropped", _outcome(lambda: lab.repository.dataset("market"))), ("listed", names())]
+    rows.append(("folder", "there" if lab.market.root.exists() else "gone"))
+    return spark.createDataFrame(rows, "case string, outcome string")
+
+
+@query(_values(link="CorruptionError", below_link="CorruptionError", fifo="CorruptionError", two_names="CorruptionError", inside_folder="CorruptionError", control_below="ValueError", stage_link="CorruptionError", delete_two_names="CorruptionError", rows_left="True", absent="ok"))
+def preflight_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, special files, files with two names and control records stop a removal before it begins."""
+    lab = Lab(spark, sf_dir).base()
+    m, root = lab.market, lab.market.root
+    before = sorted(p.relative_to(root).as_posix() for p in root.glob("date=*/*"))
+    os.symlink(root / "date=2024-01-01", root / "link")
+    os.mkfifo(root / "fifo")
+    (root / "twice").write_bytes(b"x")
+    os.link(root / "twice", root / "thrice")
+    (root / "folder").mkdir()
+    os.symlink("/", root / "folder" / "out")
+    (root / "nested" / CONTROL).mkdir(parents=True)
+
+    def prune(path):
+        with m.prune(quiescent=True) as plan:
+            plan.delete(day(1))
+            plan.delete(path)
+            plan.commit(metadata={"batch": 9})
+
+    def stage(path):
+        with m.write() as batch:
+            batch.stage(path)
+
+    def delete(path):
+        with m.write() as batch:
+            batch.delete(path)
+
+    cases = {"link": lambda: prune("link"), "below_link": lambda: prune("link/x"), "fifo": lambda: prune("fifo"), "two_names": lambda: prune("twice"), "inside_folder": lambda: prune("folder"), "control_below": lambda: prune("nested"), "stage_link": lambda: stage("link/x"), "delete_two_names": lambda: delete("twice")}
+    rows = [(k, _outcome(act)) for k, act in cases.items()]
+    rows.append(("rows_left", str(before == sorted(p.relative_to(root).as_posix() for p in root.glob("date=*/*")))))
+
+    def absent():
+        with m.prune(quiescent=True) as plan:
+            plan.delete("no/such")
+            plan.commit(metadata={"batch": 9})
+
+    rows.append(("absent", _outcome(absent)))
+    return spark.createDataFrame(rows, "case string, outcome string")
+
+
+@query(_values(other_register="UnsupportedFormatError", other_kind="UnsupportedFormatError", other_dataset="UnsupportedFormatError", unknown_intent="CorruptionError", unknown_field="CorruptionError", no_json="CorruptionError", other_name="CorruptionError", mended="ok"))
+def format_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of another format or shape are refused, whatever reads them."""
+    lab = Lab(spark, sf_dir).base()
+    register, control = lab.repository.control / "register.json", lab.market.control
+
+    def with_text(file: Path, text: str, act: Callable[[], object]) -> Callable[[], object]:
+        def run():
+            old = file.read_text() if file.exists() else None
+            file.write_text(text)
+            try:
+                return act()
+            finally:
+                file.unlink() if old is None else file.write_text(old)
+
+        return run
+
+    record, head = json.loads(register.read_text()), json.loads((control / "head.json").read_text())
+    reopen = lambda: lab.repository.dataset("market")
+    cases = {
+        "other_register": with_text(register, json.dumps(record | {"format": 99}), lab.repository.list_datasets),
+        "other_kind": with_text(register, json.dumps(record | {"kind": "dataset"}), lab.repository.list_datasets),
+        "other_dataset": with_text(control / "dataset.json", json.dumps({"format": 0, "kind": "dataset", "name": "market"}), reopen),
+        "unknown_intent": with_text(control / "intent.json", json.dumps({"kind": "sweep"}), lambda: lab.market.recover(quiescent=True)),
+        "unknown_field": with_text(control / "head.json", json.dumps(head | {"more": 1}), lab.market.current),
+        "no_json": with_text(control / "head.json", "{", lab.market.current),
+        "other_name": with_text(control / "dataset.json", json.dumps({"format": 1, "kind": "dataset", "name": "x"}), reopen),
+        "mended": lambda: (reopen().current(), lab.repository.list_datasets()),
+    }
+    return _outcomes(spark, cases)
+
+
+@query(_values(second_waits="True", second_sees="ConflictError", after="1", settled="1", settled_again="ok"))
+def writer_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second writer waits for the first and then sees its revision; settling without an intent changes nothing."""
+    lab = Lab(spark, sf_dir)
+    seen: list[str] = []
+
+    def second():
+        def act():
+            with lab.market.write(expected_revision=0):
+                pass
+
+        seen.append(_outcome(act))
+
+    thread = threading.Thread(target=second)
+    with lab.market.write() as batch:
+        thread.start()
+        thread.join(0.3)
+        waits = thread.is_alive()
+        batch.commit(metadata={"batch": 1}, quiescent=True)
+    thread.join(30)
+    rows = [("second_waits", str(waits)), ("second_sees", seen[0]), ("after", str(lab.market.current().revision)), ("settled", str(lab.market.recover(quiescent=True).revision)), ("settled_again", _outcome(lambda: lab.market.recover(quiescent=True)))]
+    return spark.createDataFrame(rows, "case string, outcome string")
+
+
 _BAD = {"parent": "../x", "absolute": "/tmp/x", "inner_parent": "a/../b", "control": ".tidemark/x", "inner_control": "a/.tidemark/x", "double": "a//b", "backslash": "a\\b", "empty": "", "dot": "."}
 
 
@@ -322,49 +460,44 @@ def hive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Lab(spark, sf_dir).revised().rows(pattern="date=*/data.parquet")
 
 
-@query(_REVISED + " AND day(ts) = 9")
+@query(_REVISED + " WHERE CAST(ts AS DATE) = DATE '2024-01-09'")
 def hive_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Lab(spark, sf_dir).revised().rows().where(F.col("date") == F.lit("2024-01-09").cast("date"))
 
 
-@query(f"SELECT CAST(count(*) AS BIGINT) AS n FROM events WHERE {_DAYS.format(12)}")
+@query("SELECT CAST(count(*) AS BIGINT) AS n FROM events")
 def row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Lab(spark, sf_dir).revised().rows().agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT date, value FROM ({_REVISED}) ORDER BY date, value")
+@query(f"SELECT date, value, event_id, CAST(row_number() OVER (ORDER BY date, value, event_id) AS BIGINT) AS place FROM ({_REVISED})")
 def sorted_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Lab(spark, sf_dir).revised().rows().select("date", "value").orderBy("date", "value")
-
+    """Rows in order, each with its place, so that the order itself is compared."""
+    rows = Lab(spark, sf_dir).revised().rows(pattern="date=*/data.parquet")
+    return numbered(rows.select("date", "value", "event_id").orderBy("date", "value", "event_id"))
 
-@query(_WHOLE_REVISED)
-def whole_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All days of the table, five of them revised."""
-    return Lab(spark, sf_dir).whole().rows()
 
+@query("SELECT DISTINCT event_type FROM events")
+def column_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column's distinct values as a list, and the list as rows."""
+    found = Lab(spark, sf_dir).base().rows().select("event_type").distinct().toArrow().column("event_type").to_pylist()
+    return spark.createDataFrame([(x,) for x in found], "event_type string")
 
-@query(_WHOLE)
-def whole_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _undone(Lab(spark, sf_dir).whole())
-
-
-@query(_WHOLE)
-def whole_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lab = Lab(spark, sf_dir).whole()
-    return _stopped(lab, lambda: lab.market.rollback(quiescent=True), only="replace", at=2)
 
-
-@query(f"SELECT date, value FROM ({_WHOLE_REVISED}) ORDER BY date, value")
-def whole_sorted_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Lab(spark, sf_dir).whole().rows(pattern="date=*/data.parquet").select("date", "value").orderBy("date", "value")
+@query(_BASE)
+def rollback_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A publication and its undoing whose copies are made by Spark's tasks."""
+    lab = Lab(spark, sf_dir)
+    spread(spark, lab.market, least=1)
+    lab.revised()
+    rollback(spark, lab.market, quiescent=True)
+    return lab.rows()
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n FROM events")
-def whole_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Lab(spark, sf_dir).whole().rows().agg(F.count("*").alias("n"))
+_YEAR_ON = "SELECT 'date=2025-01-0' || d || '/data.parquet', 'added' FROM (VALUES (1), (2)) AS t(d)"
 
 
-@query("SELECT 'date=2024-01-' || lpad(CAST(d AS VARCHAR), 2, '0') || '/data.parquet' AS path, CASE WHEN d = 3 THEN 'deleted' WHEN d > 10 THEN 'added' ELSE 'replaced' END AS change FROM (VALUES (3), (8), (9), (10), (11), (12)) AS t(d)")
+@query("SELECT 'date=2024-01-' || lpad(CAST(d AS VARCHAR), 2, '0') || '/data.parquet' AS path, CASE WHEN d = 3 THEN 'deleted' ELSE 'replaced' END AS change FROM (SELECT DISTINCT day(ts) AS d FROM events WHERE " + _JANUARY.format(1, 31) + ") WHERE d = 3 OR d BETWEEN 8 AND 12 UNION ALL " + _YEAR_ON)
 def inventory_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that a publication touched, by the digest of their bytes."""
     lab = Lab(spark, sf_dir).base()
@@ -373,7 +506,8 @@ def inventory_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
         return inventory(spark, lab.market, F.md5("content").alias("digest")).select("path", "digest")
 
     before = digests().collect()
-    lab.put(lab.days(8, 12, 1000), 2, delete=[day(3)])
+    year_on = lab.days(1, 2).withColumn("date", F.date_add("date", 366))
+    lab.put(lab.days(8, 12, 1000).unionByName(year_on), 2, delete=[day(3)])
     return changed(spark.createDataFrame(before, "path string, digest string"), digests(), "digest")
 
 

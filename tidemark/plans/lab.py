@@ -40,27 +40,26 @@ class Lab:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def events(self) -> DataFrame:
+        """All events of the table, with their date."""
+        return self.table("events").select(*EVENT_COLUMNS).withColumn("date", F.to_date("ts"))
+
     def days(self, first: int, last: int, plus: float = 0) -> DataFrame:
-        """Events of January 2024 from the first to the last day, values raised by ``plus``."""
-        events = self.table("events").select(*EVENT_COLUMNS).withColumn("date", F.to_date("ts"))
-        events = events.where(F.col("date").between(F.lit(f"2024-01-{first:02}").cast("date"), F.lit(f"2024-01-{last:02}").cast("date")))
+        """Events of January 2024 from the first to the last day, values raised by ``plus``: a revision."""
+        span = [F.lit(f"2024-01-{n:02}").cast("date") for n in (first, last)]
+        events = self.events().where(F.col("date").between(*span))
         return events.withColumn("value", F.col("value") + F.lit(float(plus))) if plus else events
 
-    def whole(self) -> Lab:
-        """All events of the table, by date, and then days 8 to 12 of January 2024 revised."""
-        self.put(self.table("events").select(*EVENT_COLUMNS).withColumn("date", F.to_date("ts")), 1)
-        self.put(self.days(8, 12, 1000), 2)
-        return self
-
     def put(self, frame: DataFrame | None, batch: int, delete: list[str] | None = None, dataset: Dataset | None = None, keys: list[str] | None = None):
         return publish(self.spark, dataset or self.market, frame, metadata={"batch": batch}, quiescent=True, partition_by=keys or ["date"], delete=delete)
 
     def base(self) -> Lab:
-        self.put(self.days(1, 10), 1)
+        """All events, by date."""
+        self.put(self.events(), 1)
         return self
 
     def revised(self) -> Lab:
-        """Days 8 to 10 replaced, 11 and 12 added."""
+        """All events, and then days 8 to 12 of January 2024 replaced."""
         self.base().put(self.days(8, 12, 1000), 2)
         return self
 

@@ -1,14 +1,16 @@
 """``format("tidemark")``: a Spark data source over a dataset.
 
-Reading plans one task for each file and prunes files by equality on partition columns.
-Writing stages one file for each task
-and publishes all of them in one commit on the driver; a failed job publishes nothing.
-``spark.read.parquet`` remains the faster reader; this one refuses a dataset with an
-operation under way at planning time.
+Reading plans one task for each file; the option ``only`` prunes files by the values of
+partition columns. Spark's own pushdown to Python sources isn't used: Spark keeps what a
+filtered scan has planned and would reuse it for a later scan of the same frame without
+the filter. Writing stages one file for each task and publishes all of them in one commit
+on the driver; a failed job publishes nothing. ``spark.read.parquet`` remains the faster
+reader; this one refuses a dataset with an operation under way at planning time.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +20,7 @@ from urllib.parse import unquote
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..control import disk
@@ -26,9 +28,14 @@ from ..control.records import CONTROL, new_id
 from ..dataset import Dataset
 
 
-def _values(path: str) -> dict[str, str]:
-    """Partition columns of a path, as text."""
-    return {k: unquote(v) for k, _, v in (p.partition("=") for p in path.split("/")[:-1]) if v or _}
+#: What Hive and Spark write for a null in a path.
+NULL = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _values(path: str) -> dict[str, str | None]:
+    """Partition columns of a path, as text or null."""
+    pairs = (p.partition("=") for p in path.split("/")[:-1])
+    return {k: None if v == NULL else unquote(v) for k, sign, v in pairs if sign}
 
 
 def _files(root: Path) -> list[str]:
@@ -40,7 +47,9 @@ def _files(root: Path) -> list[str]:
 
 
 class TidemarkSource(DataSource):
-    """Options: ``path``, the dataset's folder, and ``name``; for writing ``file`` and ``metadata`` (JSON)."""
+    """Options: ``path``, the dataset's folder, and ``name``; for reading ``only``, a JSON object of
+    partition columns and the value (or null) that files must have; for writing ``file`` and
+    ``metadata`` (JSON)."""
 
     @classmethod
     def name(cls) -> str:
@@ -56,15 +65,17 @@ class TidemarkSource(DataSource):
         files = _files(root)
         if not files:
             raise FileNotFoundError("no files; give a schema")
-        inner = from_arrow_schema(pq.read_schema(root / files[0]))
-        return StructType([*inner.fields, *(StructField(k, StringType()) for k in _values(files[0]))])
+        keys = list(_values(files[0]))
+        if any(list(_values(f)) != keys for f in files):
+            raise ValueError("files with other partition columns; give a schema")
+        # Columns that came later stand in the last file; a file without one gives nulls.
+        inner = {f.name: f for place in (files[-1], files[0]) for f in from_arrow_schema(pq.read_schema(root / place)).fields}
+        return StructType([*inner.values(), *(StructField(k, StringType()) for k in keys)])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self._dataset(), schema)
+        return _Reader(self._dataset(), schema, json.loads(self.options.get("only", "{}")))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        import json
-
         dataset = self._dataset()
         return _Writer(str(dataset.root), dataset.name, new_id(), self.options.get("file", "data"), json.loads(self.options.get("metadata", "{}")), self.options.get("quiescent") == "true")
 
@@ -72,33 +83,34 @@ class TidemarkSource(DataSource):
 @dataclass
 class _File(InputPartition):
     path: str
-    values: dict[str, str]
+    values: dict[str, str | None]
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, dataset: Dataset, schema: StructType):
-        self.root, self.name, self.schema = str(dataset.root), dataset.name, schema
-        self.wanted: dict[str, str] = {}
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        files = _files(Path(self.root))
-        keys = _values(files[0]) if files else {}
-        for f in filters:
-            if isinstance(f, EqualTo) and len(f.attribute) == 1 and f.attribute[0] in keys:
-                self.wanted[f.attribute[0]] = str(f.value)
-            else:
-                yield f
+    def __init__(self, dataset: Dataset, schema: StructType, only: dict[str, str | None]):
+        self.root, self.name, self.schema, self.only = str(dataset.root), dataset.name, schema, only
 
     def partitions(self) -> list[InputPartition]:
         Dataset(self.root, self.name).current()
         files = [_File(p, _values(p)) for p in _files(Path(self.root))]
-        return [f for f in files if all(f.values.get(k) == v for k, v in self.wanted.items())]
+        return [f for f in files if all(k in f.values and f.values[k] == v for k, v in self.only.items())]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        inner = [f.name for f in self.schema.fields if f.name not in partition.values]
-        for batch in pq.ParquetFile(Path(self.root) / partition.path).iter_batches(columns=inner):
-            columns = [pa.array([partition.values[f.name]] * batch.num_rows, pa.string()) if f.name in partition.values else batch.column(batch.schema.get_field_index(f.name)) for f in self.schema.fields]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in self.schema.fields])
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        file = pq.ParquetFile(Path(self.root) / partition.path)
+        there = set(file.schema_arrow.names)
+        names, kinds = [f.name for f in self.schema.fields], to_arrow_schema(self.schema)
+        inner = [n for n in names if n not in partition.values and n in there]
+
+        def value(batch: pa.RecordBatch, name: str) -> pa.Array:
+            if name in partition.values:
+                return pa.array([partition.values[name]] * batch.num_rows, pa.string())
+            at = batch.schema.get_field_index(name)
+            return pa.nulls(batch.num_rows, kinds.field(name).type) if at < 0 else batch.column(at)
+
+        for batch in file.iter_batches(columns=inner):
+            yield pa.RecordBatch.from_arrays([value(batch, n) for n in names], names=names)
 
 
 @dataclass
@@ -145,6 +157,5 @@ class _Writer(DataSourceArrowWriter):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known to a session, with the filter pushdown that its reader needs."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Make the format known to a session."""
     spark.dataSource.register(TidemarkSource)
