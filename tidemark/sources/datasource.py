@@ -95,7 +95,9 @@ class _Reader(DataSourceReader):
         files = [_File(p, _values(p)) for p in _files(Path(self.root))]
         return [f for f in files if all(k in f.values and f.values[k] == v for k, v in self.only.items())]
 
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's way to read no files
+            return
         from pyspark.sql.pandas.types import to_arrow_schema
 
         file = pq.ParquetFile(Path(self.root) / partition.path)
