@@ -142,6 +142,16 @@ def test_model_learns_order():
     assert model.log_probs(text, np.array([0, len(text)]))[0] > alone + 100
 
 
+def test_packed_and_unpacked():
+    rows = [[1, 2, 3], [], [50_000], [7] * 100, []]
+    till = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    column = lm.packed(np.concatenate(rows).astype(np.int32), till)
+    for part, want in ((column, rows), (column.slice(1, 3), rows[1:4]), (column.slice(4), rows[4:]), (column.slice(0, 0), [])):
+        ids, ends = lm.unpacked(part)
+        assert [ids[i:j].tolist() for i, j in zip(ends[:-1], ends[1:], strict=True)] == want
+        assert len(ends) == len(want) + 1
+
+
 def test_classes_rest_on_all_training_documents(spark):
     """Subword ids that only documents outside the first sample have are counted, too."""
     rows = corpus()

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tidemark.llm import mixing
@@ -10,6 +12,33 @@ def test_targets_stop_at_twice_the_size():
     assert got["b"] == pytest.approx(2 * got["c"]) or got["c"] == 200
 
 
+def rounds(sizes, weights, share=1.5, most=2.0):
+    """Targets by sharing out again and again, as the contract says it."""
+    caps, free = {s: most * n for s, n in sizes.items()}, set(sizes)
+    while free:
+        level = (share * sum(sizes.values()) - sum(caps[s] for s in sizes if s not in free)) / sum(weights[s] for s in free)
+        above = {s for s in free if weights[s] * level > caps[s]}
+        if not above:
+            break
+        free -= above
+    return {s: weights[s] * level if s in free else caps[s] for s in sizes}
+
+
+def test_targets_equal_rounds():
+    r = random.Random(1)
+    for n in (1, 2, 5, 40):
+        for _ in range(50):
+            sizes = {f"s{i}": r.choice([0, 1, 7, r.randrange(10**r.randint(1, 9))]) for i in range(n)}
+            weights = mixing.cycle_weights(list(sizes))
+            assert {s.source: s.target for s in mixing.targets(sizes, weights)} == pytest.approx(rounds(sizes, weights))
+
+
+def test_targets_of_very_many_sources():
+    sizes = {f"s{i}": i % 977 for i in range(200_000)}
+    got = mixing.targets(sizes, mixing.cycle_weights(list(sizes)))
+    assert sum(s.target for s in got) == pytest.approx(1.5 * sum(sizes.values()))
+
+
 def test_weights_by_code_point_null_last():
     assert mixing.cycle_weights([None, "b", "é", "B", "a"]) == {"B": 5, "a": 2, "b": 1, "é": 5, None: 2}
 

@@ -17,7 +17,7 @@ import numpy as np
 DIM, WINDOW, STEP, CLASSES = 16, 32, 24, 48
 
 #: Windows that are scored at a time.
-WINDOWS_AT_ONCE = 512
+WINDOWS_AT_ONCE = 128
 
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, dtype=np.float32), 1)
 

@@ -102,8 +102,10 @@ def packed(values: np.ndarray, till: np.ndarray) -> pa.Array:
 
 def unpacked(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of a binary column's rows one after another, and where each row's begin and end."""
-    raw = values.to_pylist()
-    return np.frombuffer(b"".join(raw), dtype="<i4").astype(np.int64), np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int64)
+    ends = np.frombuffer(values.buffers()[1], dtype="<i4")[values.offset : values.offset + len(values) + 1].astype(np.int64) // 4 if len(values) else np.zeros(1, np.int64)
+    raw = values.buffers()[2] if len(values) else None
+    ids = np.frombuffer(raw, dtype="<i4", count=ends[-1])[ends[0] :].astype(np.int64) if raw is not None and ends[-1] else np.zeros(0, np.int64)
+    return ids, ends - ends[0]
 
 
 def encoded(counts: DataFrame, tokenizer: str) -> DataFrame:
@@ -302,6 +304,7 @@ def scored(docs: DataFrame, training: Column, tokenizer: str | None = None, samp
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of each document; every seventh, by crc32 of its id, is held out of all learning."""
     docs = table(spark, sf_dir, "documents")
     held_out = remainder(F.col("doc_id"), 7) == 2
     return scored(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -42,14 +42,15 @@ def targets(sizes: dict, weights: dict, share: float = 1.5, most: float = 2.0) -
     among the others by weight, until none is above. An empty source gets 0.
     """
     caps = {s: most * n for s, n in sizes.items()}
-    open_, total = set(sizes), share * sum(sizes.values())
-    while open_:
-        level = (total - sum(caps[s] for s in sizes if s not in open_)) / sum(weights[s] for s in open_)
-        above = {s for s in open_ if weights[s] * level > caps[s]}
-        if not above:
+    total, capped, rest, level = share * sum(sizes.values()), 0.0, sum(weights[s] for s in sizes), 0.0
+    full = set()
+    for s in sorted(sizes, key=lambda s: caps[s] / weights[s]):  # those that fill up first come first
+        level = (total - capped) / rest
+        if weights[s] * level <= caps[s]:
             break
-        open_ -= above
-    return [Share(s, n, weights[s] * level if s in open_ else caps[s]) for s, n in sizes.items()]
+        full.add(s)
+        capped, rest = capped + caps[s], rest - weights[s]
+    return [Share(s, n, caps[s] if s in full else weights[s] * level) for s, n in sizes.items()]
 
 
 def row_hash(key: Column) -> Column:
@@ -142,7 +143,12 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...]
 
 
 def mixed(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it takes it, with all their columns."""
+    """The rows of docs that the mix takes, each as often as it takes it, with all their columns.
+
+    Rows of one doc_id are taken alike, also repeated ones; null and empty texts have size
+    0 and weigh nothing, null sources are a source of their own, an empty table stays empty.
+    Columns of any name may stand beside.
+    """
     with passing(docs.sparkSession):
         plan = _plan(_rows(docs, size), weights, share, most)
     copies = plan["base"] + (row_hash(docs["doc_id"]) < plan["cut"]).cast("int")
@@ -152,6 +158,7 @@ def mixed(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document; null texts have size 0, null sources are the last source."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

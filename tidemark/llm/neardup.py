@@ -292,7 +292,12 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def kept(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """One row of docs for each class: the one of smallest doc_id, with all its columns."""
+    """One row of docs for each class: the one of smallest doc_id, with all its columns.
+
+    Of rows of that doc_id the one of smallest text hash stays, and one of repeats. Texts
+    without words, null ones among them, are classes of their own; an empty table stays
+    empty. Columns of any name may stand beside.
+    """
     with passing(docs.sparkSession) as keep:
         keep.append(written(classes(docs, least), "near-classes"))
     found = keep[0]
@@ -310,4 +315,5 @@ def kept(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of each document, by its smallest doc_id; texts without words are alone."""
     return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")

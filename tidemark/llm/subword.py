@@ -217,6 +217,7 @@ def encode_pieces(docs: DataFrame, model_file: str | None = None) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each document's ids and decoded text; a null text has no ids."""
     out = encode_pieces(table(spark, sf_dir, "documents"))
     joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -217,6 +217,7 @@ def id_checksums(rows: DataFrame) -> DataFrame:
 
 
 def op5_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, count and checksum of each document's ids, from a token file written and read back."""
     path = scratch_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, default_tokenizer())
     return id_checksums(read_tokens(spark, path))
