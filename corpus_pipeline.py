@@ -13,29 +13,55 @@ from tidemark.llm.common import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents of a host share go, and documents that fail the rules or have little else."""
+    """Lines that many documents of a host share go, and documents that fail the rules or have little else.
+
+    Null and empty texts have no words and go. Repeated rows stay, null sources are a
+    host of their own, an empty table stays empty, other columns stay as they are.
+    """
     return quality.kept(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of smallest doc_id stays."""
+    """Of each class of near duplicates the document of smallest doc_id stays.
+
+    Of repeated rows one stays, of texts of one doc_id in one class that of smallest
+    hash. Texts without words are classes of their own; an empty table stays empty.
+    """
     return neardup.kept(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind."""
+    """Personal data is replaced by its kind; n_chars follows the text.
+
+    Null texts and those without personal data stay as they are, and so do repeated rows
+    and an empty table.
+    """
     return pii.redacted(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are left out, taken or taken twice, so that sources meet their targets."""
+    """Documents are left out, taken or taken twice, so that sources meet their targets.
+
+    Rows of one doc_id are taken alike. Null texts weigh nothing, null sources are a
+    source of their own, an empty table stays empty.
+    """
     return mixing.mixed(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and whether they decode to the text, for each document taken."""
+    """doc_id, n_tokens, ids, and size and digest of what they decode to, for each row taken.
+
+    A null or empty text has no ids; repeated rows give repeated rows, an empty table none.
+    """
     out = subword.encode_pieces(docs.select("doc_id", "text"))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.length("decoded").cast("long").alias("decoded_chars"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    decoded = F.col("decoded")
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        "ids",
+        F.length(decoded).cast("long").alias("decoded_chars"),
+        F.sha2(decoded.cast("binary"), 256).alias("decoded_sha256"),
+    )
 
 
 STAGES = [
