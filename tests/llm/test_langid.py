@@ -80,11 +80,17 @@ def test_fit_and_predict_equal_brute_force(spark, languages):
     own = {f"l{i:02}": r.sample(alphabet, 9) for i in range(languages)}
     rows = [(prose(r, own[k], r.randint(3, 40)), k) for k in own for _ in range(8)]
     asked = [prose(r, own[r.choice(sorted(own))], r.randint(1, 60)) for _ in range(60)] + [prose(r, alphabet, 20) for _ in range(5)]
-    model = langid.fit(spark.createDataFrame([(i, t, k, "s") for i, (t, k) in enumerate(rows)], "doc_id long, text string, lang string, source string"))
+    model = langid.fit(spark.createDataFrame(
+        [(i, t, k, "s") for i, (t, k) in enumerate(rows)],
+        "doc_id long, text string, lang string, source string",
+    ))
     sets, want = brute(rows, asked)
     assert model.languages == tuple(sorted(own))
     assert (model.false < 1e-6).all()
-    got = langid.predicted(spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    got = langid.predicted(
+        spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "doc_id long, text string"),
+        model,
+    ).orderBy("doc_id").collect()
     for x, (best, score) in zip(got, want, strict=True):
         assert x.lang_pred in best and x.score == pytest.approx(score, abs=2e-3)
 
@@ -103,7 +109,10 @@ def test_edges(spark):
     rows = [(i, t, k, "s") for i, (t, k) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 5)]
     model = langid.fit(spark.createDataFrame([*rows, (50, None, "en", "s"), (51, "x", None, "s")], schema))
     assert model.languages == ("de", "en")
-    asked = spark.createDataFrame([(None, "the cat", 1.0), (1, None, 1.0), (1, "", 1.0), (2, "12 !?", 1.0), (3, "und der hund " * 50_000, 1.0)], "doc_id long, text string, score double")
+    asked = spark.createDataFrame(
+        [(None, "the cat", 1.0), (1, None, 1.0), (1, "", 1.0), (2, "12 !?", 1.0), (3, "und der hund " * 50_000, 1.0)],
+        "doc_id long, text string, score double",
+    )
     got = [(r.lang_pred, r.score) for r in langid.predicted(asked, model).collect()]
     assert [p for p, _ in got] == ["en", "und", "und", "und", "de"] and all(0 <= s <= 1 for _, s in got)
     none = langid.fit(spark.createDataFrame([], schema))

@@ -22,14 +22,26 @@ def tokens(text):
 def base(rows, learn):
     c = Counter(t for r in rows if learn(r) for t in tokens(r[1]))
     n, v = sum(c.values()), len(c)
-    return {r[0]: (len(tokens(r[1])), sum(c[t] > 0 for t in tokens(r[1])), n, sum(math.log10((c[t] + 1) / (n + v + 1)) for t in tokens(r[1]))) for r in rows}
+    return {r[0]: (
+        len(tokens(r[1])),
+        sum(c[t] > 0 for t in tokens(r[1])),
+        n,
+        sum(math.log10((c[t] + 1) / (n + v + 1)) for t in tokens(r[1])),
+    ) for r in rows}
 
 
 def corpus():
     r = random.Random(3)
     vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 6))) for _ in range(300)]
     rows = [(i, " ".join(r.choice(vocabulary[: 20 + 3 * i]) for _ in range(r.randint(1, 200)))) for i in range(60)]
-    return rows + [(100, None), (101, ""), (102, "ÉCLAIR éclair THE The the\tx\x0by"), (103, "new words only here " * 4), (104, "z" * 5000), (104, "z" * 5000)]
+    return rows + [
+        (100, None),
+        (101, ""),
+        (102, "ÉCLAIR éclair THE The the\tx\x0by"),
+        (103, "new words only here " * 4),
+        (104, "z" * 5000),
+        (104, "z" * 5000),
+    ]
 
 
 @pytest.mark.parametrize("most", [0, 40, 1 << 20])

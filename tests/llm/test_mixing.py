@@ -56,7 +56,11 @@ def test_mix_comes_near_and_nests(spark):
 
 
 def test_thresholds_equal_brute_force(spark):
-    rows = spark.range(4000).selectExpr("'k' as key", "cast(id as string) as d", "cast(id % 13 as long) as size").withColumn("hash", mixing.row_hash(mixing.F.col("d"))).select("key", "hash", "size")
+    rows = spark.range(4000).selectExpr(
+        "'k' as key",
+        "cast(id as string) as d",
+        "cast(id % 13 as long) as size",
+    ).withColumn("hash", mixing.row_hash(mixing.F.col("d"))).select("key", "hash", "size")
     order = sorted((r.hash, r["size"]) for r in rows.collect())
     for budget in (1.0, 777.0, 12_345.5, 23_000.0):
         cut = mixing.thresholds(rows, {"k": budget}, {"k": sum(s for _, s in order)})["k"]
@@ -73,7 +77,10 @@ def test_edges(spark):
 
 
 def test_mixed_repeats_rows(spark):
-    docs = spark.createDataFrame([(i, "w " * (1 + i % 9), "a" if i % 4 else None, i) for i in range(200)] + [(7, None, None, 7)], "doc_id long, text string, source string, base long")
+    docs = spark.createDataFrame(
+        [(i, "w " * (1 + i % 9), "a" if i % 4 else None, i) for i in range(200)] + [(7, None, None, 7)],
+        "doc_id long, text string, source string, base long",
+    )
     out = mixing.mixed(docs)
     assert out.columns == docs.columns
     want = {}

@@ -88,7 +88,16 @@ def test_early_termination_changes_nothing():
 
 
 def test_components(spark):
-    links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 6), (6, 5), (4, 4), (3, 1)] + [(100, 100 + i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(64)]
+    links = [
+        (1, 2),
+        (2, 3),
+        (9, 8),
+        (8, 7),
+        (7, 6),
+        (6, 5),
+        (4, 4),
+        (3, 1),
+    ] + [(100, 100 + i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(64)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = {1: 1, 2: 1, 3: 1, 5: 5, 6: 5, 7: 5, 8: 5, 9: 5} | {100 + i: 100 for i in range(300)} | {1000 + i: 1000 for i in range(65)}
     assert got == want
@@ -125,7 +134,17 @@ def test_classes_equal_brute_force(spark):
                 copy[r.randrange(len(copy))] = "new" + str(r.randrange(10**6))
             rows.append((k, " ".join(copy)))
             k += 1
-    rows += [(500, None), (501, ""), (502, " \n"), (503, "two words"), (504, "two  words"), (505, "two"), (506, "la " * 500), (507, "la " * 700), (3, rows[3][1])]
+    rows += [
+        (500, None),
+        (501, ""),
+        (502, " \n"),
+        (503, "two words"),
+        (504, "two  words"),
+        (505, "two"),
+        (506, "la " * 500),
+        (507, "la " * 700),
+        (3, rows[3][1]),
+    ]
     r.shuffle(rows)
     df = spark.createDataFrame([(*x, "n") for x in rows], "doc_id long, text string, node string")
     got = neardup.classes(df).select("doc_id", "class_id").collect()
@@ -153,7 +172,13 @@ def test_empty(spark):
 
 def block(rows):
     """A block of dicts as Spark hands it over."""
-    kind = pa.struct([("node", pa.binary()), ("root", pa.binary()), ("bands", pa.list_(pa.int64())), ("shingles", pa.binary()), ("weights", pa.binary())])
+    kind = pa.struct([
+        ("node", pa.binary()),
+        ("root", pa.binary()),
+        ("bands", pa.list_(pa.int64())),
+        ("shingles", pa.binary()),
+        ("weights", pa.binary()),
+    ])
     return neardup.Block.of(pa.array(rows, kind))
 
 
@@ -174,7 +199,13 @@ def test_blocks_equal_all_pairs():
     d, s, w = pm.shingles(h, e)
     at = np.searchsorted(d, np.arange(len(texts) + 1))
     load = lambda x: x.astype("<u4").tobytes() if (x > 1).any() else b""
-    members = [{"node": bytes([i]), "root": bytes([i]), "bands": [7, 8], "shingles": s[at[i] : at[i + 1]].tobytes(), "weights": load(w[at[i] : at[i + 1]])} for i in range(len(texts))]
+    members = [{
+        "node": bytes([i]),
+        "root": bytes([i]),
+        "bands": [7, 8],
+        "shingles": s[at[i] : at[i + 1]].tobytes(),
+        "weights": load(w[at[i] : at[i + 1]]),
+    } for i in range(len(texts))]
     for one, other, own in ((members, members, True), (members[:15], members[15:], False)):
         got = links(0, one, other, own)
         group = {}
@@ -207,7 +238,13 @@ def members(sets):
     for i, s in enumerate(sets):
         keys = np.array(sorted(s), "<u4")
         weight = np.array([s[k] for k in keys.tolist()], "<u4")
-        out.append({"node": bytes([i]), "root": bytes([i]), "bands": [7], "shingles": keys.tobytes(), "weights": weight.tobytes() if (weight > 1).any() else b""})
+        out.append({
+            "node": bytes([i]),
+            "root": bytes([i]),
+            "bands": [7],
+            "shingles": keys.tobytes(),
+            "weights": weight.tobytes() if (weight > 1).any() else b"",
+        })
     return out
 
 

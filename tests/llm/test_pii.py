@@ -22,7 +22,12 @@ def brute(text):
     for kind, pattern in PATTERNS.items():
         for m in re.finditer(pattern, text):
             digits = re.sub("[^0-9]", "", m[0])
-            good = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else 0, "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+            good = {
+                "email": True,
+                "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else 0,
+                "card": 13 <= len(digits) <= 19 and luhn(digits),
+                "phone": 9 <= len(digits) <= 15,
+            }[kind]
             if good:
                 out.append((kind, m.start(), m.end()))
     return out
@@ -53,14 +58,26 @@ def test_base_equals_brute_force(spark):
         assert [tuple(s) for s in r.base] == brute(TEXTS[r.doc_id] or ""), TEXTS[r.doc_id][:80]
 
 
-@pytest.mark.parametrize("text, want", [("write to jane.doe [at] example [dot] com now", "email"), ("call 212-555-0100 today", "phone"), ("seen at 10[.]0[.]0[.]7 again", "ip"), ("ask 8 dot 8 dot 8 dot 8 for names", "ip"), ("credit card 4111.1111.1111.1111 ok", "card")])
+@pytest.mark.parametrize("text, want", [
+    ("write to jane.doe [at] example [dot] com now", "email"),
+    ("call 212-555-0100 today", "phone"),
+    ("seen at 10[.]0[.]0[.]7 again", "ip"),
+    ("ask 8 dot 8 dot 8 dot 8 for names", "ip"),
+    ("credit card 4111.1111.1111.1111 ok", "card"),
+])
 def test_trees_add_spans(spark, text, want):
     r = pii.detected(spark.createDataFrame([(1, text)], "doc_id long, text string"), ["doc_id"]).first()
     assert [s.kind for s in r.added] == [want] and not r.base
 
 
 def test_clean_texts_stay(spark):
-    texts = ["in 2019-05-06 we met at noon. Version 2.0 of 1234567", "he is at home.it seems", "total 1234567890123456 units", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "pages 100-200, 3.14159265 and 1/2/2003"]
+    texts = [
+        "in 2019-05-06 we met at noon. Version 2.0 of 1234567",
+        "he is at home.it seems",
+        "total 1234567890123456 units",
+        'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"',
+        "pages 100-200, 3.14159265 and 1/2/2003",
+    ]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert all(not r.added and not r.base for r in pii.detected(df, ["doc_id"]).collect())
     assert [r.text for r in pii.redacted(df).orderBy("doc_id").collect()] == texts
@@ -68,7 +85,10 @@ def test_clean_texts_stay(spark):
 
 def test_redacted(spark):
     text = "é x@y.org and +1 (743) 555-3824, card 4111 1111 1111 1111."
-    df = spark.createDataFrame([(1, text, 5, "s"), (1, text, 5, "s"), (2, None, None, None), (3, "clean", 5, None)], "doc_id long, text string, n_chars long, base string")
+    df = spark.createDataFrame(
+        [(1, text, 5, "s"), (1, text, 5, "s"), (2, None, None, None), (3, "clean", 5, None)],
+        "doc_id long, text string, n_chars long, base string",
+    )
     got = pii.redacted(df).orderBy("doc_id").collect()
     want = "é [EMAIL] and [PHONE], card [CARD]."
     assert [r.text for r in got] == [want, want, None, "clean"]
@@ -88,10 +108,18 @@ def greedy(found):
 def test_overlaps_are_resolved_to_the_end(spark):
     """Chains, nests and one span over many, as by a loop over all."""
     rng = np.random.default_rng(5)
-    cases = [[("email", 0, 100, 0.95), *[("phone", 10 * i, 10 * i + 9, 0.9) for i in range(7)]], [("email", 0, 100, 0.85), *[("phone", 10 * i, 10 * i + 9, 0.9) for i in range(7)], ("card", 66, 120, pii.BASE_P)]]
+    cases = [
+        [("email", 0, 100, 0.95), *[("phone", 10 * i, 10 * i + 9, 0.9) for i in range(7)]],
+        [("email", 0, 100, 0.85), *[("phone", 10 * i, 10 * i + 9, 0.9) for i in range(7)], ("card", 66, 120, pii.BASE_P)],
+    ]
     for _ in range(60):
         starts = rng.integers(0, 120, 25)
-        cases.append([(pii.KINDS[int(rng.integers(4))], int(a), int(a + rng.integers(1, 30)), float(rng.choice([0.7, 0.8, 0.9, pii.BASE_P], p=[0.3, 0.3, 0.3, 0.1]))) for a in starts])
+        cases.append([(
+            pii.KINDS[int(rng.integers(4))],
+            int(a),
+            int(a + rng.integers(1, 30)),
+            float(rng.choice([0.7, 0.8, 0.9, pii.BASE_P], p=[0.3, 0.3, 0.3, 0.1])),
+        ) for a in starts])
     rows = [(i, *s) for i, case in enumerate(cases) for s in case]
     got = {}
     for r in pii._apart(spark.createDataFrame(rows, "row long, kind string, start int, end int, p double")).collect():
@@ -104,7 +132,13 @@ def test_rebuilt_equals_slices(spark):
     """Spans at, over and around the borders of pieces."""
     rng = np.random.default_rng(6)
     text = "".join(chr(int(c)) for c in rng.integers(0x61, 0x1F600, 3 * pii.PIECE + 7) if not 0xD800 <= c < 0xE000)
-    cases = [[(0, 1)], [(0, len(text))], [(pii.PIECE, 2 * pii.PIECE)], [(pii.PIECE - 1, pii.PIECE + 1), (3 * pii.PIECE - 2, len(text))], [(5, 9), (10, 12), (len(text) - 1, len(text))]]
+    cases = [
+        [(0, 1)],
+        [(0, len(text))],
+        [(pii.PIECE, 2 * pii.PIECE)],
+        [(pii.PIECE - 1, pii.PIECE + 1), (3 * pii.PIECE - 2, len(text))],
+        [(5, 9), (10, 12), (len(text) - 1, len(text))],
+    ]
     rows = [(text, [{"start": a, "end": b, "kind": "ip"} for a, b in case]) for case in cases]
     df = spark.createDataFrame(rows, "text string, found array<struct<start:int,end:int,kind:string>>")
     for r, case in zip(df.select(pii._rebuilt(pii.F.col("text"), pii.F.col("found")).alias("x")).collect(), cases, strict=True):
@@ -125,8 +159,19 @@ def test_redacted_very_long_text_and_any_names(spark):
 
 
 def test_merged_spans(spark):
-    rows = [(1, 0, 5, 9, "ip"), (1, 0, 9, 12, "card"), (1, 0, 6, 7, "email"), (1, 0, 20, 30, "card"), (1, 0, 20, 31, "ip"), (2, 0, 1, 2, "phone"), (2, 0, 1, 2, "phone")]
-    got = {r.id: [tuple(s) for s in r.spans] for r in pii.merged(spark.createDataFrame(rows, "id long, hash long, start int, end int, kind string")).collect()}
+    rows = [
+        (1, 0, 5, 9, "ip"),
+        (1, 0, 9, 12, "card"),
+        (1, 0, 6, 7, "email"),
+        (1, 0, 20, 30, "card"),
+        (1, 0, 20, 31, "ip"),
+        (2, 0, 1, 2, "phone"),
+        (2, 0, 1, 2, "phone"),
+    ]
+    got = {r.id: [tuple(s) for s in r.spans] for r in pii.merged(spark.createDataFrame(
+        rows,
+        "id long, hash long, start int, end int, kind string",
+    )).collect()}
     assert got == {1: [(5, 12, "ip"), (20, 31, "card")], 2: [(1, 2, "phone")]}
 
 

@@ -20,7 +20,19 @@ def brute(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeat), failed
 
 
-TEXTS = [None, "", " \n\t ", "one", "a b c d e f g h " * 5, "x y z " * 4 + "1 2 3 4 5 6 7 8 9 " * 3, "l1 a\nl1 a\n \n\nl1 a \nb\r\nb", "é 漢字 🙂 # <b> $$ %", "w" * 100_000, " ".join(f"w{i % 7}" for i in range(20_000)), " ".join(f"w{i}" for i in range(30))]
+TEXTS = [
+    None,
+    "",
+    " \n\t ",
+    "one",
+    "a b c d e f g h " * 5,
+    "x y z " * 4 + "1 2 3 4 5 6 7 8 9 " * 3,
+    "l1 a\nl1 a\n \n\nl1 a \nb\r\nb",
+    "é 漢字 🙂 # <b> $$ %",
+    "w" * 100_000,
+    " ".join(f"w{i % 7}" for i in range(20_000)),
+    " ".join(f"w{i}" for i in range(30)),
+]
 
 
 def test_equals_brute_force(spark):

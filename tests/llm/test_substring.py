@@ -83,7 +83,17 @@ def key_hash(text):
 def test_passages(spark):
     shared = prose(10, 60)
     rows = [(i, prose(100 + i, 80) + " " + shared + " " + prose(200 + i, 80)) for i in range(6)]
-    rows += [(50, prose(300, 200)), (51, None), (52, ""), (60, rows[0][1]), (61, "short " * 3), (62, "short " * 3), (70, prose(400, 60) * 3), (80, prose(500, 90)), (80, rows[2][1])]
+    rows += [
+        (50, prose(300, 200)),
+        (51, None),
+        (52, ""),
+        (60, rows[0][1]),
+        (61, "short " * 3),
+        (62, "short " * 3),
+        (70, prose(400, 60) * 3),
+        (80, prose(500, 90)),
+        (80, rows[2][1]),
+    ]
     from pyspark.sql import functions as F
 
     HASHES.update({r.t: r.h for r in spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()})

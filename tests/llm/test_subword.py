@@ -8,7 +8,28 @@ pytest.importorskip("public_tokenizers")
 
 from tidemark.llm import subword  # noqa: E402
 
-CASES = ["", " ", "  ", "a", "Hello world", " lead", "trail ", "a  b   c", " " * 40 + "x" + " " * 33, "line\nbreak\n\n end", "\ttab\r\n", "▁mark ▁▁x", "漢字かな🙂 emoji", "<s> </s> <0x41>", "\x00nul", "éàü ß", "x" * 3000, "aaaaaaaaab" * 50, "the the  thethe", "1234567890 " * 20]
+CASES = [
+    "",
+    " ",
+    "  ",
+    "a",
+    "Hello world",
+    " lead",
+    "trail ",
+    "a  b   c",
+    " " * 40 + "x" + " " * 33,
+    "line\nbreak\n\n end",
+    "\ttab\r\n",
+    "▁mark ▁▁x",
+    "漢字かな🙂 emoji",
+    "<s> </s> <0x41>",
+    "\x00nul",
+    "éàü ß",
+    "x" * 3000,
+    "aaaaaaaaab" * 50,
+    "the the  thethe",
+    "1234567890 " * 20,
+]
 
 
 @pytest.fixture(scope="module")

@@ -12,7 +12,19 @@ pytest.importorskip("public_tokenizers")
 
 from tidemark.llm import tokenfile  # noqa: E402
 
-CASES = ["", " ", "a  b", "Hello, it's a test.\n\nNew  line \n x", " lead", "trail ", "tab\t x \t y", "<|endoftext|> a <|endoftext|>b c<|endoftext|>", "a\x1c b \x85 c　 d", "漢字 🙂 é", "x" * 5000]
+CASES = [
+    "",
+    " ",
+    "a  b",
+    "Hello, it's a test.\n\nNew  line \n x",
+    " lead",
+    "trail ",
+    "tab\t x \t y",
+    "<|endoftext|> a <|endoftext|>b c<|endoftext|>",
+    "a\x1c b \x85 c　 d",
+    "漢字 🙂 é",
+    "x" * 5000,
+]
 
 
 def library(text):
@@ -38,7 +50,16 @@ def test_equals_library_on_any_text(text):
 
 
 def test_file(spark, tmp_path):
-    rows = [(9, "last one", 1), (2, None, 1), (2, "b", 1), (2, "b", 1), (-5, "first  text", 1), (7, "", 1), (8, "long " * 30_000, 1), (None, "no id", 1)]
+    rows = [
+        (9, "last one", 1),
+        (2, None, 1),
+        (2, "b", 1),
+        (2, "b", 1),
+        (-5, "first  text", 1),
+        (7, "", 1),
+        (8, "long " * 30_000, 1),
+        (None, "no id", 1),
+    ]
     path = str(tmp_path / "t")
     tokenfile.write_tokens(spark.createDataFrame(rows, "doc_id long, text string, part int"), path)
     got = tokenfile.read_tokens(spark, path).orderBy("start").collect()

@@ -178,7 +178,14 @@ def gradients(w: Weights, ids: np.ndarray, kind: np.ndarray) -> tuple[float, lis
 def fresh(vocabulary: int, seed: int = 0) -> Weights:
     r = np.random.default_rng(seed)
     normal = lambda scale, *shape: (scale * r.standard_normal(shape)).astype(np.float32)
-    return Weights(normal(0.3, vocabulary, DIM), normal(0.1, WINDOW, DIM), normal(DIM**-0.5, DIM, 3 * DIM), normal(0.1, DIM, DIM), normal(0.1, DIM, CLASSES), np.zeros(CLASSES, np.float32))
+    return Weights(
+        normal(0.3, vocabulary, DIM),
+        normal(0.1, WINDOW, DIM),
+        normal(DIM**-0.5, DIM, 3 * DIM),
+        normal(0.1, DIM, DIM),
+        normal(0.1, DIM, CLASSES),
+        np.zeros(CLASSES, np.float32),
+    )
 
 
 class Trainer:
@@ -200,7 +207,15 @@ class Trainer:
             p[at] -= (rate * (first[i][at] / (1 - 0.9**step)) / (np.sqrt(second[i][at] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
 
-def fit(streams: list[np.ndarray], vocabulary: int, steps: int = 2000, batch: int = 128, rate: float = 0.02, seed: int = 0, counts: np.ndarray | None = None) -> Model:
+def fit(
+    streams: list[np.ndarray],
+    vocabulary: int,
+    steps: int = 2000,
+    batch: int = 128,
+    rate: float = 0.02,
+    seed: int = 0,
+    counts: np.ndarray | None = None,
+) -> Model:
     """Train on streams of ids below ``vocabulary``; the end is added as a further id.
 
     Classes, shares and the first bias are those of ``counts``, or else of the streams.

@@ -35,7 +35,17 @@ BLOCKS_AT_ONCE = 1 << 15
 INDEX_STEPS = np.array([-1, -1, -1, -1, 2, 4, 6, 8], dtype=np.int32)
 
 # Fixed values of the ADPCM format: the 89 step sizes.
-STEPS = np.array([7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767], dtype=np.int32)
+STEPS = np.array(
+    [
+        7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31,
+        34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143,
+        157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658,
+        724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066, 2272, 2499, 2749, 3024,
+        3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899,
+        15289, 16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767,
+    ],
+    dtype=np.int32,
+)
 
 
 def mulaw_table() -> np.ndarray:
@@ -170,7 +180,10 @@ def to_media(docs: DataFrame) -> DataFrame:
             raw = texts(batch)
             sizes = [len(t.encode()) for t in raw]
             media = [wav(p, codec_of(p)) for p in map(payload_of, raw)]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())],
+                names=["doc_id", "n_bytes", "media"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, media binary")
 
@@ -187,7 +200,13 @@ def resampled(media: DataFrame) -> DataFrame:
         for batch in slices(batches, "media"):
             found = _resampled(column(batch, "media").to_pylist())
             codecs, rates, payloads, pcm = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in keep), pa.array(codecs, pa.string()), pa.array(rates, pa.int32()), pa.array(payloads, pa.binary()), pa.array(pcm, pa.binary())], names=[*keep, "codec", "rate", "payload", "pcm"])
+            yield pa.RecordBatch.from_arrays([
+                *(column(batch, c) for c in keep),
+                pa.array(codecs, pa.string()),
+                pa.array(rates, pa.int32()),
+                pa.array(payloads, pa.binary()),
+                pa.array(pcm, pa.binary()),
+            ], names=[*keep, "codec", "rate", "payload", "pcm"])
 
     return media.mapInArrow(tidy(run), ", ".join([*kinds, "codec string", "rate int", "payload binary", "pcm binary"]))
 
@@ -249,7 +268,10 @@ def features(media: DataFrame) -> DataFrame:
             made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "n_bytes"), *made], names=names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(run), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(
+        tidy(run),
+        f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary"
+    )
 
 
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -180,7 +180,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 found.setdefault(lang, []).append(np.unique(grams(letters(text))))
             for lang, parts in found.items():
                 h, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "h", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(h), pa.string()), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))],
+                    names=["lang", "h", "n"],
+                )
 
     tops = picked.mapInArrow(tidy(run), "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
     sizes = local(rows.sparkSession, sorted(totals.items()), "lang string, docs long")
@@ -209,7 +212,10 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
         use = shared.value
         for batch in slices(batches):
             found = [use.predict(t) for t in texts(batch)]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array([p for p, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "doc_id"), pa.array([p for p, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())],
+                names=["doc_id", "lang_pred", "score"],
+            )
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, lang_pred string, score double")
 

@@ -97,7 +97,11 @@ def gathered(pool: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[n
 
 def packed(values: np.ndarray, till: np.ndarray) -> pa.Array:
     """A binary column of rows of ids as little-endian 32-bit integers."""
-    return pa.Array.from_buffers(pa.binary(), len(till) - 1, [None, pa.py_buffer((4 * till).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values, dtype="<i4"))])
+    return pa.Array.from_buffers(
+        pa.binary(),
+        len(till) - 1,
+        [None, pa.py_buffer((4 * till).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values, dtype="<i4"))],
+    )
 
 
 def unpacked(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +184,10 @@ def trained(model: attention.Model, rows: DataFrame) -> attention.Model:
             now.add(*unpacked(column(batch, "ids")))
         if now is not None:
             at, weight, values = now.done()
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weight.astype(np.float32)), *[pa.array((weight * v).astype(np.float32)) for v in values.T]], names=["at", "weight", *names])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at), pa.array(weight.astype(np.float32)), *[pa.array((weight * v).astype(np.float32)) for v in values.T]],
+                names=["at", "weight", *names],
+            )
 
     parts = rows.select("ids").mapInArrow(tidy(run), f"at long, weight float, {', '.join(f'{v} float' for v in names)}")
     got = parts.groupBy("at").agg(*[(F.sum(v) / F.sum("weight")).cast("float").alias(v) for v in names]).toArrow()
@@ -249,12 +256,25 @@ def coded(docs: DataFrame, training: Column, tokenizer: str, head: Head, end_log
             times = np.diff(np.append(new, len(d))).astype(np.int64)
             offsets = pa.array(np.searchsorted(d[new], np.arange(n + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [column(batch, "doc_id"), column(batch, "row"), column(batch, "learn"), pa.array(np.diff(ends) + 1), pa.array(sure), pa.array(base), packed(ids, till[ends]), pa.ListArray.from_arrays(offsets, pa.array(word[w[new]].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(times))],
+                [
+                    column(batch, "doc_id"),
+                    column(batch, "row"),
+                    column(batch, "learn"),
+                    pa.array(np.diff(ends) + 1),
+                    pa.array(sure),
+                    pa.array(base),
+                    packed(ids, till[ends]),
+                    pa.ListArray.from_arrays(offsets, pa.array(word[w[new]].view(np.int64))),
+                    pa.ListArray.from_arrays(offsets, pa.array(times)),
+                ],
                 names=["doc_id", "row", "learn", "n_tokens", "sure", "base", "ids", "words", "times"],
             )
 
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.coalesce(training, F.lit(False)).alias("learn"), "text")
-    return rows.mapInArrow(tidy(run), f"doc_id {kind}, row long, learn boolean, n_tokens long, sure long, base double, ids binary, words array<bigint>, times array<bigint>")
+    return rows.mapInArrow(
+        tidy(run),
+        f"doc_id {kind}, row long, learn boolean, n_tokens long, sure long, base double, ids binary, words array<bigint>, times array<bigint>",
+    )
 
 
 def scores(rows: DataFrame, model: attention.Model) -> DataFrame:
@@ -294,13 +314,27 @@ def scored(docs: DataFrame, training: Column, tokenizer: str | None = None, samp
     model = fit(learn, path, id_counts(counts, n_docs, size), sample)
     if n_docs:
         model = trained(model, rows.where("learn"))
-    each = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    each = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select(
+        "row",
+        F.col("x.words").alias("word"),
+        F.col("x.times").alias("times"),
+    )
     rare = counts.where(F.col("n") < head.least).select("word", "n")
-    tail = each.join(rare, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("tail_base"), F.sum("times").alias("tail_known"))
+    tail = each.join(rare, "word").groupBy("row").agg(
+        F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("tail_base"),
+        F.sum("times").alias("tail_known"),
+    )
     out = written(scores(rows.drop("words", "times", "learn"), model), "lm-scores").join(tail, "row", "left")
     floor = F.lit(float(np.log10(total + distinct + 1.0)))
     none = F.lit(0)
-    return out.select("doc_id", "n_tokens", (F.col("sure") + F.coalesce("tail_known", none) + F.lit(int(n_docs > 0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("tail_base", F.lit(0.0)) - F.col("n_tokens") * floor).alias("base_score"), "score")
+    return out.select(
+        "doc_id",
+        "n_tokens",
+        (F.col("sure") + F.coalesce("tail_known", none) + F.lit(int(n_docs > 0))).alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("tail_base", F.lit(0.0)) - F.col("n_tokens") * floor).alias("base_score"),
+        "score",
+    )
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

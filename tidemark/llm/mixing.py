@@ -88,7 +88,10 @@ def thresholds(rows: DataFrame, budgets: dict[str, float], sizes: dict[str, int]
         step = F.aggregate(
             "bins",
             F.struct(F.col("before").alias("sum"), F.lit(-1).cast("long").alias("bin"), F.lit(0).cast("long").alias("size")),
-            lambda a, x: F.when((a.bin >= 0), a).when(a["sum"] + x["size"] > F.col("budget"), F.struct(a["sum"].alias("sum"), x["bin"].alias("bin"), x["size"].alias("size"))).otherwise(F.struct((a["sum"] + x["size"]).alias("sum"), a["bin"].alias("bin"), a["size"].alias("size"))),
+            lambda a, x: F.when((a.bin >= 0), a).when(
+                a["sum"] + x["size"] > F.col("budget"),
+                F.struct(a["sum"].alias("sum"), x["bin"].alias("bin"), x["size"].alias("size")),
+            ).otherwise(F.struct((a["sum"] + x["size"]).alias("sum"), a["bin"].alias("bin"), a["size"].alias("size"))),
         )
         for r in bins.select("key", step.alias("cut")).collect():
             k, cut = r["key"], r["cut"]
@@ -108,7 +111,13 @@ def source_key(source: Column) -> Column:
 
 def _rows(docs: DataFrame, size: Column | None) -> DataFrame:
     size = n_words(F.col("text")) if size is None else size
-    rows = docs.select("doc_id", "source", source_key(F.col("source")).alias("key"), row_hash(F.col("doc_id")).alias("hash"), size.cast("long").alias("size"))
+    rows = docs.select(
+        "doc_id",
+        "source",
+        source_key(F.col("source")).alias("key"),
+        row_hash(F.col("doc_id")).alias("hash"),
+        size.cast("long").alias("size"),
+    )
     return written(rows, "mix-rows")
 
 
@@ -121,7 +130,11 @@ def _plan(rows: DataFrame, weights: tuple[float, ...], share: float, most: float
     sizes = {key[s.source]: s.size for s in shares}
     budgets = {key[s.source]: s.target - base[key[s.source]] * s.size for s in shares}
     cuts = thresholds(rows.select("key", "hash", "size"), budgets, sizes) if shares else {}
-    return local(rows.sparkSession, [(key[s.source], s.size, s.target, base[key[s.source]], cuts[key[s.source]]) for s in shares], "pkey string, source_size long, target double, base int, cut long")
+    return local(
+        rows.sparkSession,
+        [(key[s.source], s.size, s.target, base[key[s.source]], cuts[key[s.source]]) for s in shares],
+        "pkey string, source_size long, target double, base int, cut long",
+    )
 
 
 def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -138,7 +151,10 @@ def mix(docs: DataFrame, size: Column | None = None, weights: tuple[float, ...]
     """
     rows = _rows(docs, size)
     copies = (F.col("base") + (F.col("hash") < F.col("cut")).cast("int")).alias("copies")
-    out = rows.join(_plan(rows, weights, share, most), F.col("key") == F.col("pkey")).select("doc_id", "source", "size", "source_size", "target", copies)
+    out = rows.join(
+        _plan(rows, weights, share, most),
+        F.col("key") == F.col("pkey"),
+    ).select("doc_id", "source", "size", "source_size", "target", copies)
     return out.withColumn("taken", F.col("size") * F.col("copies"))
 
 

@@ -78,7 +78,10 @@ def sketched(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
             hashes, ends = pm.words(column(batch, "text"))
             doc, shingle, weight = pm.shingles(hashes, ends)
             at = np.searchsorted(doc, np.arange(n + 1))
-            sketch = np.concatenate([pm.sketches(doc[at[i] : at[j]] - i, shingle[at[i] : at[j]], weight[at[i] : at[j]], j - i, bands * rows) for i, j in _steps(n, DOCS_AT_ONCE)])
+            sketch = np.concatenate([
+                pm.sketches(doc[at[i] : at[j]] - i, shingle[at[i] : at[j]], weight[at[i] : at[j]], j - i, bands * rows) for i,
+                j in _steps(n, DOCS_AT_ONCE)
+            ])
             band = np.zeros((n, bands), dtype=np.uint64)
             with np.errstate(over="ignore"):
                 for k in range(rows):
@@ -88,7 +91,14 @@ def sketched(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame
             nodes = [_digest(hashes[i:j]) if i < j else None for i, j in zip(ends[:-1], ends[1:], strict=True)]
             sets = [_packed(shingle[i:j], "<u4") for i, j in zip(at[:-1], at[1:], strict=True)]
             loads = [_packed(weight[i:j], "<u4") if (weight[i:j] > 1).any() else b"" for i, j in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "text_hash"), pa.array(nodes, pa.binary()), _longs(band, some), pa.array(sets, pa.binary()), pa.array(loads, pa.binary())], names=["doc_id", "text_hash", "node", "bands", "shingles", "weights"])
+            yield pa.RecordBatch.from_arrays([
+                column(batch, "doc_id"),
+                column(batch, "text_hash"),
+                pa.array(nodes, pa.binary()),
+                _longs(band, some),
+                pa.array(sets, pa.binary()),
+                pa.array(loads, pa.binary()),
+            ], names=["doc_id", "text_hash", "node", "bands", "shingles", "weights"])
 
     rows_in = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"), "text")
     return rows_in.mapInArrow(tidy(run), f"doc_id {kind}, text_hash long, node binary, bands array<bigint>, shingles binary, weights binary")
@@ -122,7 +132,10 @@ def linked(rows: DataFrame, least: float = LEAST) -> DataFrame:
     nodes = written(nodes, "nodes")
     each = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     centres = [F.min_by("node", F.xxhash64(F.lit(i), "node")) for i in range(CENTRES)]
-    shared = written(each.groupBy("bucket").agg(F.array_distinct(F.array(*centres)).alias("centres"), F.count("*").alias("n")).where(F.col("n") > 1), "buckets")
+    shared = written(
+        each.groupBy("bucket").agg(F.array_distinct(F.array(*centres)).alias("centres"), F.count("*").alias("n")).where(F.col("n") > 1),
+        "buckets",
+    )
     pairs = each.join(shared, "bucket").select("node", F.explode("centres").alias("centre")).where(F.col("node") != F.col("centre"))
     pairs = written(pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct(), "pairs")
     # A pair's nodes are all that are ever compared: whoever shares a bucket has its centres.
@@ -167,13 +180,23 @@ def _within(members: DataFrame, least: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                found = _block_links(column(batch, "band")[i].as_py(), *(Block.of(column(batch, c)[i].values) for c in ("one", "other")), column(batch, "own")[i].as_py(), least)
+                found = _block_links(
+                    column(batch, "band")[i].as_py(),
+                    *(Block.of(column(batch, c)[i].values) for c in ("one", "other")),
+                    column(batch, "own")[i].as_py(),
+                    least,
+                )
                 if found:
                     a, b = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     own = (~F.col("y.is_main") & (F.col("x.block") == F.col("y.block"))).alias("own")
-    return both.select(F.col("x.band").alias("band"), F.col("x.m").alias("one"), F.col("y.m").alias("other"), own).mapInArrow(tidy(run), "a binary, b binary")
+    return both.select(
+        F.col("x.band").alias("band"),
+        F.col("x.m").alias("one"),
+        F.col("y.m").alias("other"),
+        own,
+    ).mapInArrow(tidy(run), "a binary, b binary")
 
 
 @dataclass(frozen=True)
@@ -188,7 +211,10 @@ class Block:
     @staticmethod
     def of(members: pa.StructArray) -> Block:
         node, root, bands, shingles, weights = members.flatten()
-        sets = [(np.frombuffer(s, "<u4"), np.frombuffer(w, "<u4") if w else None) for s, w in zip(shingles.to_pylist(), weights.to_pylist(), strict=True)]
+        sets = [
+            (np.frombuffer(s, "<u4"), np.frombuffer(w, "<u4") if w else None) for s,
+            w in zip(shingles.to_pylist(), weights.to_pylist(), strict=True)
+        ]
         return Block(node.to_pylist(), root.to_pylist(), bands.flatten().to_numpy().reshape(len(node), -1), sets)
 
     def of_rows(self, rows: np.ndarray) -> Block:
@@ -288,7 +314,13 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     low = small(written(own.groupBy("root").agg(F.min("first").alias("class")), "lowest"))
     known = written(own.join(low, "root").select("node", "class"), "node-classes")
     out = slim.join(known, "node", "left").select("doc_id", "text_hash", F.coalesce("class", F.struct("doc_id", "text_hash")).alias("class"))
-    return out.select("doc_id", "text_hash", F.col("class.doc_id").alias("class_id"), F.col("class.text_hash").alias("class_hash"), F.struct("doc_id", "text_hash").eqNullSafe(F.col("class")).alias("representative"))
+    return out.select(
+        "doc_id",
+        "text_hash",
+        F.col("class.doc_id").alias("class_id"),
+        F.col("class.text_hash").alias("class_hash"),
+        F.struct("doc_id", "text_hash").eqNullSafe(F.col("class")).alias("representative"),
+    )
 
 
 def kept(docs: DataFrame, least: float = LEAST) -> DataFrame:

@@ -41,10 +41,19 @@ _AT, _DOT = r"(?:\x20?[\[(]at[\])]\x20?|\x20at\x20|\x20?@\x20?)", r"(?:\x20?[\[(
 
 #: What else may be personal data, per kind: patterns whose spans may overlap, also those of one kind.
 GENERATORS = {
-    "email": [rf"(?<!{_LOCAL}){_LOCAL}++{_AT}{_LABEL}++(?:{_DOT}{_LABEL}++)++", rf"(?<!{_LOCAL}){_LOCAL}++{_AT}{_LABEL}++{_DOT}[A-Za-z]{{2,6}}+(?![A-Za-z0-9])"],
+    "email": [
+        rf"(?<!{_LOCAL}){_LOCAL}++{_AT}{_LABEL}++(?:{_DOT}{_LABEL}++)++",
+        rf"(?<!{_LOCAL}){_LOCAL}++{_AT}{_LABEL}++{_DOT}[A-Za-z]{{2,6}}+(?![A-Za-z0-9])",
+    ],
     "ip": [rf"(?<![0-9.]){_OCTET}(?:(?:[\[(]\.[\])]|\x20\.\x20|\x20dot\x20|\.){_OCTET}){{3}}(?![0-9])"],
-    "card": [r"(?<![0-9A-Za-z])[0-9](?:[\x20./_-]{0,2}+[0-9]){12,18}+(?![0-9A-Za-z])", r"(?<![0-9A-Za-z])[0-9]{4}([\x20._/-]{1,2}+)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9A-Za-z])"],
-    "phone": [r"(?<![0-9A-Za-z])(?:\+|\()?[0-9](?:[\x20()./-]{0,2}+[0-9]){6,14}+(?![0-9A-Za-z])", r"(?<![0-9A-Za-z(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])"],
+    "card": [
+        r"(?<![0-9A-Za-z])[0-9](?:[\x20./_-]{0,2}+[0-9]){12,18}+(?![0-9A-Za-z])",
+        r"(?<![0-9A-Za-z])[0-9]{4}([\x20._/-]{1,2}+)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9A-Za-z])",
+    ],
+    "phone": [
+        r"(?<![0-9A-Za-z])(?:\+|\()?[0-9](?:[\x20()./-]{0,2}+[0-9]){6,14}+(?![0-9A-Za-z])",
+        r"(?<![0-9A-Za-z(])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])",
+    ],
 }
 
 #: Characters of context on either side of a candidate.
@@ -75,7 +84,10 @@ def _starts(lengths: Column) -> Column:
         return F.aggregate(x, zero, lambda a, v: F.struct((a["at"] + v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
 
     def blocked(x: Column) -> Column:
-        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / _BLOCK).cast("int")), lambda b: sums(F.slice(x, b * _BLOCK + 1, F.lit(_BLOCK))))
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(x) - 1) / _BLOCK).cast("int")),
+            lambda b: sums(F.slice(x, b * _BLOCK + 1, F.lit(_BLOCK))),
+        )
         return F.element_at(F.transform(F.array(blocks), joined), 1)
 
     def joined(b: Column) -> Column:
@@ -102,7 +114,13 @@ def spans(text: Column, pattern: str, possible: Column | None = None) -> Column:
                 def one(x: Column, i: Column) -> Column:
                     at = F.get(starts, i) + F.length(F.get(gaps, i)) + F.when(i > 0, F.length(F.get(m, i - 1))).otherwise(0)
                     before, after = F.get(gaps, i), F.coalesce(F.get(gaps, i + 1), F.lit(""))
-                    return F.struct(at.alias("start"), (at + F.length(x)).alias("end"), x.alias("m"), F.substring(before, -CONTEXT, CONTEXT).alias("before"), F.substring(after, 1, CONTEXT).alias("after"))
+                    return F.struct(
+                        at.alias("start"),
+                        (at + F.length(x)).alias("end"),
+                        x.alias("m"),
+                        F.substring(before, -CONTEXT, CONTEXT).alias("before"),
+                        F.substring(after, 1, CONTEXT).alias("after"),
+                    )
 
                 return F.transform(m, one)
 
@@ -179,7 +197,12 @@ def _examples(kind: str) -> list[tuple[str, str, str, int]]:
     rng = random.Random(f"{kind} examples")
     word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 8)))
     num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    cue = {"email": ["email: ", "contact me ", "write to ", "e-mail "], "ip": ["ip ", "host ", "server ", "IP: "], "card": ["card ", "visa: ", "credit card no ", "paid by card "], "phone": ["call ", "tel. ", "phone: ", "fax "]}[kind]
+    cue = {
+        "email": ["email: ", "contact me ", "write to ", "e-mail "],
+        "ip": ["ip ", "host ", "server ", "IP: "],
+        "card": ["card ", "visa: ", "credit card no ", "paid by card "],
+        "phone": ["call ", "tel. ", "phone: ", "fax "],
+    }[kind]
 
     def checked(n: int) -> str:
         d = num(n - 1)
@@ -210,7 +233,17 @@ def _examples(kind: str) -> list[tuple[str, str, str, int]]:
         if kind == "card":
             d = num(rng.randint(13, 19))
             return rng.choice([d, grouped(d, "."), grouped(d, "_"), grouped(d, "  ")]), rng.random() < 0.2
-        return rng.choice([num(rng.randint(7, 15)), f"20{num(2)}-{num(2)}-{num(2)}", f"{num(2)}/{num(2)}/20{num(2)}", f"{num(3)} {num(3)} {num(3)}", f"{num(4)} {num(4)}", f"{num(1)}.{num(6)}", f"{num(4)}-{num(4)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)} {num(3)} {num(4)}"]), False
+        return rng.choice([
+            num(rng.randint(7, 15)),
+            f"20{num(2)}-{num(2)}-{num(2)}",
+            f"{num(2)}/{num(2)}/20{num(2)}",
+            f"{num(3)} {num(3)} {num(3)}",
+            f"{num(4)} {num(4)}",
+            f"{num(1)}.{num(6)}",
+            f"{num(4)}-{num(4)}-{num(4)}",
+            f"{num(3)}-{num(3)}-{num(4)}",
+            f"{num(3)} {num(3)} {num(4)}",
+        ]), False
 
     out = []
     for i in range(EXAMPLES):
@@ -278,7 +311,10 @@ def detected(docs: DataFrame, key: list[str]) -> DataFrame:
             x = F.when(F.col("kind") == "email", by_kind["email"][i]).when(F.col("kind") == "ip", by_kind["ip"][i]).when(F.col("kind") == "card", by_kind["card"][i]).otherwise(x)
         numbers.append(x.alias(f"x{i}"))
     # Written once more, so that the optimizer doesn't reason about the trees in what follows.
-    scored = written(each.select("row", "kind", "start", "end", *numbers).select("row", "kind", "start", "end", score.alias("p")), "pii-scored").where(F.col("p") > 0)
+    scored = written(
+        each.select("row", "kind", "start", "end", *numbers).select("row", "kind", "start", "end", score.alias("p")),
+        "pii-scored",
+    ).where(F.col("p") > 0)
     base = rows.where(F.size("wide") > 0).select("row", F.explode("base").alias("c")).select("row", "c.*", F.lit(BASE_P).alias("p"))
     added = _apart(scored.unionByName(base)).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("added"))
     empty = F.array().cast("array<struct<kind:string,start:int,end:int>>")
@@ -336,14 +372,21 @@ def _rebuilt(text: Column, found: Column) -> Column:
     What stands between spans is cut from pieces of the text: time follows its length.
     """
     size = F.length(text)
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((size - 1) / PIECE), F.lit(0)).cast("int")), lambda i: F.substring(text, i * PIECE + 1, F.lit(PIECE)))
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.floor((size - 1) / PIECE), F.lit(0)).cast("int")),
+        lambda i: F.substring(text, i * PIECE + 1, F.lit(PIECE)),
+    )
 
     def build(parts: Column) -> Column:
         def cut(a: Column, b: Column) -> Column:
             first, last = F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")
             inside = F.substring(F.get(parts, first), a % PIECE + 1, b - a)
             middle = F.array_join(F.slice(parts, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
-            return F.when(b <= a, F.lit("")).when(first == last, inside).otherwise(F.concat(F.substring(F.get(parts, first), a % PIECE + 1, F.lit(PIECE)), middle, F.substring(F.get(parts, last), F.lit(1), (b - 1) % PIECE + 1)))
+            return F.when(b <= a, F.lit("")).when(first == last, inside).otherwise(F.concat(
+                F.substring(F.get(parts, first), a % PIECE + 1, F.lit(PIECE)),
+                middle,
+                F.substring(F.get(parts, last), F.lit(1), (b - 1) % PIECE + 1),
+            ))
 
         def one(s: Column, i: Column) -> Column:
             return F.concat(cut(F.coalesce(F.get(found, i - 1)["end"], F.lit(0)), s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
@@ -359,7 +402,11 @@ def merged(found: DataFrame) -> DataFrame:
     before, till = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
     new = F.when(F.col("start") <= F.max("end").over(before), 0).otherwise(1)
     each = found.distinct().withColumn("new", new).withColumn("part", F.sum("new").over(till))
-    each = each.groupBy("id", "hash", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "end", "kind")).alias("kind"))
+    each = each.groupBy("id", "hash", "part").agg(
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
+        F.min_by("kind", F.struct("start", "end", "kind")).alias("kind"),
+    )
     return each.groupBy("id", "hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("spans"))
 
 
@@ -394,4 +441,9 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base spans and all spans of each document; a null text has none."""
     out = detected(table(spark, sf_dir, "documents"), ["doc_id"])
     n = [F.size(F.filter("base", _of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return out.select("doc_id", *n, F.sha2(_said(F.col("base")).cast("binary"), 256).alias("base_sha256"), _said(_in_order(F.concat("base", "added"))).alias("spans"))
+    return out.select(
+        "doc_id",
+        *n,
+        F.sha2(_said(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        _said(_in_order(F.concat("base", "added"))).alias("spans"),
+    )

@@ -47,11 +47,21 @@ def repeated_words(hashes: Column) -> Column:
     order = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
     def twice(s: Column) -> Column:
-        return F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)))
+        return F.filter(
+            s,
+            lambda x,
+            i: F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)),
+        )
 
     at = F.array_sort(F.transform(F.element_at(F.transform(F.array(order), twice), 1), lambda x: x["i"]))
     start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("n"))
-    covered = F.aggregate(at, start, lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n")), lambda a: a["n"])
+    covered = F.aggregate(
+        at,
+        start,
+        lambda a,
+        p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n")),
+        lambda a: a["n"],
+    )
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(covered)
 
 
@@ -64,14 +74,21 @@ def even_lines(text: Column) -> Column:
 def line_hashes(text: Column) -> Column:
     """Hash and words of each line with a word, as even_lines has them."""
     lines = F.filter(even_lines(text), lambda x: x != "")
-    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w")))
+    return F.transform(
+        lines,
+        lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).alias("w")),
+    )
 
 
 def statistics(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: its doc_id, host key, text hash, base statistics and lines."""
     rows = docs.select("doc_id", source_key(F.col("source")).alias("host"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.select("*", F.regexp_extract_all("text", F.lit(WORD), 0).alias("words"))
-    rows = rows.select("*", window_hashes(F.col("words")).alias("windows"), F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)).alias("real"))
+    rows = rows.select(
+        "*",
+        window_hashes(F.col("words")).alias("windows"),
+        F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD)).alias("real"),
+    )
     n = F.size("words").cast("long")
     repeat = repeated_words(F.col("windows"))
     rows = rows.select(
@@ -85,7 +102,11 @@ def statistics(docs: DataFrame) -> DataFrame:
         repeat.alias("n_repeat_words"),
         line_hashes(F.col("text")).alias("lines"),
     )
-    return rows.select(F.monotonically_increasing_id().alias("row"), "*", ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"))
+    return rows.select(
+        F.monotonically_increasing_id().alias("row"),
+        "*",
+        ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
+    )
 
 
 def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
@@ -114,7 +135,10 @@ def judged(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT
     lost = each.join(small(common), ["host", "h"]).groupBy("row").agg(F.sum("w").alias("lost"), F.collect_set("h").alias("frequent"))
     out = rows.drop("lines").join(lost, "row", "left")
     left = F.col("n_words") - F.coalesce(F.col("lost"), F.lit(0))
-    return out.withColumn("words_left", left).withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= F.lit(min_left) * F.col("n_words"))).drop("row", "lost")
+    return out.withColumn("words_left", left).withColumn(
+        "kept",
+        ~F.col("base_failed") & (F.col("words_left") >= F.lit(min_left) * F.col("n_words")),
+    ).drop("row", "lost")
 
 
 def without(text: Column, frequent: Column) -> Column:
@@ -134,7 +158,10 @@ def kept(docs: DataFrame, **limits: float) -> DataFrame:
     host, text = source_key(F.col("source")), F.coalesce(F.col("text"), F.lit(""))
     with passing(docs.sparkSession) as keep:
         verdicts = judged(docs, **limits).where(~F.col("kept") | F.col("frequent").isNotNull())
-        verdicts = verdicts.select(F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "host").alias(key), F.struct("kept", "frequent").alias(known))
+        verdicts = verdicts.select(
+            F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "host").alias(key),
+            F.struct("kept", "frequent").alias(known),
+        )
         keep.append(written(verdicts.dropDuplicates([key]), "quality-verdicts"))
     rows = docs.withColumn(own, F.struct(F.col("doc_id").alias("id"), F.xxhash64(text).alias("hash"), host.alias("host")))
     out = rows.join(small(keep[0]), F.col(own) == F.col(key), "left").where(F.coalesce(F.col(known)["kept"], F.lit(True)))
@@ -147,7 +174,17 @@ def kept(docs: DataFrame, **limits: float) -> DataFrame:
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics and verdict of each document."""
-    return judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left")
+    return judged(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        "words_left",
+    )
 
 
 OP3_SQL = rf"""

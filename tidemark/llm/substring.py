@@ -111,7 +111,13 @@ def chunks(docs: DataFrame) -> DataFrame:
             which = pa.array(np.repeat(np.arange(batch.num_rows), counts))
             ints = lambda parts: pa.array(np.concatenate(parts).astype(np.int32))
             both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").take(which), column(batch, "text_hash").take(which), ints(starts), ints(ends), *(pa.array(np.ascontiguousarray(x)) for x in both.T)], names=["doc_id", "text_hash", "start", "end", "digest", "digest2"])
+            yield pa.RecordBatch.from_arrays([
+                column(batch, "doc_id").take(which),
+                column(batch, "text_hash").take(which),
+                ints(starts),
+                ints(ends),
+                *(pa.array(np.ascontiguousarray(x)) for x in both.T),
+            ], names=["doc_id", "text_hash", "start", "end", "digest", "digest2"])
 
     return _identified(docs).mapInArrow(tidy(run), f"doc_id {kind}, text_hash long, start int, end int, digest long, digest2 long")
 
@@ -131,7 +137,15 @@ def _passages(docs: DataFrame, least: int) -> DataFrame:
     runs = later.withColumn("run", run).groupBy("doc_id", "text_hash", "run")
     found = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_chunks"), F.min("first").alias("first"))
     found = found.where(F.col("end") - F.col("start") >= least)
-    return found.select("doc_id", "text_hash", "start", "end", (F.col("end") - F.col("start")).alias("size"), F.col("n_chunks").cast("int").alias("n_chunks"), F.col("first.doc_id").alias("first_doc_id"))
+    return found.select(
+        "doc_id",
+        "text_hash",
+        "start",
+        "end",
+        (F.col("end") - F.col("start")).alias("size"),
+        F.col("n_chunks").cast("int").alias("n_chunks"),
+        F.col("first.doc_id").alias("first_doc_id"),
+    )
 
 
 def passages(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
@@ -163,7 +177,11 @@ def deduplicated(docs: DataFrame, least: int = PASSAGE) -> DataFrame:
 
     @F.pandas_udf("string")
     def left(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else "".join(t[i:j] for i, j in zip([0, *e], [*s, len(t)], strict=True)) for t, s, e in zip(text, starts, ends, strict=True)], dtype=object)
+        return pd.Series([
+            t if s is None else "".join(t[i:j] for i, j in zip([0, *e], [*s, len(t)], strict=True)) for t,
+            s,
+            e in zip(text, starts, ends, strict=True)
+        ], dtype=object)
 
     new = F.when(F.col(cut).isNull() | F.col("text").isNull(), F.col("text")).otherwise(left("text", F.col(cut)["start"], F.col(cut)["end"]))
     return out.select(*(new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns))

@@ -174,7 +174,11 @@ class PieceCodec:
         Where every word decodes to itself behind its space, so does the text: it is
         not put together anew.
         """
-        found = by_words(values, lambda words: list(map(self.spaced.__getitem__, words)), self.spaced.__getitem__) if self.prefix and len(values) else [None] * len(values)
+        found = by_words(
+            values,
+            lambda words: list(map(self.spaced.__getitem__, words)),
+            self.spaced.__getitem__,
+        ) if self.prefix and len(values) else [None] * len(values)
         out = []
         for v, f in zip(values, found, strict=True):
             text = v.as_py() or ""
@@ -208,7 +212,10 @@ def encode_pieces(docs: DataFrame, model_file: str | None = None) -> DataFrame:
         for batch in slices(batches, most=WORDS_AT_ONCE):
             with no_gc():
                 found = use.both_all(column(batch, "text"))
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), int_lists([i for i, _ in found]), pa.array([t for _, t in found], pa.string())], names=["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "doc_id"), int_lists([i for i, _ in found]), pa.array([t for _, t in found], pa.string())],
+                names=["doc_id", "ids", "decoded"],
+            )
         for memo in (use.spaced, use.word, use.apart):
             memo.forget()
 
@@ -220,4 +227,9 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each document's ids and decoded text; a null text has no ids."""
     out = encode_pieces(table(spark, sf_dir, "documents"))
     joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(joined.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )

@@ -156,7 +156,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int | None = 0, row_group: int = ROW_GROUP, page_bytes: int = PAGE_BYTES, page_rows: int = PAGE_ROWS) -> None:
+def write_tokens(
+    docs: DataFrame,
+    path: str,
+    tokenizer: str | None = None,
+    end_id: int | None = 0,
+    row_group: int = ROW_GROUP,
+    page_bytes: int = PAGE_BYTES,
+    page_rows: int = PAGE_ROWS,
+) -> None:
     """Encode whole texts and write them in ascending doc_id order.
 
     Columns: part (number of the file in order), doc_id, at (ids of the part before
@@ -176,12 +184,23 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
                 found = [x + end for x in use.encode_all(column(batch, "text"))]
             counts = np.array([len(x) // 4 for x in found], dtype=np.int64)
             ends = at + np.cumsum(counts)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(ends - counts), pa.array(counts), int_lists(found)], names=["doc_id", "at", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "doc_id"), pa.array(ends - counts), pa.array(counts), int_lists(found)],
+                names=["doc_id", "at", "n_tokens", "ids"],
+            )
             at = int(ends[-1])
 
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows = ordered.mapInArrow(tidy(run), f"doc_id {kind}, at long, n_tokens long, ids array<int>").select(F.spark_partition_id().alias("part"), "*")
-    options = {"compression": "lz4_raw", "parquet.enable.dictionary": "true", "parquet.writer.version": "v2", "parquet.dictionary.page.size": str(1 << 20), "parquet.block.size": str(row_group), "parquet.page.size": str(page_bytes), "parquet.page.row.count.limit": str(page_rows)}
+    options = {
+        "compression": "lz4_raw",
+        "parquet.enable.dictionary": "true",
+        "parquet.writer.version": "v2",
+        "parquet.dictionary.page.size": str(1 << 20),
+        "parquet.block.size": str(row_group),
+        "parquet.page.size": str(page_bytes),
+        "parquet.page.row.count.limit": str(page_rows),
+    }
     rows.write.options(**options).parquet(path)
 
 
@@ -210,7 +229,10 @@ def id_checksums(rows: DataFrame) -> DataFrame:
             ends = lists.offsets.to_numpy()
             raw = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), dtype="<i4")).cast("B")
             sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "start"), pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(
+                [column(batch, "doc_id"), column(batch, "start"), pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())],
+                names=["doc_id", "start", "n_tokens", "ids_crc32"],
+            )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", "start", "ids").mapInArrow(tidy(run), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
