@@ -150,7 +150,10 @@ def test_prune(dataset):
 # Paths and identity
 
 
-@pytest.mark.parametrize("path", ["", ".", "..", "/", "/tmp/x", "../x", "a/../b", "a/./b", "a//b", "a/", "a\\b", "a\0b", CONTROL, f"{CONTROL}/x", f"a/{CONTROL}/b", None, 3, b"a"])
+@pytest.mark.parametrize(
+    "path",
+    ["", ".", "..", "/", "/tmp/x", "../x", "a/../b", "a/./b", "a//b", "a/", "a\\b", "a\0b", CONTROL, f"{CONTROL}/x", f"a/{CONTROL}/b", None, 3, b"a"],
+)
 def test_bad_paths(dataset, path):
     with pytest.raises(ValueError):
         data_path(path)
@@ -180,7 +183,13 @@ def test_links_and_odd_files(dataset, tmp_path):
     os.link(dataset.root / "a", tmp_path / "alias")
     os.mkfifo(dataset.root / "pipe")
     with dataset.write() as batch:
-        for act in (lambda: batch.delete("link"), lambda: batch.stage("folder/x"), lambda: batch.delete("a"), lambda: batch.delete("pipe"), lambda: batch.stage("a/x")):
+        for act in (
+            lambda: batch.delete("link"),
+            lambda: batch.stage("folder/x"),
+            lambda: batch.delete("a"),
+            lambda: batch.delete("pipe"),
+            lambda: batch.stage("a/x"),
+        ):
             with pytest.raises(CorruptionError):
                 act()
         with pytest.raises(FileNotFoundError):
@@ -199,7 +208,17 @@ def test_records_fail_closed(dataset):
     state = publish(dataset, {"a": b"1"}, {"n": 1})
     head = dataset.control / "head.json"
     good = json.loads(head.read_text())
-    for bad in ({**good, "more": 1}, {**good, "revision": True}, {**good, "revision": -1}, {**good, "revision": 0}, {**good, "operation": "x"}, {**good, "undo": "0" * 32}, {**good, "metadata": []}, [good], "x"):
+    for bad in (
+        {**good, "more": 1},
+        {**good, "revision": True},
+        {**good, "revision": -1},
+        {**good, "revision": 0},
+        {**good, "operation": "x"},
+        {**good, "undo": "0" * 32},
+        {**good, "metadata": []},
+        [good],
+        "x",
+    ):
         head.write_text(json.dumps(bad))
         with pytest.raises(CorruptionError):
             dataset.current()
@@ -508,7 +527,11 @@ def _cost(tmp_path, size):
 
     os.lstat = spy
     try:
-        for act in (lambda: publish(d, {f"date={i:05}/data": b"y" for i in range(5)}, {"ready": 1}), lambda: d.rollback(quiescent=True), lambda: d.clean()):
+        for act in (
+            lambda: publish(d, {f"date={i:05}/data": b"y" for i in range(5)}, {"ready": 1}),
+            lambda: d.rollback(quiescent=True),
+            lambda: d.clean(),
+        ):
             with stopping() as steps:
                 act()
             counts.append(sorted((n, steps.done.count(n)) for n in set(steps.done)))

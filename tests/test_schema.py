@@ -66,7 +66,10 @@ def test_records_fit_at_every_step(tmp_path):
     assert shapes == {"register", "dataset", "state", "change", "publish", "rollback", "prune"}
 
 
-@pytest.mark.parametrize("change", [{"revision": -1}, {"revision": True}, {"revision": 1.0}, {"operation": "x"}, {"metadata": []}, {"undo": ID.upper()}, {"more": 1}])
+@pytest.mark.parametrize(
+    "change",
+    [{"revision": -1}, {"revision": True}, {"revision": 1.0}, {"operation": "x"}, {"metadata": []}, {"undo": ID.upper()}, {"more": 1}],
+)
 def test_misfits_of_states(change):
     assert list(schema.misfits(STATE, "state")) == []
     assert list(schema.misfits({**STATE, **change}, "state"))
@@ -74,7 +77,27 @@ def test_misfits_of_states(change):
         State.read({**STATE, **change})
 
 
-@pytest.mark.parametrize("path", ["a", "a/b", "a.b/..c", ".x/y", "行/情", "a b", "..", "a/..", "../a", "/a", "a//b", "a/", "", ".", "a/./b", f"{CONTROL}", f"a/{CONTROL}/b", "a\\b", "a\0b"])
+@pytest.mark.parametrize("path", [
+    "a",
+    "a/b",
+    "a.b/..c",
+    ".x/y",
+    "行/情",
+    "a b",
+    "..",
+    "a/..",
+    "../a",
+    "/a",
+    "a//b",
+    "a/",
+    "",
+    ".",
+    "a/./b",
+    f"{CONTROL}",
+    f"a/{CONTROL}/b",
+    "a\\b",
+    "a\0b",
+])
 def test_paths_fit_as_they_are_accepted(path):
     try:
         data_path(path)

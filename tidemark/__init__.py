@@ -5,4 +5,16 @@ from .dataset import Batch, Dataset, PruneBatch
 from .errors import ConflictError, CorruptionError, NoRollbackError, RecoveryRequiredError, TidemarkError, UnsupportedFormatError
 from .repository import Repository
 
-__all__ = ["Batch", "ConflictError", "CorruptionError", "Dataset", "NoRollbackError", "PruneBatch", "RecoveryRequiredError", "Repository", "State", "TidemarkError", "UnsupportedFormatError"]
+__all__ = [
+    "Batch",
+    "ConflictError",
+    "CorruptionError",
+    "Dataset",
+    "NoRollbackError",
+    "PruneBatch",
+    "RecoveryRequiredError",
+    "Repository",
+    "State",
+    "TidemarkError",
+    "UnsupportedFormatError",
+]

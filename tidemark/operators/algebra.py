@@ -36,7 +36,11 @@ def restored(current: DataFrame, entries: DataFrame, kept: DataFrame) -> DataFra
 
 def changed(base: DataFrame, after: DataFrame, value: str) -> DataFrame:
     """path and change (added, deleted, replaced) of files that differ in ``value``."""
-    both = base.select("path", F.col(value).alias("old"), F.lit(True).alias("was")).join(after.select("path", F.col(value).alias("new"), F.lit(True).alias("is")), "path", "full")
+    both = base.select("path", F.col(value).alias("old"), F.lit(True).alias("was")).join(
+        after.select("path", F.col(value).alias("new"), F.lit(True).alias("is")),
+        "path",
+        "full",
+    )
     kind = F.when(F.col("was").isNull(), "added").when(F.col("is").isNull(), "deleted").when(~F.col("old").eqNullSafe(F.col("new")), "replaced")
     return both.select("path", kind.alias("change")).where(F.col("change").isNotNull())
 

@@ -99,7 +99,10 @@ def mixed_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _state(lab: Lab, case: str) -> DataFrame:
     s = lab.market.current()
-    return lab.spark.createDataFrame([(case, s.revision, s.publication is None, s.undo is None, str(s.metadata.get("batch")))], "case string, revision long, unpublished boolean, no_undo boolean, batch string")
+    return lab.spark.createDataFrame(
+        [(case, s.revision, s.publication is None, s.undo is None, str(s.metadata.get("batch")))],
+        "case string, revision long, unpublished boolean, no_undo boolean, batch string",
+    )
 
 
 @query("SELECT 'metadata' AS \"case\", CAST(2 AS BIGINT) AS revision, false AS unpublished, false AS no_undo, '2' AS batch")
@@ -236,14 +239,31 @@ def _factor(spark: SparkSession, sf_dir: str) -> Lab:
     """Two definitions side by side; metadata says which is in force."""
     lab = Lab(spark, sf_dir)
     factor = lab.events().groupBy("date", "user_id").agg(F.sum("value").alias("factor"))
-    publish(spark, lab.market, factor.withColumn("version", F.lit("v1")), metadata={"definition": "v1"}, quiescent=True, partition_by=["version", "date"])
-    publish(spark, lab.market, factor.withColumn("factor", F.col("factor") * 2).withColumn("version", F.lit("v2")), metadata={"definition": "v2"}, quiescent=True, partition_by=["version", "date"])
+    publish(
+        spark,
+        lab.market,
+        factor.withColumn("version", F.lit("v1")),
+        metadata={"definition": "v1"},
+        quiescent=True,
+        partition_by=["version", "date"],
+    )
+    publish(
+        spark,
+        lab.market,
+        factor.withColumn("factor", F.col("factor") * 2).withColumn("version", F.lit("v2")),
+        metadata={"definition": "v2"},
+        quiescent=True,
+        partition_by=["version", "date"],
+    )
     return lab
 
 
 def _in_force(lab: Lab) -> DataFrame:
     wanted = lab.market.current().metadata["definition"]
-    rows = read(lab.spark, lab.market, f"version={wanted}/date=*").groupBy("version", "date").agg(F.count("*").alias("n"), F.round(F.sum("factor"), 4).alias("total"))
+    rows = read(lab.spark, lab.market, f"version={wanted}/date=*").groupBy("version", "date").agg(
+        F.count("*").alias("n"),
+        F.round(F.sum("factor"), 4).alias("total"),
+    )
     return rows
 
 
@@ -300,7 +320,16 @@ def _values(**cases: str) -> str:
     return "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in cases.items()) + ') AS t("case", outcome)'
 
 
-@query(_values(stale="ConflictError", future="ConflictError", boolean="ConflictError", current="ok", rollback_stale="ConflictError", prune_stale="ConflictError", not_quiescent="ValueError", nothing_to_undo="NoRollbackError"))
+@query(_values(
+    stale="ConflictError",
+    future="ConflictError",
+    boolean="ConflictError",
+    current="ok",
+    rollback_stale="ConflictError",
+    prune_stale="ConflictError",
+    not_quiescent="ValueError",
+    nothing_to_undo="NoRollbackError",
+))
 def cas_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = Lab(spark, sf_dir)
     m = lab.market
@@ -318,7 +347,15 @@ def cas_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
         m.rollback(quiescent=True)
 
     lab.put(None, 1)
-    cases = {"stale": lambda: write(0), "future": lambda: write(2), "boolean": lambda: write(True), "rollback_stale": lambda: m.rollback(quiescent=True, expected_revision=0), "prune_stale": lambda: prune(0), "not_quiescent": lambda: m.rollback(quiescent=False), "nothing_to_undo": undo_twice}
+    cases = {
+        "stale": lambda: write(0),
+        "future": lambda: write(2),
+        "boolean": lambda: write(True),
+        "rollback_stale": lambda: m.rollback(quiescent=True, expected_revision=0),
+        "prune_stale": lambda: prune(0),
+        "not_quiescent": lambda: m.rollback(quiescent=False),
+        "nothing_to_undo": undo_twice,
+    }
     return _outcomes(spark, {**cases, "current": lambda: write(2)})
 
 
@@ -334,12 +371,27 @@ def recover_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
         pass
     names = lambda: ",".join(lab.repository.list_datasets())
     rows = [("open_stopped", _outcome(lambda: lab.repository.dataset("market"))), ("listed_stopped", names())]
-    rows += [("drop_again", _outcome(lambda: lab.repository.drop_dataset("market", quiescent=True))), ("open_dropped", _outcome(lambda: lab.repository.dataset("market"))), ("listed", names())]
+    rows += [
+        ("drop_again", _outcome(lambda: lab.repository.drop_dataset("market", quiescent=True))),
+        ("open_dropped", _outcome(lambda: lab.repository.dataset("market"))),
+        ("listed", names()),
+    ]
     rows.append(("folder", "there" if lab.market.root.exists() else "gone"))
     return spark.createDataFrame(rows, "case string, outcome string")
 
 
-@query(_values(link="CorruptionError", below_link="CorruptionError", fifo="CorruptionError", two_names="CorruptionError", inside_folder="CorruptionError", control_below="ValueError", stage_link="CorruptionError", delete_two_names="CorruptionError", rows_left="True", absent="ok"))
+@query(_values(
+    link="CorruptionError",
+    below_link="CorruptionError",
+    fifo="CorruptionError",
+    two_names="CorruptionError",
+    inside_folder="CorruptionError",
+    control_below="ValueError",
+    stage_link="CorruptionError",
+    delete_two_names="CorruptionError",
+    rows_left="True",
+    absent="ok",
+))
 def preflight_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links, special files, files with two names and control records stop a removal before it begins."""
     lab = Lab(spark, sf_dir).base()
@@ -367,7 +419,16 @@ def preflight_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
         with m.write() as batch:
             batch.delete(path)
 
-    cases = {"link": lambda: prune("link"), "below_link": lambda: prune("link/x"), "fifo": lambda: prune("fifo"), "two_names": lambda: prune("twice"), "inside_folder": lambda: prune("folder"), "control_below": lambda: prune("nested"), "stage_link": lambda: stage("link/x"), "delete_two_names": lambda: delete("twice")}
+    cases = {
+        "link": lambda: prune("link"),
+        "below_link": lambda: prune("link/x"),
+        "fifo": lambda: prune("fifo"),
+        "two_names": lambda: prune("twice"),
+        "inside_folder": lambda: prune("folder"),
+        "control_below": lambda: prune("nested"),
+        "stage_link": lambda: stage("link/x"),
+        "delete_two_names": lambda: delete("twice"),
+    }
     rows = [(k, _outcome(act)) for k, act in cases.items()]
     rows.append(("rows_left", str(before == sorted(p.relative_to(root).as_posix() for p in root.glob("date=*/*")))))
 
@@ -380,7 +441,16 @@ def preflight_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "case string, outcome string")
 
 
-@query(_values(other_register="UnsupportedFormatError", other_kind="UnsupportedFormatError", other_dataset="UnsupportedFormatError", unknown_intent="CorruptionError", unknown_field="CorruptionError", no_json="CorruptionError", other_name="CorruptionError", mended="ok"))
+@query(_values(
+    other_register="UnsupportedFormatError",
+    other_kind="UnsupportedFormatError",
+    other_dataset="UnsupportedFormatError",
+    unknown_intent="CorruptionError",
+    unknown_field="CorruptionError",
+    no_json="CorruptionError",
+    other_name="CorruptionError",
+    mended="ok",
+))
 def format_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of another format or shape are refused, whatever reads them."""
     lab = Lab(spark, sf_dir).base()
@@ -432,26 +502,71 @@ def writer_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
         waits = thread.is_alive()
         batch.commit(metadata={"batch": 1}, quiescent=True)
     thread.join(30)
-    rows = [("second_waits", str(waits)), ("second_sees", seen[0]), ("after", str(lab.market.current().revision)), ("settled", str(lab.market.recover(quiescent=True).revision)), ("settled_again", _outcome(lambda: lab.market.recover(quiescent=True)))]
+    rows = [
+        ("second_waits", str(waits)),
+        ("second_sees", seen[0]),
+        ("after", str(lab.market.current().revision)),
+        ("settled", str(lab.market.recover(quiescent=True).revision)),
+        ("settled_again", _outcome(lambda: lab.market.recover(quiescent=True))),
+    ]
     return spark.createDataFrame(rows, "case string, outcome string")
 
 
-_BAD = {"parent": "../x", "absolute": "/tmp/x", "inner_parent": "a/../b", "control": ".tidemark/x", "inner_control": "a/.tidemark/x", "double": "a//b", "backslash": "a\\b", "empty": "", "dot": "."}
-
-
-@query(_values(**{k: "ValueError" for k in _BAD}, plain="ok", twice="ValueError", below="ValueError", above="ValueError", missing_delete="FileNotFoundError"))
+_BAD = {
+    "parent": "../x",
+    "absolute": "/tmp/x",
+    "inner_parent": "a/../b",
+    "control": ".tidemark/x",
+    "inner_control": "a/.tidemark/x",
+    "double": "a//b",
+    "backslash": "a\\b",
+    "empty": "",
+    "dot": ".",
+}
+
+
+@query(_values(
+    **{k: "ValueError" for k in _BAD},
+    plain="ok",
+    twice="ValueError",
+    below="ValueError",
+    above="ValueError",
+    missing_delete="FileNotFoundError",
+))
 def path_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Lab(spark, sf_dir).market.write() as batch:
         cases = {k: (lambda p=p: batch.stage(p)) for k, p in _BAD.items()}
-        cases |= {"plain": lambda: batch.stage("d/f"), "twice": lambda: batch.stage("d/f"), "below": lambda: batch.stage("d/f/g"), "above": lambda: batch.stage("d"), "missing_delete": lambda: batch.delete("no")}
+        cases |= {
+            "plain": lambda: batch.stage("d/f"),
+            "twice": lambda: batch.stage("d/f"),
+            "below": lambda: batch.stage("d/f/g"),
+            "above": lambda: batch.stage("d"),
+            "missing_delete": lambda: batch.delete("no"),
+        }
         return _outcomes(spark, cases)
 
 
-@query(_values(same="ValueError", inside="ValueError", around="ValueError", registry="ValueError", name="FileExistsError", unknown="KeyError", beside="ok"))
+@query(_values(
+    same="ValueError",
+    inside="ValueError",
+    around="ValueError",
+    registry="ValueError",
+    name="FileExistsError",
+    unknown="KeyError",
+    beside="ok",
+))
 def overlap_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = Lab(spark, sf_dir)
     make, at = lab.repository.create_dataset, lab.market.root
-    cases = {"same": lambda: make("x", at), "inside": lambda: make("x", at / "y"), "around": lambda: make("x", at.parent), "registry": lambda: make("x", lab.repository.control / "x"), "name": lambda: make("market", lab.folder / "z"), "unknown": lambda: lab.repository.dataset("nobody"), "beside": lambda: make("x", at.parent / "beside")}
+    cases = {
+        "same": lambda: make("x", at),
+        "inside": lambda: make("x", at / "y"),
+        "around": lambda: make("x", at.parent),
+        "registry": lambda: make("x", lab.repository.control / "x"),
+        "name": lambda: make("market", lab.folder / "z"),
+        "unknown": lambda: lab.repository.dataset("nobody"),
+        "beside": lambda: make("x", at.parent / "beside"),
+    }
     return _outcomes(spark, cases)
 
 

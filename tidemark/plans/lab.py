@@ -50,8 +50,23 @@ class Lab:
         events = self.events().where(F.col("date").between(*span))
         return events.withColumn("value", F.col("value") + F.lit(float(plus))) if plus else events
 
-    def put(self, frame: DataFrame | None, batch: int, delete: list[str] | None = None, dataset: Dataset | None = None, keys: list[str] | None = None):
-        return publish(self.spark, dataset or self.market, frame, metadata={"batch": batch}, quiescent=True, partition_by=keys or ["date"], delete=delete)
+    def put(
+        self,
+        frame: DataFrame | None,
+        batch: int,
+        delete: list[str] | None = None,
+        dataset: Dataset | None = None,
+        keys: list[str] | None = None,
+    ):
+        return publish(
+            self.spark,
+            dataset or self.market,
+            frame,
+            metadata={"batch": batch},
+            quiescent=True,
+            partition_by=keys or ["date"],
+            delete=delete,
+        )
 
     def base(self) -> Lab:
         """All events, by date."""

@@ -77,7 +77,14 @@ class TidemarkSource(DataSource):
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
         dataset = self._dataset()
-        return _Writer(str(dataset.root), dataset.name, new_id(), self.options.get("file", "data"), json.loads(self.options.get("metadata", "{}")), self.options.get("quiescent") == "true")
+        return _Writer(
+            str(dataset.root),
+            dataset.name,
+            new_id(),
+            self.options.get("file", "data"),
+            json.loads(self.options.get("metadata", "{}")),
+            self.options.get("quiescent") == "true",
+        )
 
 
 @dataclass

@@ -54,7 +54,15 @@ def spread(spark: SparkSession, dataset: Dataset, least: int = SPREAD_BYTES) ->
     return dataset
 
 
-def stage_frame(batch: Batch, df: DataFrame, partition_by: list[str] | None = None, file: str = "data", format: str = "parquet", files: int = 1, **options: str) -> list[str]:
+def stage_frame(
+    batch: Batch,
+    df: DataFrame,
+    partition_by: list[str] | None = None,
+    file: str = "data",
+    format: str = "parquet",
+    files: int = 1,
+    **options: str,
+) -> list[str]:
     """Stage a frame's rows as complete files, one for each partition, and return their paths.
 
     Rows are dealt by the partition columns, so each file is written by one task. Where a
@@ -95,7 +103,18 @@ def harvest(batch: Batch, place: Path, file: str, format: str) -> list[str]:
     return staged
 
 
-def publish(spark: SparkSession, dataset: Dataset, df: DataFrame | None, *, metadata: dict[str, Any], quiescent: bool, partition_by: list[str] | None = None, delete: list[str] | None = None, expected_revision: int | None = None, **staging: Any) -> State:
+def publish(
+    spark: SparkSession,
+    dataset: Dataset,
+    df: DataFrame | None,
+    *,
+    metadata: dict[str, Any],
+    quiescent: bool,
+    partition_by: list[str] | None = None,
+    delete: list[str] | None = None,
+    expected_revision: int | None = None,
+    **staging: Any,
+) -> State:
     """Stage a frame and deletions, commit, and drop what the session has cached.
 
     Copies of replaced files are made by tasks if they are large.

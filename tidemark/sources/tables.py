@@ -23,7 +23,14 @@ STATE_SCHEMA = "revision long not null, operation string, publication string, me
 FILE_SCHEMA = "path string, length long"
 
 
-def read(spark: SparkSession, dataset: Dataset, pattern: str = "", schema: str | StructType | None = None, format: str = "parquet", **options: str) -> DataFrame:
+def read(
+    spark: SparkSession,
+    dataset: Dataset,
+    pattern: str = "",
+    schema: str | StructType | None = None,
+    format: str = "parquet",
+    **options: str,
+) -> DataFrame:
     """The rows of a dataset's files, with its partition columns.
 
     ``pattern`` is a glob inside the dataset, everything by default; filters on

@@ -10,7 +10,14 @@ from ..dataset import Dataset, require_quiescent
 from ..sources import publish
 
 
-def sink(dataset: Dataset, partition_by: list[str] | None = None, file: str = "batch", *, query: str | None = None, quiescent: bool) -> Callable[[DataFrame, int], None]:
+def sink(
+    dataset: Dataset,
+    partition_by: list[str] | None = None,
+    file: str = "batch",
+    *,
+    query: str | None = None,
+    quiescent: bool,
+) -> Callable[[DataFrame, int], None]:
     """A function for ``foreachBatch`` that adds each micro-batch as new files.
 
     The stream's id and the batch's number are part of the file names and of the
@@ -31,6 +38,15 @@ def sink(dataset: Dataset, partition_by: list[str] | None = None, file: str = "b
         if done.get(own, -1) >= batch_id:
             return
         metadata = {**state.metadata, "batches": {**done, own: batch_id}}
-        publish(spark, dataset, df, metadata=metadata, quiescent=quiescent, partition_by=partition_by, expected_revision=state.revision, file=f"{file}-{own}-{batch_id:010}")
+        publish(
+            spark,
+            dataset,
+            df,
+            metadata=metadata,
+            quiescent=quiescent,
+            partition_by=partition_by,
+            expected_revision=state.revision,
+            file=f"{file}-{own}-{batch_id:010}",
+        )
 
     return write
