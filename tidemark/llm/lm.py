@@ -106,10 +106,13 @@ def packed(values: np.ndarray, till: np.ndarray) -> pa.Array:
 
 def unpacked(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of a binary column's rows one after another, and where each row's begin and end."""
-    ends = np.frombuffer(values.buffers()[1], dtype="<i4")[values.offset : values.offset + len(values) + 1].astype(np.int64) // 4 if len(values) else np.zeros(1, np.int64)
-    raw = values.buffers()[2] if len(values) else None
-    ids = np.frombuffer(raw, dtype="<i4", count=ends[-1])[ends[0] :].astype(np.int64) if raw is not None and ends[-1] else np.zeros(0, np.int64)
-    return ids, ends - ends[0]
+    n = len(values)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    _, offsets, data = values.buffers()
+    ends = np.frombuffer(offsets, dtype="<i4", offset=4 * values.offset, count=n + 1).astype(np.int64) // 4
+    ids = np.frombuffer(data, dtype="<i4", offset=4 * ends[0], count=ends[-1] - ends[0]) if ends[-1] > ends[0] else np.zeros(0)
+    return ids.astype(np.int64), ends - ends[0]
 
 
 def encoded(counts: DataFrame, tokenizer: str) -> DataFrame:
@@ -209,7 +212,7 @@ class Head:
         word = got.column("word").to_numpy().view(np.uint64)
         order = np.argsort(word)
         self.word, self.logs = word[order], np.log10(got.column("n").to_numpy()[order] + 1.0)
-        pool, bounds = unpacked(got.column("ids"))
+        pool, bounds = unpacked(got.column("ids").combine_chunks())
         self.pool, till = gathered(pool, bounds, order)
         self.pool, self.bounds = self.pool.astype(np.int32), till
 
