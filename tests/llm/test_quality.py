@@ -20,6 +20,13 @@ def brute(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeat), failed
 
 
+@pytest.fixture(params=["broadcast", "shuffled"], autouse=True)
+def way(request, monkeypatch):
+    """Both ways of bringing frequent lines to their texts."""
+    if request.param == "shuffled":
+        monkeypatch.setattr(quality, "BROADCAST_ROWS", -1)
+
+
 TEXTS = [
     None,
     "",
@@ -84,3 +91,11 @@ def test_empty(spark):
     nulls = spark.createDataFrame([(None, None, None)], "doc_id long, text string, source string")
     assert [r.kept for r in quality.judged(nulls).collect()] == [False]
     assert quality.kept(nulls).count() == 0
+
+
+def test_any_names_and_empty_table(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text, None, "a", 2, "b", "c"), (None, text, "s", "a", 2, "b", "c")] * 2, "doc_id long, text string, source string, lists string, `new.text` int, document string, frequent string")
+    left = quality.kept(df)
+    assert left.columns == df.columns and sorted(map(str, left.collect())) == sorted(map(str, df.collect()))
+    assert quality.kept(df.limit(0)).count() == 0 and quality.judged(df.limit(0)).count() == 0

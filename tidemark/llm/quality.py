@@ -1,9 +1,11 @@
 """Quality rules: word and line statistics, and line frequency across a host's documents.
 
-Everything is built-in column functions. A first pass over the texts writes, for each
-row, its statistics and the hashes of its normalised lines. Lines that many distinct
-documents of a host share are found by counting hashes; a document most of whose words
-stand in such lines is rejected as depleted. Those that are kept lose such lines.
+Everything is built-in column functions. A first pass over the texts writes the hashes of
+each row's normalised lines. Lines that many distinct documents of a host share are found
+by counting hashes; a document most of whose words stand in such lines is rejected as
+depleted, and those that are kept lose such lines. As long as such lines are few enough to
+be broadcast, a second pass over the texts does all that where a text stands; else verdicts
+meet their documents in a shuffled join.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, passing, small, table, written
+from .common import BROADCAST_ROWS, WORD, small, table, written
 from .mixing import source_key
 
 #: Words of the windows whose repeats are counted.
@@ -80,10 +82,13 @@ def line_hashes(text: Column) -> Column:
     )
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: its doc_id, host key, text hash, base statistics and lines."""
-    rows = docs.select("doc_id", source_key(F.col("source")).alias("host"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.select("*", F.regexp_extract_all("text", F.lit(WORD), 0).alias("words"))
+def statistics(docs: DataFrame, *more: str) -> DataFrame:
+    """One row for each row of docs: its doc_id, host key, text hash, base statistics, lines, and columns named in ``more``."""
+    rows = docs.select("doc_id", source_key(F.col("source")).alias("host"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+    rows = rows.select(
+        "*",
+        F.regexp_extract_all("text", F.lit(WORD), 0).alias("words"),
+    )
     rows = rows.select(
         "*",
         window_hashes(F.col("words")).alias("windows"),
@@ -101,44 +106,68 @@ def statistics(docs: DataFrame) -> DataFrame:
         (F.size("real") - F.size(F.array_distinct("real"))).cast("long").alias("n_dup_lines"),
         repeat.alias("n_repeat_words"),
         line_hashes(F.col("text")).alias("lines"),
+        *more,
     )
-    return rows.select(
-        F.monotonically_increasing_id().alias("row"),
-        "*",
-        ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
-    )
+    return rows.select("*", ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"))
 
 
-def frequent_lines(rows: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """host, h of lines that more than max_docs distinct texts of the host have.
 
     A first count over all rows bounds the distinct ones from above; only lines above
     the limit there are counted by distinct text. Copies of a text count once.
     """
-    each = rows.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    hashes = F.array_distinct(F.transform(line_hashes(text), lambda x: x["h"]))
+    rows = docs.select(source_key(F.col("source")).alias("host"), F.xxhash64(text).alias("text_hash"), hashes.alias("hashes"))
+    rows = written(rows, "quality-lines", compression="lz4_raw")
+    each = rows.select("host", "text_hash", F.explode("hashes").alias("h"))
     many = written(each.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > max_docs).select("host", "h"), "lines-many")
     few = each.join(small(many), ["host", "h"]).groupBy("host", "h", "text_hash").agg(F.count("*").alias("n"))
     return few.groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("host", "h")
 
 
-def judged(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
+#: A host's frequent lines are dealt into so many lists by hash, one of which is searched for a line.
+LISTS = 256
+
+
+def _listed(common: DataFrame) -> DataFrame:
+    """One row for each host: its frequent lines in LISTS lists."""
+    at = F.pmod("h", F.lit(LISTS)).cast("int").alias("at")
+    parts = common.groupBy("host", at).agg(F.collect_list("h").alias("h")).groupBy("host").agg(F.collect_list(F.struct("at", "h")).alias("parts"))
+    one = lambda i: F.get(F.filter("parts", lambda x: x["at"] == i), 0)["h"]
+    return parts.select("host", F.transform(F.sequence(F.lit(0), F.lit(LISTS - 1)), one).alias("lists"))
+
+
+def _with_lost(docs: DataFrame, common: DataFrame, *more: str) -> DataFrame:
+    """statistics() with ``lost``, words in frequent lines, and ``frequent``, their hashes, null without any."""
+    none = F.lit(0).cast("long")
+    if common.count() <= BROADCAST_ROWS:
+        rows = statistics(docs, *more).join(F.broadcast(_listed(common)), "host", "left")
+        known = lambda x: F.array_contains(F.get(F.col("lists"), F.pmod(x["h"], F.lit(LISTS)).cast("int")), x["h"])
+        rows = rows.select("*", F.when(F.col("lists").isNotNull(), F.filter("lines", known)).alias("hits"))
+        lost = F.aggregate("hits", none, lambda a, x: a + x["w"])
+        frequent = F.when(F.size("hits") > 0, F.array_distinct(F.col("hits")["h"]))
+        return rows.select("*", F.coalesce(lost, none).alias("lost"), frequent.alias("frequent")).drop("lines", "lists", "hits")
+    rows = written(statistics(docs, *more).select(F.monotonically_increasing_id().alias("row"), "*"), "quality-rows", compression="zstd")
+    each = rows.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.h", "line.w")
+    lost = each.join(common, ["host", "h"]).groupBy("row").agg(F.sum("w").alias("lost"), F.collect_set("h").alias("frequent"))
+    rows = rows.drop("lines").join(lost, "row", "left")
+    return rows.withColumn("lost", F.coalesce("lost", none)).drop("row")
+
+
+def judged(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT, more: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs: doc_id, host, text_hash, statistics, words_left, kept,
-    and frequent: hashes of its lines above the limit, null without any.
+    and frequent: hashes of its lines above the limit, null without any; and columns in ``more``.
 
     Null and empty texts have no words and fail. Null sources are a host of their own.
-    Repeated rows give repeated rows with equal verdicts. Whatever other columns there
-    are, only doc_id, text and source are read.
+    Repeated rows give repeated rows with equal verdicts; an empty table gives none.
+    Whatever other columns there are, only doc_id, text, source and those in ``more`` are read.
     """
-    rows = written(statistics(docs), "quality-rows", compression="zstd")
-    common = written(frequent_lines(rows, max_docs), "lines-common")
-    each = rows.select("row", "host", F.explode("lines").alias("line")).select("row", "host", "line.h", "line.w")
-    lost = each.join(small(common), ["host", "h"]).groupBy("row").agg(F.sum("w").alias("lost"), F.collect_set("h").alias("frequent"))
-    out = rows.drop("lines").join(lost, "row", "left")
-    left = F.col("n_words") - F.coalesce(F.col("lost"), F.lit(0))
-    return out.withColumn("words_left", left).withColumn(
-        "kept",
-        ~F.col("base_failed") & (F.col("words_left") >= F.lit(min_left) * F.col("n_words")),
-    ).drop("row", "lost")
+    common = written(frequent_lines(docs, max_docs), "lines-common")
+    rows = _with_lost(docs, common, *more).withColumn("words_left", F.col("n_words") - F.col("lost"))
+    fine = ~F.col("base_failed") & (F.col("words_left") >= F.lit(min_left) * F.col("n_words"))
+    return rows.withColumn("kept", fine).drop("lost")
 
 
 def without(text: Column, frequent: Column) -> Column:
@@ -154,22 +183,17 @@ def kept(docs: DataFrame, **limits: float) -> DataFrame:
     exists. Null and empty texts have no words and go; repeated rows stay repeated, and
     columns of any name may stand beside.
     """
-    own, key, known = (fresh(docs, c) for c in ("row_key", "verdict_key", "verdict"))
-    host, text = source_key(F.col("source")), F.coalesce(F.col("text"), F.lit(""))
-    with passing(docs.sparkSession) as keep:
-        verdicts = judged(docs, **limits).where(~F.col("kept") | F.col("frequent").isNotNull())
-        verdicts = verdicts.select(
-            F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "host").alias(key),
-            F.struct("kept", "frequent").alias(known),
-        )
-        keep.append(written(verdicts.dropDuplicates([key]), "quality-verdicts"))
-    rows = docs.withColumn(own, F.struct(F.col("doc_id").alias("id"), F.xxhash64(text).alias("hash"), host.alias("host")))
-    out = rows.join(small(keep[0]), F.col(own) == F.col(key), "left").where(F.coalesce(F.col(known)["kept"], F.lit(True)))
-    gone = F.col(known)["frequent"]
-    new = {"text": F.when(gone.isNull(), F.col("text")).otherwise(without(F.col("text"), gone))}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(gone.isNull(), F.col("n_chars")).otherwise(F.length(new["text"])).cast(docs.schema["n_chars"].dataType)
-    return out.select(*(new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
+    names = docs.columns
+    whole = docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names))).alias("document"))
+    out = judged(whole, **limits, more=("document",)).where("kept")
+    old = {c: F.col("document")[f"c{i}"] for i, c in enumerate(names)}
+    gone = F.col("frequent")
+    # Bound once: the text is rebuilt where a line goes.
+    out = out.select("document", F.when(gone.isNotNull(), without(old["text"], gone)).alias("new"))
+    now = {"text": F.coalesce("new", old["text"])}
+    if "n_chars" in names:
+        now["n_chars"] = F.coalesce(F.length("new").cast(docs.schema["n_chars"].dataType), old["n_chars"])
+    return out.select(*(now.get(c, old[c]).alias(c) for c in names))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
