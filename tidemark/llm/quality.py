@@ -185,7 +185,8 @@ def kept(docs: DataFrame, **limits: float) -> DataFrame:
     """
     names = docs.columns
     whole = docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names))).alias("document"))
-    out = judged(whole, **limits, more=("document",)).where("kept")
+    # As one condition, which the optimizer neither splits nor moves to where it would compute statistics anew for each use.
+    out = judged(whole, **limits, more=("document",)).where(F.element_at(F.transform(F.array("kept"), lambda x: x), 1))
     old = {c: F.col("document")[f"c{i}"] for i, c in enumerate(names)}
     gone = F.col("frequent")
     # Bound once: the text is rebuilt where a line goes.
