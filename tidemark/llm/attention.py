@@ -252,13 +252,16 @@ class Shard:
         size = self.batch * WINDOW
         at = 0
         while len(joined) - at > size:
-            self._step(joined, at + WINDOW * np.arange(self.batch))
+            self._step(self._windows(joined, at + WINDOW * np.arange(self.batch)))
             at += size
+        self.seen += np.bincount(joined[:at], minlength=len(self.seen))
         self.rest = joined[at:].copy()
 
-    def _step(self, joined: np.ndarray, start: np.ndarray) -> None:
-        window = joined[start[:, None] + np.arange(WINDOW + 1)]
-        self.seen += np.bincount(window[:, :-1].reshape(-1), minlength=len(self.seen))
+    @staticmethod
+    def _windows(joined: np.ndarray, start: np.ndarray) -> np.ndarray:
+        return joined[start[:, None] + np.arange(WINDOW + 1)]
+
+    def _step(self, window: np.ndarray) -> None:
         self.trainer.step(window, self.rate / (1 + self.trainer.steps / 300))
 
     def done(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -266,7 +269,9 @@ class Shard:
         if len(self.rest) > 1:
             joined = np.concatenate([self.rest, np.full(max(0, WINDOW + 1 - len(self.rest)), self.end)])
             # The last window ends with the last id, so a few before it may be predicted again.
-            self._step(joined, np.minimum(np.arange(0, len(self.rest) - 1, WINDOW), len(joined) - WINDOW - 1))
+            window = self._windows(joined, np.minimum(np.arange(0, len(self.rest) - 1, WINDOW), len(joined) - WINDOW - 1))
+            self._step(window)
+            self.seen += np.bincount(window[:, :-1].reshape(-1), minlength=len(self.seen))
             self.rest = self.rest[-1:]
         values = flat(self.trainer.weights)
         weight = np.concatenate([self.seen, np.full(len(values) - len(self.seen), self.seen.sum())])
