@@ -126,6 +126,7 @@ def _passages(docs: DataFrame, least: int) -> DataFrame:
     cut = written(chunks(docs), "chunks", compression="lz4_raw")
     # Half a digest finds what may repeat, a small part; the rest compares whole digests.
     maybe = cut.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("digest")
+    maybe = small(written(maybe, "maybe"))  # a plain table, so that Spark can split the join on a digest that is everywhere
     again = written(cut.join(maybe, "digest"), "repeats", compression="lz4_raw")
     place = F.struct("doc_id", "text_hash", "start")
     first = small(written(again.groupBy("digest", "digest2").agg(F.min(place).alias("first")), "firsts"))
