@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -137,6 +138,54 @@ def test_gradients():
             assert g[at] == pytest.approx((up - down) / 2e-4, abs=2e-4)
 
 
+def test_gradients_hold_few_windows_at_a_time():
+    """What a step needs beside its inputs' rows doesn't grow with its windows, and fits a core's cache."""
+    r = np.random.default_rng(1)
+    w, n = attention.fresh(2000), 512
+    ids, kind = r.integers(0, 2000, (n, attention.WINDOW)), r.integers(0, attention.CLASSES, (n, attention.WINDOW))
+    rows = ids.size * attention.DIM * w.embed.itemsize
+    tracemalloc.start()
+    try:
+        attention.gradients(w, ids, kind)
+        assert tracemalloc.get_traced_memory()[1] < 5 * rows
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("times", [1, 12])
+def test_gradients_add_up_over_windows(times):
+    """Also where exponentials leave their range."""
+    r = np.random.default_rng(5)
+    w, n = attention.fresh(20), 70
+    w.qkv *= np.float32(times)
+    w.top *= np.float32(times * times)
+    ids, kind = r.integers(0, 20, (n, attention.WINDOW)), r.integers(0, attention.CLASSES, (n, attention.WINDOW))
+    loss, grads, known, d_embed = attention.gradients(w, ids, kind)
+    wide = attention.Weights(*[p.astype(np.float64) for p in w.parts()])
+    each = [attention.gradients(wide, ids[i : i + 1], kind[i : i + 1]) for i in range(n)]
+    assert loss == pytest.approx(np.mean([x[0] for x in each]), rel=1e-4)
+    for i, g in enumerate(grads):
+        want = np.mean([x[1][i] for x in each], axis=0)
+        assert np.allclose(g, want, atol=1e-4 * np.abs(want).max())
+    full = np.zeros((len(w.embed), attention.DIM))
+    for x in each:
+        full[x[2]] += x[3] / n
+    assert np.allclose(d_embed, full[known], atol=1e-4 * np.abs(full).max())
+
+
+def test_scores_where_exponentials_leave_their_range():
+    r = np.random.default_rng(6)
+    model = attention.fit([r.integers(0, 50, 400) for _ in range(5)], 50, steps=20, batch=8)
+    model.weights.qkv *= np.float32(20)
+    x = model.weights.embed[:-1] @ model.weights.qkv[:, : 2 * attention.DIM]
+    assert np.abs(x[:, : attention.DIM] @ x[:, attention.DIM :].T).max() / math.sqrt(attention.DIM) > 100
+    texts = [r.integers(0, 50, n) for n in (0, 1, 31, 56, 200)]
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = model.log_probs(np.concatenate(texts), ends)
+    wide = attention.Model(attention.Weights(*[p.astype(np.float64) for p in model.weights.parts()]), model.kind, model.share)
+    assert np.allclose(got, [one_by_one(wide, t.tolist()) for t in texts], rtol=1e-3)
+
+
 def test_model_learns_order():
     """A held-out text of the same chain is likelier than by its ids' counts alone."""
     r = np.random.default_rng(2)

@@ -9,17 +9,17 @@ streams into overlapping windows, in which each id is scored once.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 
 #: Width of the model, ids of a window, ids by which windows move on, and classes.
 DIM, WINDOW, STEP, CLASSES = 16, 32, 24, 48
 
-#: Windows that are scored at a time.
-WINDOWS_AT_ONCE = 128
+#: Windows that are scored, and trained, at a time: few, so that a core's cache holds what they need.
+WINDOWS_AT_ONCE, BLOCK = 64, 32
 
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, dtype=np.float32), 1)
+_SEEN = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))
 
 
 @dataclass
@@ -47,15 +47,6 @@ class Model:
     def end(self) -> int:
         return len(self.kind) - 1
 
-    @cached_property
-    def bound(self) -> float:
-        """What no attention score or logit exceeds in size; small ones need no maximum taken off."""
-        w = self.weights
-        longest = lambda m: float(np.sqrt((m.astype(np.float64) ** 2).sum(axis=1).max()))
-        q, k, v = (longest(w.embed @ m) + longest(w.place @ m) for m in np.split(w.qkv, 3, axis=1))
-        hidden = longest(w.embed) + longest(w.place) + v * float(np.linalg.norm(w.out))
-        return max(q * k / DIM**0.5, hidden * float(np.linalg.norm(w.top, axis=0).max()) + float(np.abs(w.bias).max()))
-
     def log_probs(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Natural log probability of each stream ids[ends[i]:ends[i + 1]], its end included."""
         length = np.diff(ends) + 1
@@ -74,33 +65,45 @@ class Model:
 
     def _windows(self, stream: np.ndarray, start: np.ndarray, till: np.ndarray, skip: int, which: np.ndarray, n: int) -> np.ndarray:
         """Sums by ``which`` of the log probabilities behind each window's inputs from ``skip`` on, up to ``till``."""
-        w, total = self.weights, np.zeros(n)
-        safe = self.bound < 60
-        queries, others = np.ascontiguousarray(w.qkv[:, :DIM] * np.float32(DIM**-0.5)), np.ascontiguousarray(w.qkv[:, DIM:])
-        inputs, outputs = np.arange(WINDOW), np.arange(skip, WINDOW)
+        w, total = self.weights, np.zeros(len(start))
+        qkv, top = w.qkv.copy(), np.concatenate([w.top, w.bias[None]])
+        qkv[:, :DIM] *= np.float32(DIM**-0.5)
+        outputs = np.arange(skip, WINDOW)
         for i in range(0, len(start), WINDOWS_AT_ONCE):
             s, t = start[i : i + WINDOWS_AT_ONCE, None], till[i : i + WINDOWS_AT_ONCE, None]
-            x = w.embed[stream[np.minimum(s + inputs, len(stream) - 1)]] + w.place
-            asked = np.ascontiguousarray(x[:, skip:]).reshape(-1, DIM)
-            kv = (x.reshape(-1, DIM) @ others).reshape(*x.shape[:2], 2 * DIM)
-            scores = np.matmul((asked @ queries).reshape(len(s), -1, DIM), kv[..., :DIM].transpose(0, 2, 1))
-            scores += _MASK[skip:]
-            if not safe:
-                scores -= scores.max(axis=2, keepdims=True)
-            np.exp(scores, out=scores)
-            y = np.matmul(scores, kv[..., DIM:])
-            y /= scores.sum(axis=2, keepdims=True)
-            logits = (asked + y.reshape(-1, DIM) @ w.out) @ w.top
-            logits += w.bias
-            if not safe:
-                logits -= logits.max(axis=1, keepdims=True)
-            target = stream[np.minimum(s + outputs + 1, len(stream) - 1)].reshape(-1)
-            picked = logits[np.arange(len(target)), self.kind[target]]
-            np.exp(logits, out=logits)
-            found = (picked - np.log(logits.sum(axis=1)) + self.share[target]).reshape(len(s), -1)
+            ids = stream.take(np.minimum(s + np.arange(WINDOW + 1), len(stream) - 1))
+            with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                found = self._found(ids, skip, qkv, top)
             found[s + outputs >= t] = 0
-            total += np.bincount(which[i : i + WINDOWS_AT_ONCE], weights=found.sum(axis=1, dtype=np.float64), minlength=n)
-        return total
+            total[i : i + WINDOWS_AT_ONCE] = found.sum(axis=1, dtype=np.float64)
+        return np.bincount(which, weights=total, minlength=n)
+
+    def _found(self, ids: np.ndarray, skip: int, qkv: np.ndarray, top: np.ndarray) -> np.ndarray:
+        """Log probabilities behind the inputs of a few windows."""
+        w, ones = self.weights, np.ones(CLASSES, np.float32)
+        x = w.embed.take(ids[:, :-1], axis=0)
+        x += w.place
+        qkvs = (x.reshape(-1, DIM) @ qkv).reshape(len(ids), WINDOW, 3 * DIM)
+        q, k = qkvs[:, skip:, :DIM], qkvs[..., DIM : 2 * DIM]
+        a = np.matmul(q, k.transpose(0, 2, 1).copy())
+        np.exp(a, out=a)
+        a *= _SEEN[skip:]
+        total = a.reshape(-1, WINDOW) @ ones[:WINDOW]
+        if len(odd := _outside(total)):
+            _mended(a.reshape(-1, WINDOW), total, odd, _asked(q, k, odd))
+        y = np.matmul(a, qkvs[..., 2 * DIM :])
+        y /= total.reshape(*y.shape[:2], 1)
+        h = np.empty((len(total), DIM + 1), np.float32)
+        h[:, DIM] = 1
+        np.add(x[:, skip:], (y.reshape(-1, DIM) @ w.out).reshape(y.shape), out=h[:, :DIM].reshape(y.shape))
+        p = h @ top
+        target = ids[:, skip + 1 :].reshape(-1)
+        picked = p.take(np.arange(len(target)) * CLASSES + self.kind.take(target))
+        np.exp(p, out=p)
+        mass = p @ ones
+        if len(odd := _outside(mass)):
+            picked[odd] -= _mended(p, mass, odd, h[odd] @ top)
+        return (picked - np.log(mass) + self.share.take(target)).reshape(len(ids), -1)
 
 
 def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,66 +116,109 @@ def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kind, (np.log(n) - np.log(np.bincount(kind, weights=n, minlength=CLASSES)[kind])).astype(np.float32)
 
 
-def _weighed(scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Exponentials of the last axis and their sums: shares but for the division.
+def _outside(total: np.ndarray) -> np.ndarray:
+    """Rows where sums of exponentials left the range in which they are shares but for the division."""
+    return np.flatnonzero(~((total > 1e-15) & (total < 1e15)))
 
-    Maxima are taken off only where the sums show that the exponentials left their range.
-    """
-    with np.errstate(over="ignore"):
-        raw = np.exp(scores)
-        total = raw.sum(axis=-1, keepdims=True)
-    if not 1e-15 < total.min() <= total.max() < 1e15:
-        raw = np.exp(scores - scores.max(axis=-1, keepdims=True))
-        total = raw.sum(axis=-1, keepdims=True)
-    return raw, total
+
+def _mended(raw: np.ndarray, total: np.ndarray, rows: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Exponentials and sums of some rows are made anew from scores less their maxima, which are returned."""
+    most = scores.max(axis=1)
+    raw[rows] = again = np.exp(scores - most[:, None])
+    total[rows] = again.sum(axis=1)
+    return most
+
+
+def _asked(q: np.ndarray, k: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Attention scores of some rows of the last queries of windows, counted through."""
+    which, place = np.divmod(rows, q.shape[1])
+    return np.matmul(k[which], q[which, place][..., None])[..., 0] + _MASK[place + WINDOW - q.shape[1]]
 
 
 def gradients(w: Weights, ids: np.ndarray, kind: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray, np.ndarray]:
-    """Mean loss of windows, gradients of all weights but embed, and embed's by id of the windows.
+    """Mean loss of windows, gradients of all weights but embed, and embed's by id of the windows."""
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        found, dx, sums = _passes(w, ids, kind)
+    # Sorted with their places behind them, which is faster than an order of the places.
+    flat_ids = ids.reshape(-1).astype(np.int64)
+    place = max(1, (len(flat_ids) - 1).bit_length())
+    both = np.sort(flat_ids << place | np.arange(len(flat_ids)))
+    sorted_ids = both >> place
+    first = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
+    d_embed = np.add.reduceat(dx.take(both & (1 << place) - 1, axis=0), first, axis=0)
+    d_qkv, d_out, d_top = sums
+    loss = float(-np.log(found + 1e-30).mean())
+    return loss, [dx.reshape(ids.shape + (DIM,)).sum(axis=0), d_qkv, d_out, d_top[:-1], d_top[-1]], sorted_ids[first], d_embed
+
 
-    Attention shares are never divided out: what stands behind them is scaled instead,
-    which is as wide as the model and not as the window.
+def _passes(w: Weights, ids: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The ids' probabilities, and gradients of inputs and weights.
+
+    A few windows are passed at a time, so that what stands between the products stays in
+    a core's cache. Neither attention shares nor probabilities are divided out: what stands
+    beside them is scaled instead, which is as wide as the model and no wider. Maxima are
+    taken off before exponentials only in rows whose sums left their range.
     """
-    x = w.embed[ids]
-    x += w.place
-    flat_x = x.reshape(-1, DIM)
-    scale = w.qkv.dtype.type(DIM**-0.5)
-    q, k, v = (np.ascontiguousarray(flat_x @ m).reshape(x.shape) for m in (w.qkv[:, :DIM] * scale, w.qkv[:, DIM : 2 * DIM], w.qkv[:, 2 * DIM :]))
-    a = np.matmul(q, k.transpose(0, 2, 1))
-    a += _MASK
-    a, total = _weighed(a)
-    y = np.matmul(a, v)
-    y /= total
-    h = flat_x + y.reshape(-1, DIM) @ w.out
-    logits = h @ w.top
-    logits += w.bias
-    p, mass = _weighed(logits)
-    n, right = len(h), kind.reshape(-1)
-    each = np.arange(n)
-    loss = float(-np.log(p[each, right] / mass[:, 0] + 1e-30).mean())
-    p /= mass * w.qkv.dtype.type(n)
-    p[each, right] -= w.qkv.dtype.type(1 / n)
-    d_top, d_bias = h.T @ p, p.sum(axis=0)
-    dh = p @ w.top.T
-    dy = (dh @ w.out.T).reshape(x.shape)
-    d_out = y.reshape(-1, DIM).T @ dh
-    own = np.einsum("bwd,bwd->bw", dy, y)[..., None] / total
-    dy /= total
-    dv = np.matmul(a.transpose(0, 2, 1), dy)
-    ds = np.matmul(dy, v.transpose(0, 2, 1))
-    ds -= own
-    ds *= a
-    parts = [np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), dv]
-    parts[0] *= scale
-    dqkv = np.concatenate(parts, axis=2).reshape(-1, 3 * DIM)
-    d_qkv = flat_x.T @ dqkv
-    dx = dqkv @ w.qkv.T
-    dx += dh
-    order = np.argsort(ids.reshape(-1), kind="stable")
-    sorted_ids = ids.reshape(-1)[order]
-    first = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
-    d_embed = np.add.reduceat(dx[order], first, axis=0)
-    return loss, [dx.reshape(x.shape).sum(axis=0), d_qkv, d_out, d_top, d_bias], sorted_ids[first], d_embed
+    real, size = w.embed.dtype.type, ids.size
+    qkv, top = w.qkv.copy(), np.concatenate([w.top, w.bias[None]])
+    qkv[:, :DIM] *= real(DIM**-0.5)
+    back_qkv, back_out, back_top = (np.ascontiguousarray(m.T) for m in (qkv, w.out, w.top))
+    seen, ones = _SEEN.astype(real, copy=False), np.ones(CLASSES, real)
+    every = w.embed.take(ids, axis=0)
+    every += w.place
+    dx, found = np.empty((size, DIM), real), np.empty(size, real)
+    sums = [np.zeros_like(qkv), np.zeros_like(w.out), np.zeros_like(top)]
+    targets = np.arange(size) % (BLOCK * WINDOW) * CLASSES + kind.reshape(-1)
+    for i in range(0, len(ids), BLOCK):
+        x = every[i : i + BLOCK]
+        here = slice(i * WINDOW, (i + len(x)) * WINDOW)
+        flat_x, target, n = x.reshape(-1, DIM), targets[here], len(x) * WINDOW
+        qkvs = (flat_x @ qkv).reshape(-1, WINDOW, 3 * DIM)
+        q, k, v = qkvs[..., :DIM], qkvs[..., DIM : 2 * DIM], qkvs[..., 2 * DIM :]
+        a = np.matmul(q, k.transpose(0, 2, 1).copy())
+        np.exp(a, out=a)
+        a *= seen
+        total = a.reshape(n, WINDOW) @ ones[:WINDOW]
+        if len(odd := _outside(total)):
+            _mended(a.reshape(n, WINDOW), total, odd, _asked(q, k, odd))
+        total = total.reshape(-1, WINDOW, 1)
+        y = np.matmul(a, v)
+        y /= total
+        flat_y = y.reshape(n, DIM)
+        h = np.empty((n, DIM + 1), real)
+        h[:, DIM] = 1
+        np.add(flat_x, flat_y @ w.out, out=h[:, :DIM])
+        p = h @ top
+        np.exp(p, out=p)
+        mass = p @ ones
+        if len(odd := _outside(mass)):
+            _mended(p, mass, odd, h[odd] @ top)
+        flat_p = p.reshape(-1)
+        picked = flat_p.take(target)
+        np.divide(picked, mass, out=found[here])
+        picked -= mass
+        flat_p[target] = picked
+        share = (1 / (mass * real(size)))[:, None]
+        h *= share
+        sums[2] += h.T @ p
+        dh = p @ back_top
+        dh *= share
+        sums[1] += flat_y.T @ dh
+        dy = (dh @ back_out).reshape(y.shape)
+        dy /= total
+        y *= dy
+        ds = np.matmul(dy, v.transpose(0, 2, 1).copy())
+        ds -= (flat_y @ ones[:DIM]).reshape(total.shape)
+        ds *= a
+        each = np.empty_like(qkvs)
+        np.matmul(ds, k, out=each[..., :DIM])
+        np.matmul(ds.transpose(0, 2, 1), q, out=each[..., DIM : 2 * DIM])
+        np.matmul(a.transpose(0, 2, 1), dy, out=each[..., 2 * DIM :])
+        flat_each = each.reshape(n, 3 * DIM)
+        sums[0] += flat_x.T @ flat_each
+        np.add(flat_each @ back_qkv, dh, out=dx[here])
+    sums[0][:, :DIM] *= real(DIM**-0.5)
+    return found, dx, sums
 
 
 def fresh(vocabulary: int, seed: int = 0) -> Weights:
@@ -193,18 +239,29 @@ class Trainer:
 
     def __init__(self, weights: Weights, kind: np.ndarray):
         self.weights, self.kind, self.steps = weights, kind, 0
-        self.first = [np.zeros_like(p) for p in weights.parts()]
-        self.second = [np.zeros_like(p) for p in weights.parts()]
+        # Moments of embed, and of all others one after another.
+        self.first, self.second = ([np.zeros_like(weights.embed), np.zeros(sum(p.size for p in weights.parts()[1:]), weights.embed.dtype)] for _ in range(2))
 
     def step(self, window: np.ndarray, rate: float) -> None:
         """One step by windows of WINDOW + 1 ids."""
         self.steps += 1
-        step, first, second = self.steps, self.first, self.second
         _, grads, known, d_embed = gradients(self.weights, window[:, :-1], self.kind[window[:, 1:]])
-        for i, (p, g, at) in enumerate(zip(self.weights.parts(), [d_embed, *grads], [known, *[slice(None)] * 5], strict=True)):
-            first[i][at] = 0.9 * first[i][at] + 0.1 * g
-            second[i][at] = 0.99 * second[i][at] + 0.01 * g * g
-            p[at] -= (rate * (first[i][at] / (1 - 0.9**step)) / (np.sqrt(second[i][at] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        self.weights.embed[known] -= self._moved(0, known, d_embed, rate)
+        moved, at = self._moved(1, slice(None), np.concatenate([g.reshape(-1) for g in grads]), rate), 0
+        for p in self.weights.parts()[1:]:
+            p -= moved[at : at + p.size].reshape(p.shape)
+            at += p.size
+
+    def _moved(self, i: int, at: np.ndarray | slice, grad: np.ndarray, rate: float) -> np.ndarray:
+        first = 0.9 * self.first[i][at] + 0.1 * grad
+        second = 0.99 * self.second[i][at] + 0.01 * grad * grad
+        self.first[i][at], self.second[i][at] = first, second
+        first *= rate / (1 - 0.9**self.steps)
+        second /= 1 - 0.99**self.steps
+        np.sqrt(second, out=second)
+        second += 1e-8
+        first /= second
+        return first
 
 
 def fit(
