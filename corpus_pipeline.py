@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from tidemark.llm import mixing, neardup, pii, quality, subword
 from tidemark.llm.common import table, written
 
+#: Bytes of text that a worker gets at a time for subword ids. Executor and worker hold
+#: a batch several times over, and Spark's own limit lets a whole task's text be one.
+PIECES_BATCH = "2m"
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents of a host share go, and documents that fail the rules or have little else.
@@ -52,16 +56,18 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and size and digest of what they decode to, for each row taken.
 
     A null or empty text has no ids; repeated rows give repeated rows, an empty table none.
+    The rows are written, as the limit of a batch holds only for a job that is run here.
     """
     out = subword.encode_pieces(docs.select("doc_id", "text"))
     decoded = F.col("decoded")
-    return out.select(
+    out = out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         "ids",
         F.length(decoded).cast("long").alias("decoded_chars"),
         F.sha2(decoded.cast("binary"), 256).alias("decoded_sha256"),
     )
+    return written(out, "subword-ids", batch=PIECES_BATCH)
 
 
 STAGES = [

@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("sentencepiece")
@@ -71,3 +72,21 @@ def test_stages_equal_brute_force(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_ids_are_made_from_small_batches(spark, tmp_path, monkeypatch):
+    """Not from a whole task's text at once, whoever runs the job on the result."""
+
+    def sizes(docs):
+        def run(batches):
+            for b in batches:
+                n = b.num_rows
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[b.nbytes]] * n, pa.list_(pa.int32())), pa.array([""] * n)], names=["doc_id", "ids", "decoded"])
+
+        return docs.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+
+    monkeypatch.setattr(subword, "encode_pieces", sizes)
+    docs = spark.range(1000).coalesce(1).selectExpr("id AS doc_id", "repeat('word ', 4000) AS text")
+    got = corpus_pipeline.pieces(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1000))
+    assert max(r.ids[0] for r in got) < 3_000_000

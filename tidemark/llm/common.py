@@ -79,14 +79,15 @@ def passing(spark: SparkSession) -> Iterator[list[DataFrame]]:
             _made.remove(item)
 
 
-def written(df: DataFrame, label: str, **options: str) -> DataFrame:
+def written(df: DataFrame, label: str, batch: str = BATCH_BYTES, **options: str) -> DataFrame:
     """Cut the lineage: write a table to the shared folder and read it back.
 
     The table survives lost executors, so later passes don't compute it again.
+    Python workers get ``batch`` bytes at a time, or one row.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES):
+    with setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", batch):
         df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidemark_path = path
