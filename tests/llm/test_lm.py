@@ -5,7 +5,9 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
@@ -173,6 +175,26 @@ def test_gradients_add_up_over_windows(times):
     assert np.allclose(d_embed, full[known], atol=1e-4 * np.abs(full).max())
 
 
+def test_sums_within_range_are_not_made_anew(monkeypatch):
+    """Attention sums up to some 1e20 need no second pass, in training or in scoring."""
+    r = np.random.default_rng(7)
+    texts = [r.integers(0, 20, n) for n in (0, 31, 200, 900)]
+    model = attention.fit(texts, 20, steps=20, batch=8)
+    w = model.weights
+    x = w.embed[:, None] + w.place
+    q, k = (x.reshape(-1, attention.DIM) @ w.qkv[:, i * attention.DIM : (i + 1) * attention.DIM] for i in range(2))
+    w.qkv *= np.float32(math.sqrt(45 / (np.abs(q @ k.T).max() / math.sqrt(attention.DIM))))
+    monkeypatch.setattr(attention, "_mended", lambda *_: pytest.fail("rows were made anew"))
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = model.log_probs(np.concatenate(texts), ends)
+    wide = attention.Weights(*[p.astype(np.float64) for p in w.parts()])
+    assert np.allclose(got, [one_by_one(attention.Model(wide, model.kind, model.share), t.tolist()) for t in texts], rtol=1e-4)
+    ids, kind = r.integers(0, 20, (40, attention.WINDOW)), r.integers(0, attention.CLASSES, (40, attention.WINDOW))
+    narrow, want = attention.gradients(w, ids, kind), attention.gradients(wide, ids, kind)
+    for g, h in zip([*narrow[1], narrow[3]], [*want[1], want[3]], strict=True):
+        assert np.allclose(g, h, atol=1e-4 * np.abs(h).max())
+
+
 def test_scores_where_exponentials_leave_their_range():
     r = np.random.default_rng(6)
     model = attention.fit([r.integers(0, 50, 400) for _ in range(5)], 50, steps=20, batch=8)
@@ -203,6 +225,25 @@ def test_model_learns_order():
     assert model.log_probs(text, np.array([0, len(text)]))[0] > alone + 100
 
 
+def test_words_leave_arrow_without_a_scalar_each():
+    """Hashes of Arrow's words are those of their strings, in a slice as well."""
+    texts = ["the", "", "ÉCLAIR", "a\x00b", "日本語", "z" * 5000, "the"]
+    every = pa.array(texts)
+    for part, want in ((every, texts), (every.slice(2, 3), texts[2:5]), (every.slice(0, 0), [])):
+        assert lm.strings(part) == want
+        assert lm.hashes(part).tolist() == [xxhash.xxh3_64_intdigest(w) for w in want]
+
+
+def test_head_finds_words_in_any_order():
+    r = np.random.default_rng(8)
+    head = object.__new__(lm.Head)
+    head.word = np.unique(r.integers(0, 2**63, 50, dtype=np.uint64) * 2)
+    asked = r.permutation(np.concatenate([head.word[::3], head.word[::7] + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)]))
+    at, found = head.find(asked)
+    assert found.tolist() == np.isin(asked, head.word).tolist()
+    assert (head.word[at[found]] == asked[found]).all()
+
+
 def test_packed_and_unpacked():
     rows = [[1, 2, 3], [], [50_000], [7] * 100, []]
     till = np.concatenate([[0], np.cumsum([len(r) for r in rows])])

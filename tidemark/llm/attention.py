@@ -20,6 +20,7 @@ WINDOWS_AT_ONCE, BLOCK = 64, 32
 
 _MASK = np.triu(np.full((WINDOW, WINDOW), -1e9, dtype=np.float32), 1)
 _SEEN = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32))
+_NONE = np.zeros(0, dtype=np.int64)
 
 
 @dataclass
@@ -66,36 +67,35 @@ class Model:
     def _windows(self, stream: np.ndarray, start: np.ndarray, till: np.ndarray, skip: int, which: np.ndarray, n: int) -> np.ndarray:
         """Sums by ``which`` of the log probabilities behind each window's inputs from ``skip`` on, up to ``till``."""
         w, total = self.weights, np.zeros(len(start))
-        qkv, top = w.qkv.copy(), np.concatenate([w.top, w.bias[None]])
-        qkv[:, :DIM] *= np.float32(DIM**-0.5)
+        both, top = _folded(w), np.concatenate([w.top, w.bias[None]])
         outputs = np.arange(skip, WINDOW)
         for i in range(0, len(start), WINDOWS_AT_ONCE):
             s, t = start[i : i + WINDOWS_AT_ONCE, None], till[i : i + WINDOWS_AT_ONCE, None]
             ids = stream.take(np.minimum(s + np.arange(WINDOW + 1), len(stream) - 1))
             with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
-                found = self._found(ids, skip, qkv, top)
+                found = self._found(ids, skip, both, top)
             found[s + outputs >= t] = 0
             total[i : i + WINDOWS_AT_ONCE] = found.sum(axis=1, dtype=np.float64)
         return np.bincount(which, weights=total, minlength=n)
 
-    def _found(self, ids: np.ndarray, skip: int, qkv: np.ndarray, top: np.ndarray) -> np.ndarray:
+    def _found(self, ids: np.ndarray, skip: int, both: np.ndarray, top: np.ndarray) -> np.ndarray:
         """Log probabilities behind the inputs of a few windows."""
         w, ones = self.weights, np.ones(CLASSES, np.float32)
         x = w.embed.take(ids[:, :-1], axis=0)
         x += w.place
-        qkvs = (x.reshape(-1, DIM) @ qkv).reshape(len(ids), WINDOW, 3 * DIM)
-        q, k = qkvs[:, skip:, :DIM], qkvs[..., DIM : 2 * DIM]
-        a = np.matmul(q, k.transpose(0, 2, 1).copy())
+        uv = (x.reshape(-1, DIM) @ both).reshape(len(ids), WINDOW, 2 * DIM)
+        u = uv[:, skip:, :DIM]
+        a = np.matmul(u, x.transpose(0, 2, 1).copy())
         np.exp(a, out=a)
         a *= _SEEN[skip:]
         total = a.reshape(-1, WINDOW) @ ones[:WINDOW]
         if len(odd := _outside(total)):
-            _mended(a.reshape(-1, WINDOW), total, odd, _asked(q, k, odd))
-        y = np.matmul(a, qkvs[..., 2 * DIM :])
+            _mended(a.reshape(-1, WINDOW), total, odd, _asked(u, x, odd))
+        y = np.matmul(a, uv[..., DIM:])
         y /= total.reshape(*y.shape[:2], 1)
         h = np.empty((len(total), DIM + 1), np.float32)
         h[:, DIM] = 1
-        np.add(x[:, skip:], (y.reshape(-1, DIM) @ w.out).reshape(y.shape), out=h[:, :DIM].reshape(y.shape))
+        np.add(x[:, skip:], y, out=h[:, :DIM].reshape(y.shape))
         p = h @ top
         target = ids[:, skip + 1 :].reshape(-1)
         picked = p.take(np.arange(len(target)) * CLASSES + self.kind.take(target))
@@ -118,7 +118,9 @@ def classes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _outside(total: np.ndarray) -> np.ndarray:
     """Rows where sums of exponentials left the range in which they are shares but for the division."""
-    return np.flatnonzero(~((total > 1e-15) & (total < 1e15)))
+    if total.min() > 1e-25 and total.max() < 1e25:
+        return _NONE
+    return np.flatnonzero(~((total > 1e-25) & (total < 1e25)))
 
 
 def _mended(raw: np.ndarray, total: np.ndarray, rows: np.ndarray, scores: np.ndarray) -> np.ndarray:
@@ -137,6 +139,12 @@ def _asked(q: np.ndarray, k: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def gradients(w: Weights, ids: np.ndarray, kind: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray, np.ndarray]:
     """Mean loss of windows, gradients of all weights but embed, and embed's by id of the windows."""
+    found, *rest = _gradients(w, ids, kind)
+    return float(-np.log(found + 1e-30).mean()), *rest
+
+
+def _gradients(w: Weights, ids: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """The same, with the ids' probabilities instead of the loss."""
     with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
         found, dx, sums = _passes(w, ids, kind)
     # Sorted with their places behind them, which is faster than an order of the places.
@@ -147,8 +155,20 @@ def gradients(w: Weights, ids: np.ndarray, kind: np.ndarray) -> tuple[float, lis
     first = np.flatnonzero(np.concatenate([[True], sorted_ids[1:] != sorted_ids[:-1]]))
     d_embed = np.add.reduceat(dx.take(both & (1 << place) - 1, axis=0), first, axis=0)
     d_qkv, d_out, d_top = sums
-    loss = float(-np.log(found + 1e-30).mean())
-    return loss, [dx.reshape(ids.shape + (DIM,)).sum(axis=0), d_qkv, d_out, d_top[:-1], d_top[-1]], sorted_ids[first], d_embed
+    return found, [dx.reshape(ids.shape + (DIM,)).sum(axis=0), d_qkv, d_out, d_top[:-1], d_top[-1]], sorted_ids[first], d_embed
+
+
+def _folded(w: Weights) -> np.ndarray:
+    """The queries' and keys' product, scaled, beside the values' and outputs': attention by inputs alone."""
+    q, k, v = w.qkv[:, :DIM], w.qkv[:, DIM : 2 * DIM], w.qkv[:, 2 * DIM :]
+    return np.concatenate([q @ k.T * w.qkv.dtype.type(DIM**-0.5), v @ w.out], axis=1)
+
+
+def _unfolded(w: Weights, d_both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of qkv and out from those of what ``_folded`` makes of them."""
+    q, k, v = w.qkv[:, :DIM], w.qkv[:, DIM : 2 * DIM], w.qkv[:, 2 * DIM :]
+    d_scores, d_values = d_both[:, :DIM] * w.qkv.dtype.type(DIM**-0.5), d_both[:, DIM:]
+    return np.concatenate([d_scores @ k, d_scores.T @ q, d_values @ w.out.T], axis=1), v.T @ d_values
 
 
 def _passes(w: Weights, ids: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -160,34 +180,33 @@ def _passes(w: Weights, ids: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray,
     taken off before exponentials only in rows whose sums left their range.
     """
     real, size = w.embed.dtype.type, ids.size
-    qkv, top = w.qkv.copy(), np.concatenate([w.top, w.bias[None]])
-    qkv[:, :DIM] *= real(DIM**-0.5)
-    back_qkv, back_out, back_top = (np.ascontiguousarray(m.T) for m in (qkv, w.out, w.top))
+    both, top = _folded(w), np.concatenate([w.top, w.bias[None]])
+    back, back_top = np.ascontiguousarray(both.T), np.ascontiguousarray(w.top.T)
     seen, ones = _SEEN.astype(real, copy=False), np.ones(CLASSES, real)
     every = w.embed.take(ids, axis=0)
     every += w.place
     dx, found = np.empty((size, DIM), real), np.empty(size, real)
-    sums = [np.zeros_like(qkv), np.zeros_like(w.out), np.zeros_like(top)]
+    d_both, d_top = np.zeros_like(both), np.zeros_like(top)
     targets = np.arange(size) % (BLOCK * WINDOW) * CLASSES + kind.reshape(-1)
     for i in range(0, len(ids), BLOCK):
         x = every[i : i + BLOCK]
         here = slice(i * WINDOW, (i + len(x)) * WINDOW)
         flat_x, target, n = x.reshape(-1, DIM), targets[here], len(x) * WINDOW
-        qkvs = (flat_x @ qkv).reshape(-1, WINDOW, 3 * DIM)
-        q, k, v = qkvs[..., :DIM], qkvs[..., DIM : 2 * DIM], qkvs[..., 2 * DIM :]
-        a = np.matmul(q, k.transpose(0, 2, 1).copy())
+        uv = (flat_x @ both).reshape(-1, WINDOW, 2 * DIM)
+        u, v = uv[..., :DIM], uv[..., DIM:]
+        a = np.matmul(u, x.transpose(0, 2, 1).copy())
         np.exp(a, out=a)
         a *= seen
         total = a.reshape(n, WINDOW) @ ones[:WINDOW]
         if len(odd := _outside(total)):
-            _mended(a.reshape(n, WINDOW), total, odd, _asked(q, k, odd))
+            _mended(a.reshape(n, WINDOW), total, odd, _asked(u, x, odd))
         total = total.reshape(-1, WINDOW, 1)
         y = np.matmul(a, v)
         y /= total
         flat_y = y.reshape(n, DIM)
         h = np.empty((n, DIM + 1), real)
         h[:, DIM] = 1
-        np.add(flat_x, flat_y @ w.out, out=h[:, :DIM])
+        np.add(flat_x, flat_y, out=h[:, :DIM])
         p = h @ top
         np.exp(p, out=p)
         mass = p @ ones
@@ -200,25 +219,23 @@ def _passes(w: Weights, ids: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray,
         flat_p[target] = picked
         share = (1 / (mass * real(size)))[:, None]
         h *= share
-        sums[2] += h.T @ p
+        d_top += h.T @ p
         dh = p @ back_top
         dh *= share
-        sums[1] += flat_y.T @ dh
-        dy = (dh @ back_out).reshape(y.shape)
-        dy /= total
+        dy = dh.reshape(y.shape) / total
         y *= dy
         ds = np.matmul(dy, v.transpose(0, 2, 1).copy())
         ds -= (flat_y @ ones[:DIM]).reshape(total.shape)
         ds *= a
-        each = np.empty_like(qkvs)
-        np.matmul(ds, k, out=each[..., :DIM])
-        np.matmul(ds.transpose(0, 2, 1), q, out=each[..., DIM : 2 * DIM])
-        np.matmul(a.transpose(0, 2, 1), dy, out=each[..., 2 * DIM :])
-        flat_each = each.reshape(n, 3 * DIM)
-        sums[0] += flat_x.T @ flat_each
-        np.add(flat_each @ back_qkv, dh, out=dx[here])
-    sums[0][:, :DIM] *= real(DIM**-0.5)
-    return found, dx, sums
+        each = np.empty_like(uv)
+        np.matmul(ds, x, out=each[..., :DIM])
+        np.matmul(a.transpose(0, 2, 1), dy, out=each[..., DIM:])
+        flat_each = each.reshape(n, 2 * DIM)
+        d_both += flat_x.T @ flat_each
+        dh += np.matmul(ds.transpose(0, 2, 1), u).reshape(n, DIM)
+        np.add(flat_each @ back, dh, out=dx[here])
+    d_qkv, d_out = _unfolded(w, d_both)
+    return found, dx, [d_qkv, d_out, d_top]
 
 
 def fresh(vocabulary: int, seed: int = 0) -> Weights:
@@ -245,23 +262,29 @@ class Trainer:
     def step(self, window: np.ndarray, rate: float) -> None:
         """One step by windows of WINDOW + 1 ids."""
         self.steps += 1
-        _, grads, known, d_embed = gradients(self.weights, window[:, :-1], self.kind[window[:, 1:]])
-        self.weights.embed[known] -= self._moved(0, known, d_embed, rate)
-        moved, at = self._moved(1, slice(None), np.concatenate([g.reshape(-1) for g in grads]), rate), 0
+        _, grads, known, d_embed = _gradients(self.weights, window[:, :-1], self.kind[window[:, 1:]])
+        embed = self.weights.embed
+        first, second = (x.take(known, axis=0) for x in (self.first[0], self.second[0]))
+        moved = self._moved(first, second, d_embed, rate)
+        self.first[0][known], self.second[0][known] = first, second
+        embed[known] = embed.take(known, axis=0) - moved
+        moved, at = self._moved(self.first[1], self.second[1], np.concatenate([g.reshape(-1) for g in grads]), rate), 0
         for p in self.weights.parts()[1:]:
             p -= moved[at : at + p.size].reshape(p.shape)
             at += p.size
 
-    def _moved(self, i: int, at: np.ndarray | slice, grad: np.ndarray, rate: float) -> np.ndarray:
-        first = 0.9 * self.first[i][at] + 0.1 * grad
-        second = 0.99 * self.second[i][at] + 0.01 * grad * grad
-        self.first[i][at], self.second[i][at] = first, second
-        first *= rate / (1 - 0.9**self.steps)
-        second /= 1 - 0.99**self.steps
-        np.sqrt(second, out=second)
-        second += 1e-8
-        first /= second
-        return first
+    def _moved(self, first: np.ndarray, second: np.ndarray, grad: np.ndarray, rate: float) -> np.ndarray:
+        """What is taken off weights, whose moments are changed in place."""
+        first *= 0.9
+        first += 0.1 * grad
+        second *= 0.99
+        second += 0.01 * grad * grad
+        out = first * (rate / (1 - 0.9**self.steps))
+        scale = second / (1 - 0.99**self.steps)
+        np.sqrt(scale, out=scale)
+        scale += 1e-8
+        out /= scale
+        return out
 
 
 def fit(

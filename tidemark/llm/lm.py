@@ -50,8 +50,15 @@ def words(values: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy().astype(np.int64), ends
 
 
-def hashes(known: list[str]) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(w) for w in known], dtype=np.uint64)
+def strings(values: pa.Array) -> list[str]:
+    """The words as Python strings; Arrow's own list takes several times as long."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def hashes(known: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each word's UTF-8."""
+    raw = known.cast(pa.binary()).to_numpy(zero_copy_only=False)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, raw), dtype=np.uint64, count=len(raw))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -61,7 +68,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, most=AT_ONCE):
             known, which, _ = words(column(batch, "text"))
             n = np.bincount(which, minlength=len(known)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes(known.to_pylist()).view(np.int64)), known, pa.array(n)], names=["word", "text", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes(known).view(np.int64)), known, pa.array(n)], names=["word", "text", "n"])
 
     return docs.select("text").mapInArrow(tidy(run), "word long, text string, n long").groupBy("word", "text").agg(F.sum("n").alias("n"))
 
@@ -92,7 +99,9 @@ def gathered(pool: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[n
     """Of the words that stand in a pool some, one after another, and where they begin and end."""
     n = bounds[which + 1] - bounds[which]
     till = np.concatenate([[0], np.cumsum(n)])
-    return pool[np.repeat(bounds[which] - till[:-1], n) + np.arange(till[-1])], till
+    place = np.repeat(bounds[which] - till[:-1], n)
+    place += np.arange(till[-1])
+    return pool.take(place), till
 
 
 def packed(values: np.ndarray, till: np.ndarray) -> pa.Array:
@@ -122,7 +131,7 @@ def encoded(counts: DataFrame, tokenizer: str) -> DataFrame:
         use = subwords(tokenizer)
         for batch in batches:
             with no_gc():
-                raw = [use.make(w) for w in column(batch, "text").to_pylist()]
+                raw = [use.make(w) for w in strings(column(batch, "text"))]
             yield pa.RecordBatch.from_arrays([column(batch, "word"), column(batch, "n"), pa.array(raw, pa.binary())], names=["word", "n", "ids"])
 
     return counts.select("word", "text", "n").mapInArrow(tidy(run), "word long, n long, ids binary")
@@ -161,7 +170,7 @@ def fit(docs: DataFrame, tokenizer: str, ids: np.ndarray, sample: int = SAMPLE)
         streams = []
         for batch in batches:
             known, which, ends = words(column(batch, "text"))
-            flat, till = gathered(*pooled([use.make(w) for w in known.to_pylist()]), which)
+            flat, till = gathered(*pooled([use.make(w) for w in strings(known)]), which)
             streams += [flat[till[i] : till[j]] for i, j in zip(ends[:-1], ends[1:], strict=True)]
         made = attention.fit(streams, use.size, counts=ids)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], names=["model"])
@@ -217,10 +226,12 @@ class Head:
         self.pool, self.bounds = self.pool.astype(np.int32), till
 
     def find(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each word hash stands, and whether it does."""
+        """Where each word hash stands, and whether it does. Asked in ascending order, which goes through memory once."""
         if not len(self.word):
             return np.zeros(len(word), np.int64), np.zeros(len(word), bool)
-        at = np.minimum(np.searchsorted(self.word, word), len(self.word) - 1)
+        order = np.argsort(word)
+        at = np.empty(len(word), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.word, word[order]), len(self.word) - 1)
         return at, self.word[at] == word
 
 
@@ -238,10 +249,10 @@ def coded(docs: DataFrame, training: Column, tokenizer: str, head: Head, end_log
         for batch in slices(batches, most=AT_ONCE):
             known, which, ends = words(column(batch, "text"))
             n = batch.num_rows
-            word = hashes(known.to_pylist())
+            word = hashes(known)
             at, found = top.find(word)
             with no_gc():
-                pool, bounds = pooled(list(map(use.word.__getitem__, known.filter(pa.array(~found)).to_pylist())))
+                pool, bounds = pooled(list(map(use.word.__getitem__, strings(known.filter(pa.array(~found))))))
             # The batch's words: those of the head where they stand there, the others behind it.
             place = np.where(found, at, len(top.word) + np.cumsum(~found) - 1)
             every = np.concatenate([top.bounds, top.bounds[-1] + bounds[1:]])
