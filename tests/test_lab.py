@@ -1,5 +1,8 @@
+import datetime
+
 import pytest
 
+from tidemark import plans
 from tidemark.plans import lab
 
 from . import test_queries
@@ -39,7 +42,16 @@ def test_other_stores_are_refused_on_a_cluster(spark, monkeypatch, tmp_path):
 
 @pytest.mark.parametrize("name", [
     "abandoned_batch",
+    "definition_rollback",
 ])
 def test_on_a_cluster(spark, tables, monkeypatch, tmp_path, name):
     """With a plain path as spark.checkpoint.dir, as the machines' spark-defaults.conf has it."""
     test_queries.test_query_equals_sql(named(spark, monkeypatch, str(tmp_path)), tables, name)
+
+
+@pytest.mark.parametrize(("name", "times"), [("definition_rollback", 1)])
+def test_events_without_a_user_count_in_the_total_alone(spark, tmp_path, name, times):
+    """As SQL's count(DISTINCT user_id) has it."""
+    rows = [(i, datetime.datetime(2024, 1, 1, 0, i), user, "view", 1.5, None) for i, user in enumerate([7, 7, None, 8, None])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert [(r.n, r.total) for r in plans.QUERIES[name](spark, str(tmp_path)).collect()] == [(2, 7.5 * times)]
