@@ -43,13 +43,14 @@ def test_other_stores_are_refused_on_a_cluster(spark, monkeypatch, tmp_path):
 @pytest.mark.parametrize("name", [
     "abandoned_batch",
     "definition_rollback",
+    "definition_switch",
 ])
 def test_on_a_cluster(spark, tables, monkeypatch, tmp_path, name):
     """With a plain path as spark.checkpoint.dir, as the machines' spark-defaults.conf has it."""
     test_queries.test_query_equals_sql(named(spark, monkeypatch, str(tmp_path)), tables, name)
 
 
-@pytest.mark.parametrize(("name", "times"), [("definition_rollback", 1)])
+@pytest.mark.parametrize(("name", "times"), [("definition_switch", 2), ("definition_rollback", 1)])
 def test_events_without_a_user_count_in_the_total_alone(spark, tmp_path, name, times):
     """As SQL's count(DISTINCT user_id) has it."""
     rows = [(i, datetime.datetime(2024, 1, 1, 0, i), user, "view", 1.5, None) for i, user in enumerate([7, 7, None, 8, None])]
