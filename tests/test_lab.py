@@ -1,6 +1,7 @@
 import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import plans
 from tidemark.plans import lab
@@ -44,6 +45,7 @@ def test_other_stores_are_refused_on_a_cluster(spark, monkeypatch, tmp_path):
     "abandoned_batch",
     "definition_rollback",
     "definition_switch",
+    "orders_by_year",
 ])
 def test_on_a_cluster(spark, tables, monkeypatch, tmp_path, name):
     """With a plain path as spark.checkpoint.dir, as the machines' spark-defaults.conf has it."""
@@ -56,3 +58,18 @@ def test_events_without_a_user_count_in_the_total_alone(spark, tmp_path, name, t
     rows = [(i, datetime.datetime(2024, 1, 1, 0, i), user, "view", 1.5, None) for i, user in enumerate([7, 7, None, 8, None])]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     assert [(r.n, r.total) for r in plans.QUERIES[name](spark, str(tmp_path)).collect()] == [(2, 7.5 * times)]
+
+
+def test_cents_are_not_lost_in_a_large_total(spark, tmp_path):
+    prices = F.when(F.col("id") == 0, 4e13).otherwise(0.01).alias("o_totalprice")
+    orders = spark.range(0, 10_001, numPartitions=1).select(F.col("id").alias("o_orderkey"), prices, F.lit("1999-05-01").cast("timestamp").alias("o_orderdate"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    assert [(r.n, r.total) for r in plans.QUERIES["orders_by_year"](spark, str(tmp_path)).collect()] == [(10_001, 4e13 + 100)]
+
+
+@pytest.mark.parametrize(("values", "total"), [([1.25, None, -0.5], 0.75), ([None], None), ([1.0, float("inf")], "inf"), ([1.0, float("nan")], "nan")])
+def test_totals_of_odd_prices(spark, tmp_path, values, total):
+    rows = [(datetime.datetime(1999, 5, 1), v) for v in values]
+    spark.createDataFrame(rows, "o_orderdate timestamp, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    found = plans.QUERIES["orders_by_year"](spark, str(tmp_path)).first()["total"]
+    assert (str(found) if isinstance(total, str) else found) == total
