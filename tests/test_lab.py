@@ -43,6 +43,7 @@ def test_other_stores_are_refused_on_a_cluster(spark, monkeypatch, tmp_path):
 
 @pytest.mark.parametrize("name", [
     "abandoned_batch",
+    "cas_conflict",
     "definition_rollback",
     "definition_switch",
     "orders_by_year",
