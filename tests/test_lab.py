@@ -44,6 +44,7 @@ def test_other_stores_are_refused_on_a_cluster(spark, monkeypatch, tmp_path):
 @pytest.mark.parametrize("name", [
     "abandoned_batch",
     "cas_conflict",
+    "clean_preserves_data",
     "definition_rollback",
     "definition_switch",
     "orders_by_year",
