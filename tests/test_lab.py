@@ -46,6 +46,7 @@ def test_other_stores_are_refused_on_a_cluster(spark, monkeypatch, tmp_path):
     "cas_conflict",
     "clean_preserves_data",
     "definition_rollback",
+    "clean_preview_count",
     "definition_switch",
     "orders_by_year",
 ])
