@@ -47,6 +47,7 @@ def test_other_stores_are_refused_on_a_cluster(spark, monkeypatch, tmp_path):
     "clean_preserves_data",
     "definition_rollback",
     "clean_preview_count",
+    "column_values",
     "definition_switch",
     "orders_by_year",
 ])
