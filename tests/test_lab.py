@@ -50,6 +50,7 @@ def test_other_stores_are_refused_on_a_cluster(spark, monkeypatch, tmp_path):
     "column_values",
     "definition_switch",
     "drop_dataset",
+    "hive_prune",
     "orders_by_year",
 ])
 def test_on_a_cluster(spark, tables, monkeypatch, tmp_path, name):
