@@ -52,6 +52,7 @@ def test_other_stores_are_refused_on_a_cluster(spark, monkeypatch, tmp_path):
     "drop_dataset",
     "hive_prune",
     "format_gate",
+    "list_datasets",
     "orders_by_year",
 ])
 def test_on_a_cluster(spark, tables, monkeypatch, tmp_path, name):
