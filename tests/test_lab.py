@@ -53,6 +53,7 @@ def test_other_stores_are_refused_on_a_cluster(spark, monkeypatch, tmp_path):
     "hive_prune",
     "format_gate",
     "list_datasets",
+    "hive_scan",
     "orders_by_year",
 ])
 def test_on_a_cluster(spark, tables, monkeypatch, tmp_path, name):
