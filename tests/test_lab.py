@@ -54,6 +54,7 @@ def test_other_stores_are_refused_on_a_cluster(spark, monkeypatch, tmp_path):
     "format_gate",
     "list_datasets",
     "hive_scan",
+    "inventory_delta",
     "orders_by_year",
 ])
 def test_on_a_cluster(spark, tables, monkeypatch, tmp_path, name):
