@@ -56,6 +56,7 @@ def test_other_stores_are_refused_on_a_cluster(spark, monkeypatch, tmp_path):
     "hive_scan",
     "inventory_delta",
     "metadata_only",
+    "mixed_change",
     "orders_by_year",
 ])
 def test_on_a_cluster(spark, tables, monkeypatch, tmp_path, name):
