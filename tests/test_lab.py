@@ -61,6 +61,7 @@ def test_other_stores_are_refused_on_a_cluster(spark, monkeypatch, tmp_path):
     "noop_publish",
     "overlap_rejections",
     "path_rejections",
+    "preflight_rejections",
 ])
 def test_on_a_cluster(spark, tables, monkeypatch, tmp_path, name):
     """With a plain path as spark.checkpoint.dir, as the machines' spark-defaults.conf has it."""
