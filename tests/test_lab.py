@@ -65,6 +65,7 @@ def test_other_stores_are_refused_on_a_cluster(spark, monkeypatch, tmp_path):
     "prune_absent",
     "prune_directory",
     "prune_file",
+    "publish_after_prune_rollback",
 ])
 def test_on_a_cluster(spark, tables, monkeypatch, tmp_path, name):
     """With a plain path as spark.checkpoint.dir, as the machines' spark-defaults.conf has it."""
