@@ -41,6 +41,15 @@ def test_other_stores_are_refused_on_a_cluster(spark, monkeypatch, tmp_path):
         hadoop.set("fs.defaultFS", before)
 
 
+def test_a_folder_set_later_or_none(spark, monkeypatch, tmp_path):
+    named(spark, monkeypatch, None)
+    monkeypatch.setattr(spark.sparkContext, "getCheckpointDir", lambda: f"file:{tmp_path}/later")
+    assert lab.Lab(spark, test_queries.TABLES).folder.parent == tmp_path / "later"
+    monkeypatch.setattr(spark.sparkContext, "getCheckpointDir", lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        lab.Lab(spark, test_queries.TABLES)
+
+
 @pytest.mark.parametrize("name", [
     "abandoned_batch",
     "cas_conflict",
